@@ -33,5 +33,30 @@ def op4_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_store)}
-SQL: dict[str, str] = {}
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_store, op5_minhash_near_dup)}
+SQL: dict[str, str] = {
+    "op5_minhash_near_dup": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
+  from documents),
+s as (
+  select doc_id, unnest(case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh
+  from w),
+c as (select doc_id, count(*) n from s group by 1),
+l as (
+  select a.doc_id x, b.doc_id y, count(*) n2 from s a join s b using (sh) where a.doc_id <> b.doc_id group by 1, 2),
+e as (
+  select x, y from l join c ca on ca.doc_id = x join c cb on cb.doc_id = y where 100 * n2 >= 75 * (ca.n + cb.n - n2)),
+r as (select doc_id a, doc_id b from documents union select r.a, e.y from r join e on e.x = r.b),
+m as (select a, min(b) component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept
+from documents left join c using (doc_id) join m on m.a = doc_id
+""",
+}
