@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import label_part, table
 
 
 def tokenizer_path() -> str:
@@ -39,7 +39,22 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_store, op5_minhash_near_dup)}
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark passage in a document; documents without any have no row."""
+    from .decontaminate import benchmark_passages
+
+    return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs, holdout_parts=5))
+    return out.select("doc_id", (label_part(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op10_language_id)}
 SQL: dict[str, str] = {
     "op5_minhash_near_dup": r"""
 with recursive w as (
