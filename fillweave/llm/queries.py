@@ -46,6 +46,24 @@ def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", holdout_parts=5, holdout_part=0)
+    held_out = (label_part(F.col("doc_id"), 5) == 0).alias("held_out")
+    return toxicity.score(docs, network).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.learn(docs, table(spark, sf_dir, "labels"), "quality", holdout_parts=3, holdout_part=1)
+    held_out = (label_part(F.col("doc_id"), 3) == 1).alias("held_out")
+    return quality.score(docs, ranking).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn
 
@@ -54,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (label_part(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op7_toxicity, op8_quality_ranking, op10_language_id)}
 SQL: dict[str, str] = {
     "op5_minhash_near_dup": r"""
 with recursive w as (
