@@ -8,8 +8,12 @@ banding would want 2*m*m*width minhashes for. With m = 12 and width = 2 a pair o
 
 Documents of equal sets form classes, and only classes are compared. Buckets are linked without
 making all their pairs: first each member with one centre, then with the member that has most
-links; what is then still in different components is compared exhaustively. Every link is
-confirmed by the sizes of intersection and union of the whole sets.
+links; what is then still in different components is compared exhaustively. In small buckets a
+pair goes on if enough hash groups agree. In large ones, where such pairs would be many, their
+256 smallest hashes are compared inside the join: for sets of no more than that this is the
+exact test, and larger sets of similarity 0.75 share under 60 per cent of them with a
+probability below one in a million. Every link is confirmed by the sizes of intersection and
+union of the whole sets.
 """
 
 from __future__ import annotations
@@ -157,7 +161,39 @@ def _agreeing(groups: int) -> tuple:
     return F.size(F.filter(same, lambda x: x)), F.xxhash64(tag(first), tag(second))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, groups: int = 12, width: int = 2, k: int = 5, least_agreeing: int = 4) -> DataFrame:
+def _apart(rows: DataFrame, *keys: str) -> DataFrame:
+    """Each two rows of one key whose components differ, the columns with suffixes _a and _b."""
+    left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in keys)) for s in "ab")
+    return left.join(right, list(keys)).where("node_a < node_b and comp_a <> comp_b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
+
+
+def _sketches(texts: DataFrame, n: int, k: int) -> DataFrame:
+    """node, its set's size, and the set's n smallest hashes (all of them, if it has no more)."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in tv.pieces(batch.column(1)):
+                hashes, bounds = shingle_sets(piece, k)
+                counts = np.minimum(np.diff(bounds), n)
+                at = np.concatenate([[0], np.cumsum(counts)])
+                low = hashes[np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])].astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.array(np.diff(bounds)), lists], ["node", "size", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, sketch array<int>").dropDuplicates(["node"])
+
+
+def near_duplicates(
+    docs: DataFrame,
+    percent: int = 75,
+    groups: int = 12,
+    width: int = 2,
+    k: int = 5,
+    least_agreeing: int = 4,
+    few_in_bucket: int = 32,
+    sketch: int = 256,
+    sketch_share: float = 0.6,
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept.
 
     Documents whose sets have 100 * intersection >= percent * union are linked; component_id is
@@ -204,15 +240,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, groups: int = 12, width:
     # what is still apart within a bucket is compared pair by pair, each pair once
     names = components(links)
     named = keys.select("node", "key").join(names, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(split, "key").join(heads.select("node", "groups"), "node")
-    rest = cut(rest)
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "groups"))) for s in "ab")
-    apart = left.join(right, "key").where("node_a < node_b and comp_a <> comp_b")
-    agreeing, key = _agreeing(groups)
-    apart = apart.where((F.col("key") == key) & (agreeing >= least_agreeing))
-    apart = apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(cut(apart), texts, percent, k))
+    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    rest = cut(named.join(split, "key"))
+    groups_of = heads.select("node", "groups")
+    few = rest.where(F.col("n") <= few_in_bucket).select("key", "node", "comp").join(groups_of, "node")
+    agreeing, first = _agreeing(groups)
+    apart = _apart(few, "key").where((F.col("key") == first) & (agreeing >= least_agreeing))
+
+    many = rest.where(F.col("n") > few_in_bucket).select("node", "comp").distinct().join(groups_of, "node")
+    many = many.select("node", "comp", F.slice("groups", 1, groups).alias("groups")).join(_sketches(texts, sketch, k), "node")
+    many = many.select("*", F.posexplode("groups").alias("t", "key"))
+    alike = F.size(F.array_intersect("sketch_a", "sketch_b"))
+    whole = (F.col("size_a") <= sketch) & (F.col("size_b") <= sketch)
+    likely = F.when(whole, 100 * alike >= percent * (F.col("size_a") + F.col("size_b") - alike)).otherwise(alike >= sketch_share * F.least("size_a", "size_b", F.lit(sketch)))
+    first_same = F.array_position(F.zip_with("groups_a", "groups_b", lambda x, y: x == y), True) - 1
+    hot = _apart(many, "t", "key").where((F.col("t") == first_same) & likely)
+
+    pairs = apart.select("a", "b").union(hot.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(_verified(cut(pairs), texts, percent, k))
     names = components(links)
 
     found = member.join(names, member.s1 == names.node, "left").select("doc_id", member.n_shingles, "rep", F.coalesce("comp", "s1").alias("comp"))

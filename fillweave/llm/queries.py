@@ -39,6 +39,18 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the quality label of the document of the same number."""
+    from .url_filter import judge_urls
+
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    out = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each benchmark passage in a document; documents without any have no row."""
     from .decontaminate import benchmark_passages
@@ -46,6 +58,13 @@ def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    out = shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -64,6 +83,13 @@ def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranking).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    out = judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn
 
@@ -72,8 +98,41 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (label_part(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op7_toxicity, op8_quality_ranking, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id)}
 SQL: dict[str, str] = {
+    "op2_url_reputation": r"""
+with u as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+p as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+c as (
+  select host, count(quality) n, coalesce(sum(quality), 0) k from p left join (select doc_id, quality from labels where quality in (0, 1)) l on l.doc_id = p.page_id group by 1),
+h0 as (select *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') ls from c),
+h1 as (select *, array_to_string(ls[-2:], '.') two from h0),
+h as (
+  select host, n, k,
+    case when two in ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk') then two else ls[-1] end suffix,
+    case when two in ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk') then array_to_string(ls[-3:], '.') else two end dom
+  from h1),
+s0 as (select suffix, sum(n) n, sum(k) k, (select (sum(k) + 1.0::double) / (sum(n) + 2) from h) prior from h group by 1),
+s1 as (select *, (select case when count(*) = 0 or sum(n) <= count(*) then 1.0::double else 1 / least(greatest((sum(n * pow(k / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)), 0.01), 0.9) - 1 end from s0 where n > 0) st from s0),
+s as (select suffix, (k + prior * st) / (n + st) m from s1),
+d0 as (select dom, sum(n) n, sum(k) k, any_value(m) prior from h join s using (suffix) group by 1),
+d1 as (select *, (select case when count(*) = 0 or sum(n) <= count(*) then 1.0::double else 1 / least(greatest((sum(n * pow(k / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)), 0.01), 0.9) - 1 end from d0 where n > 0) st from d0),
+d as (select dom, (k + prior * st) / (n + st) prior from d1),
+g0 as (select host, n, k, prior from h join d using (dom)),
+g1 as (select *, (select case when count(*) = 0 or sum(n) <= count(*) then 1.0::double else 1 / least(greatest((sum(n * pow(k / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)), 0.01), 0.9) - 1 end from g0 where n > 0) st from g0),
+g as (select host, k + prior * st a, n - k + (1 - prior) * st b from g1),
+t as (select host, a / (a + b) + 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) bound from g),
+r as (select * from (values ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+  ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')) v(said, rule, rhost, rpath)),
+b as (
+  select host, path, arg_max(rule, length(rule)) rule, arg_max(said, length(rule)) said
+  from (select distinct host, path from p) q join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1, 2)
+select page_id, host, path, rule, coalesce(said, case when bound < 0.5 then 'block' else 'allow' end) verdict
+from p join t using (host) left join b using (host, path)
+""",
     "op5_minhash_near_dup": r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws

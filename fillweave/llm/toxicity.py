@@ -288,17 +288,31 @@ def _inputs_of(net: Network, w: LetterWords, index: np.ndarray, grams: np.ndarra
     return x, local
 
 
-def _platt(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset that make the logits probabilities, by Newton's method with a small ridge."""
+def _platt(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and offset that make the logits probabilities, by damped Newton steps.
+
+    A small ridge draws the slope to 1 and the offset to 0.
+    """
+
+    def loss(a: float, b: float) -> float:
+        x = a * logit + b
+        return float((weight * (np.logaddexp(0, x) - label * x)).sum() + 0.5 * ((a - 1) ** 2 + 0.1 * b * b))
+
     a, b = 1.0, 0.0
+    now = loss(a, b)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
         s, e = weight * q * (1 - q), weight * (q - label)
-        ga, gb = (e * logit).sum() + 0.1 * a, e.sum()
-        haa, hab, hbb = (s * logit**2).sum() + 0.1, (s * logit).sum(), s.sum() + 1e-6
+        ga, gb = (e * logit).sum() + (a - 1), e.sum() + 0.1 * b
+        haa, hab, hbb = (s * logit**2).sum() + 1, (s * logit).sum(), s.sum() + 0.1
         det = haa * hbb - hab * hab
-        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
-        a, b = float(np.clip(a, 0.01, 20)), float(np.clip(b, -50, 50))
+        da, db, step = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det, 1.0
+        while step > 1e-6 and not (a - step * da > 0.01 and loss(a - step * da, b - step * db) < now):
+            step /= 2
+        if step <= 1e-6:
+            break
+        a, b = float(a - step * da), float(b - step * db)
+        now = loss(a, b)
     return a, b
 
 
