@@ -23,7 +23,7 @@ COMMON_WORDS = {
 }
 #: Character classes as patterns; what fits none of them is a class of its own.
 CLASSES = {
-    "lower": "[a-z]",
+    "lower": "[a-z]",  # most characters; the others are looked for in what is left without them
     "upper": "[A-Z]",
     "digit": "[0-9]",
     "space": r"[\x20\x09-\x0D]",
@@ -34,10 +34,6 @@ CLASSES = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
-
-
 def vocabulary(common: dict[str, list[str]]) -> list[str]:
     return sorted({w for words in common.values() for w in words})
 
@@ -56,11 +52,12 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     cut = base.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     words, n = F.col("words"), F.size("words")
-    triples = F.when(n >= 3, F.slice(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    # three words in a row are told from others of their text by a 64-bit hash
+    triples = F.when(n >= 3, F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     short = F.filter(words, lambda w: F.length(w) <= longest)
     coded = F.array_join(F.transform(short, lambda w: F.substring(F.lit(signs), F.array_position(F.array(*map(F.lit, listed)), F.lower(w)).cast("int") + 1, F.lit(1))), "")
-    held = cut.select("doc_id", "lang", "text", n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
+    held = cut.select("doc_id", "lang", "text", F.regexp_replace("text", CLASSES["lower"] + "+", "").alias("left"), n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
     triples = F.col("triples")
     # equal triples stand together when sorted with their places
     placed = F.sort_array(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
@@ -72,7 +69,8 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     a = F.col("again")
     # a repeated triple covers its three words, or those before the next repeated one
     covered = F.aggregate(F.transform(a, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(a, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
-    classes = [_count(F.col("text"), pattern) for pattern in CLASSES.values()]
+    lower = (F.length("text") - F.length("left")).cast("long")
+    classes = [lower, *(F.regexp_count("left", F.lit(pattern)).cast("long") for name, pattern in CLASSES.items() if name != "lower")]
     return again.select(
         "doc_id",
         "lang",

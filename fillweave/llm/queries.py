@@ -99,7 +99,57 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id)}
+def _divergence_sql() -> str:
+    from .quality_rules import CLASSES, COMMON_WORDS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({quoted(lang)}, {quoted(w)})" for lang, ws in COMMON_WORDS.items() for w in ws)
+    kinds = ", ".join(f"({quoted(name)}, {quoted(pattern)})" for name, pattern in CLASSES.items())
+    term = "case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end"
+    return rf"""
+with cw as (select * from (values {listed}) v(lang, word)),
+ck as (select * from (values {kinds}) v(kind, pattern)),
+t as (select row_number() over () rid, doc_id, lang, coalesce(text, '') txt from documents),
+w as (
+  select *, regexp_extract_all(txt, '[^ 	-]+') ws,
+    list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) lines from t),
+b as (
+  select rid, doc_id, lang, txt, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(txt) n_chars,
+    length(txt) - length(regexp_replace(txt, '[#*$%&|<>]', '', 'g')) n_symbols, len(lines) - len(list_distinct(lines)) n_dup_lines from w),
+x as (select rid, unnest(ws) word, generate_subscripts(ws, 1) i from w),
+tri as (select rid, i, word || ' ' || lead(word) over o || ' ' || lead(word, 2) over o tw from x window o as (partition by rid order by i)),
+dup as (select rid, i from (select rid, i, count(*) over (partition by rid, tw) n from tri where tw is not null) where n > 1),
+cov as (select rid, count(distinct i + k) n_repeat_words from dup, (values (0), (1), (2)) v(k) group by 1),
+ks as (select rid, lang, n_chars, kind, length(txt) - length(regexp_replace(txt, pattern, '', 'g')) n from b, ck),
+ka as (select rid, lang, n_chars, kind, n from ks union all select rid, any_value(lang), any_value(n_chars), 'rest', any_value(n_chars) - sum(n) from ks group by 1),
+lw as (select rid, lower(word) word, count(*) n from x where length(word) <= 4 group by 1, 2),
+wc as (select b.rid, b.lang, cw.lang of_lang, cw.word, coalesce(n, 0) n, n_words from b cross join cw left join lw on lw.rid = b.rid and lw.word = cw.word),
+wa as (
+  select rid, lang, of_lang, word, n, n_words from wc
+  union all select rid, any_value(lang), of_lang, ' rest', any_value(n_words) - sum(n), any_value(n_words) from wc group by rid, of_lang),
+ok as (select lang from b where lang in (select lang from cw) group by 1 having count(*) >= 20 and sum(n_chars) > 0 and sum(n_words) > 0),
+kr as (select lang, kind, sum(n)::double / sum(n_chars) q from ka join ok using (lang) group by 1, 2),
+wr as (select lang, word, sum(n)::double / sum(n_words) q from wa join ok using (lang) where lang = of_lang group by 1, 2),
+kd as (
+  select rid, kr.lang, sqrt(greatest(sum({term}) / 2, 0)) d
+  from (select rid, kind, n::double / greatest(n_chars, 1) p from ka) a join kr using (kind) group by 1, 2),
+wd as (
+  select rid, of_lang, sqrt(greatest(sum({term}) / 2, 0)) d
+  from (select rid, of_lang, word, n::double / greatest(n_words, 1) p from wa) a join wr on wr.lang = a.of_lang and wr.word = a.word group by 1, 2),
+k1 as (select rid, min(d) class_distance from kd group by 1),
+w1 as (select rid, min(d) common_distance from wd group by 1),
+f as (
+  select b.*, coalesce(n_repeat_words, 0) n_rep, n_words < 50 or 100 * coalesce(n_repeat_words, 0) > 50 * n_words base_failed,
+    coalesce(n_chars >= 200 and class_distance > 0.25, false) or coalesce(n_words >= 100 and common_distance > 0.295, false) far
+  from b left join cov using (rid) left join k1 using (rid) left join w1 using (rid))
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
+  n_rep::bigint n_repeat_words, base_failed, not base_failed and not far kept
+from f
+"""
+
+
 SQL: dict[str, str] = {
+    "op9_divergence_rules": _divergence_sql(),
     "op2_url_reputation": r"""
 with u as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
