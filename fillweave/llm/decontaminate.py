@@ -203,6 +203,17 @@ class Index:
 SCHEMA = "doc_id long, item_id long, first_word long, n_words long, edits long"
 
 
+def _blocks(benchmark: DataFrame, recall: float, kept_words: float, max_edits: float, block_chars: int, item_col: str, text_col: str):
+    """Broadcast indexes of the benchmark's items, block by block."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_chars))
+    for b in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = block.orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], recall, kept_words, max_edits))
+
+
 def benchmark_passages(docs: DataFrame, benchmark: DataFrame, recall: float = 0.95, kept_words: float = 0.9, max_edits: float = 0.3, block_chars: int = 16 << 20, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The passages of benchmark items in documents: doc_id, item_id, place and edits.
 
@@ -213,16 +224,9 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, recall: float = 0.
     of its own), and each block is looked for in all documents. Null and wordless texts match
     nothing; a null doc_id is carried along; repeated rows are reported alike.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sized = items.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).first()
-    blocks = max(1, math.ceil((sized["n"] or 0) / block_chars))
-    spark = docs.sparkSession
     narrow = documents(docs)
     out = None
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = Index([(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()], recall, kept_words, max_edits)
-        held = spark.sparkContext.broadcast(index)
+    for held in _blocks(benchmark, recall, kept_words, max_edits, block_chars, item_col, text_col):
 
         def run(batches, held=held):
             index = held.value
@@ -240,7 +244,18 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, recall: float = 0.
     return out
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, recall: float = 0.95, kept_words: float = 0.9, max_edits: float = 0.3, block_chars: int = 16 << 20) -> DataFrame:
     """The documents that hold no benchmark passage, with all their columns."""
-    bad = benchmark_passages(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    for held in _blocks(benchmark, recall, kept_words, max_edits, block_chars, "item_id", "text"):
+
+        def run(batches, held=held):
+            index = held.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for piece in tv.pieces(batch.column("text")):
+                    for row, *_ in index.search(piece):
+                        clean[piece.lo + row] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -137,6 +137,51 @@ def learn(docs: DataFrame, holdout_parts: int = 5, rows_per_language: int = 2000
     return Model(languages, bits, np.ascontiguousarray(np.log(p).T.astype(np.float32)), allowed, penalty)
 
 
+def _labelled(model: Model, ids: pa.Array, parts: list[LetterWords]) -> pa.RecordBatch:
+    """The result rows of some pieces, which are labelled together."""
+    scores = np.concatenate([model.word_scores(w) for w in parts])
+    n_words = np.concatenate([np.diff(w.rows) for w in parts])
+    weights = np.concatenate([w.lengths for w in parts])
+    bounds = np.concatenate([[0], np.cumsum(n_words)])
+    labels = viterbi(scores, bounds, model.penalty)
+    readable = scores[np.arange(len(labels)), labels] > _FAR if len(labels) else np.zeros(0, bool)
+    rows = np.repeat(np.arange(len(n_words)), n_words)
+    k = len(model.languages)
+    letters = np.bincount(rows * k + labels, weights=weights * readable, minlength=len(n_words) * k).reshape(-1, k)
+    best, total = letters.argmax(axis=1), letters.sum(axis=1)
+    new = np.ones(len(labels), dtype=bool)
+    new[1:] = (labels[1:] != labels[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(new)
+    span_of = np.concatenate([[0], np.cumsum(np.bincount(rows[at], minlength=len(n_words)))])
+    names = pa.array(model.languages)
+    spans = pa.StructArray.from_arrays(
+        [names.take(pa.array(labels[at])), pa.array((at - bounds[rows[at]]).astype(np.int32)), pa.array(np.diff(np.append(at, len(labels))).astype(np.int32))],
+        ["lang", "first_word", "n_words"],
+    )
+    pred = names.take(pa.array(np.where(n_words > 0, best, 0)))
+    pred = pa.array([p if n else "und" for p, n in zip(pred.to_pylist(), n_words.tolist(), strict=True)])
+    score = letters.max(axis=1) / np.maximum(total, 1)
+    return pa.RecordBatch.from_arrays([ids, pred, pa.array(score), pa.ListArray.from_arrays(pa.array(span_of.astype(np.int32)), spans)], ["doc_id", "lang_pred", "score", "spans"])
+
+
+def _batches(model: Model, batches, id_col: str, text_col: str, group_bytes: int):
+    """(batch, first row, result rows) of all batches, group by group."""
+    for batch in batches:
+        ids, text = batch.column(id_col), batch.column(text_col)
+        if not model.languages:
+            n = batch.num_rows
+            none = pa.array([[]] * n, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])))
+            yield batch, 0, pa.RecordBatch.from_arrays([ids, pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), none], ["doc_id", "lang_pred", "score", "spans"])
+            continue
+        parts, size, lo = [], 0, 0
+        for piece in tv.pieces(text):
+            parts.append(letter_words(piece))
+            size += len(piece.data)
+            if size >= group_bytes or piece.hi == batch.num_rows:
+                yield batch, lo, _labelled(model, ids.slice(lo, piece.hi - lo), parts)
+                parts, size, lo = [], 0, piece.hi
+
+
 SPANS = "array<struct<lang:string,first_word:int,n_words:int>>"
 
 
@@ -149,48 +194,26 @@ def identify(docs: DataFrame, model: Model, group_bytes: int = 8 << 20) -> DataF
     that no learned language uses is given the learned language of the smallest name, score 0.
     Repeated rows get equal results, and other columns don't matter.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def label(model, ids, parts):
-        scores = np.concatenate([model.word_scores(w) for w in parts])
-        n_words = np.concatenate([np.diff(w.rows) for w in parts])
-        weights = np.concatenate([w.lengths for w in parts])
-        bounds = np.concatenate([[0], np.cumsum(n_words)])
-        labels = viterbi(scores, bounds, model.penalty)
-        readable = scores[np.arange(len(labels)), labels] > _FAR if len(labels) else np.zeros(0, bool)
-        rows = np.repeat(np.arange(len(n_words)), n_words)
-        k = len(model.languages)
-        letters = np.bincount(rows * k + labels, weights=weights * readable, minlength=len(n_words) * k).reshape(-1, k)
-        best, total = letters.argmax(axis=1), letters.sum(axis=1)
-        new = np.ones(len(labels), dtype=bool)
-        new[1:] = (labels[1:] != labels[:-1]) | (rows[1:] != rows[:-1])
-        at = np.flatnonzero(new)
-        span_of = np.concatenate([[0], np.cumsum(np.bincount(rows[at], minlength=len(n_words)))])
-        names = pa.array(model.languages)
-        spans = pa.StructArray.from_arrays(
-            [names.take(pa.array(labels[at])), pa.array((at - bounds[rows[at]]).astype(np.int32)), pa.array(np.diff(np.append(at, len(labels))).astype(np.int32))],
-            ["lang", "first_word", "n_words"],
-        )
-        pred = names.take(pa.array(np.where(n_words > 0, best, 0)))
-        pred = pa.array([p if n else "und" for p, n in zip(pred.to_pylist(), n_words.tolist(), strict=True)])
-        score = letters.max(axis=1) / np.maximum(total, 1)
-        return pa.RecordBatch.from_arrays([ids, pred, pa.array(score), pa.ListArray.from_arrays(pa.array(span_of.astype(np.int32)), spans)], ["doc_id", "lang_pred", "score", "spans"])
-
     def run(batches):
-        model = held.value
-        for batch in batches:
-            if not model.languages:
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])))], ["doc_id", "lang_pred", "score", "spans"])
-                continue
-            parts, size, lo = [], 0, 0
-            for piece in tv.pieces(batch.column(1)):
-                parts.append(letter_words(piece))
-                size += len(piece.data)
-                if size >= group_bytes or piece.hi == batch.num_rows:
-                    yield label(model, batch.column(0).slice(lo, piece.hi - lo), parts)
-                    parts, size, lo = [], 0, piece.hi
+        for _, _, out in _batches(held.value, batches, "doc_id", "text", group_bytes):
+            yield out
 
     return narrow.mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+
+
+def identified_documents(docs: DataFrame, model: Model, least_score: float = 0.5, group_bytes: int = 8 << 20) -> DataFrame:
+    """The documents whose language is told with at least least_score, with all their columns.
+
+    Texts that are null or have no letter go, and so do all if nothing was learned.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, lo, out in _batches(held.value, batches, "doc_id", "text", group_bytes):
+            known = np.array([x != "und" for x in out.column("lang_pred").to_pylist()], dtype=bool)
+            yield batch.slice(lo, out.num_rows).filter(pa.array(known & (out.column("score").to_numpy() >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ def vocabulary(common: dict[str, list[str]]) -> list[str]:
 
 
 def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
-    """doc_id, lang and all counts of each document's whole text; a null text counts as empty.
+    """The document, its doc_id and lang, and all counts of its whole text; a null text counts as empty.
 
     `classes` are the character class counts and the rest; `common` the counts of vocabulary()
     among the words with A-Z and other letters lower-cased, in its order.
@@ -49,7 +49,7 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     # one character stands for each listed word, the first for all others
     signs = "".join(chr(33 + i) for i in range(len(listed) + 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    base = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     cut = base.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     words, n = F.col("words"), F.size("words")
     # three words in a row are told from others of their text by a 64-bit hash
@@ -57,7 +57,7 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     short = F.filter(words, lambda w: F.length(w) <= longest)
     coded = F.array_join(F.transform(short, lambda w: F.substring(F.lit(signs), F.array_position(F.array(*map(F.lit, listed)), F.lower(w)).cast("int") + 1, F.lit(1))), "")
-    held = cut.select("doc_id", "lang", "text", F.regexp_replace("text", CLASSES["lower"] + "+", "").alias("left"), n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
+    held = cut.select("document", "doc_id", "lang", "text", F.regexp_replace("text", CLASSES["lower"] + "+", "").alias("left"), n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
     triples = F.col("triples")
     # equal triples stand together when sorted with their places
     placed = F.sort_array(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
@@ -72,6 +72,7 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     lower = (F.length("text") - F.length("left")).cast("long")
     classes = [lower, *(F.regexp_count("left", F.lit(pattern)).cast("long") for name, pattern in CLASSES.items() if name != "lower")]
     return again.select(
+        "document",
         "doc_id",
         "lang",
         "n_words",
@@ -120,6 +121,7 @@ def judge(
     least_docs: int = 20,
     min_words: int = 50,
     most_repeat_percent: int = 50,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: the counts, the distances, base_failed and kept.
 
@@ -128,9 +130,11 @@ def judge(
     reference; null if there is no such language, or the text is shorter than least_chars or
     least_words. kept: not base_failed, and neither distance over its limit. Texts that are null
     or empty fail the base rules. Repeated rows are judged alike (each counts in the references);
-    a null lang counts in none. Columns other than doc_id, text and lang don't matter.
+    a null lang counts in none. Columns other than doc_id, text and lang don't matter; with
+    carry, the struct `document` has all of a document's columns.
     """
-    counts = written(text_counts(docs, common), "text-counts")
+    counts = text_counts(docs, common)
+    counts = written(counts if carry else counts.drop("document"), "text-counts")
     found = references(counts, common, least_docs)
     listed = vocabulary(common)
     chars, n = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
@@ -145,6 +149,7 @@ def judge(
     least = lambda d, long: F.when(long, F.array_min(F.array(*d))) if d else F.lit(None).cast("double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     out = counts.select(
+        *(["document"] if carry else []),
         "doc_id",
         "n_words",
         "word_chars",
@@ -157,3 +162,8 @@ def judge(
     )
     far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def passing_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    return judge(docs, carry=True, **options).where("kept").select("document.*")

@@ -14,11 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op1_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def codec_digests(docs: DataFrame, path: str) -> DataFrame:
     from .bpe import encode_documents
 
-    out = encode_documents(table(spark, sf_dir, "documents"), path or tokenizer_path())
-    return out.select(
+    return encode_documents(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -26,6 +25,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     )
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return codec_digests(table(spark, sf_dir, "documents"), path or tokenizer_path())
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from .token_store import store_documents
 
@@ -111,8 +114,10 @@ with cw as (select * from (values {listed}) v(lang, word)),
 ck as (select * from (values {kinds}) v(kind, pattern)),
 t as (select row_number() over () rid, doc_id, lang, coalesce(text, '') txt from documents),
 w as (
-  select *, regexp_extract_all(txt, '[^ 	-]+') ws,
-    list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) lines from t),
+  select *, regexp_extract_all(txt, '[^ 	-
+]+') ws,
+    list_filter(string_split(txt, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) lines from t),
 b as (
   select rid, doc_id, lang, txt, len(ws) n_words, length(array_to_string(ws, '')) word_chars, length(txt) n_chars,
     length(txt) - length(regexp_replace(txt, '[#*$%&|<>]', '', 'g')) n_symbols, len(lines) - len(list_distinct(lines)) n_dup_lines from w),
