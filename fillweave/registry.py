@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .plans import queries as plans
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plans.cold_permutation(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(plans.SQL)
