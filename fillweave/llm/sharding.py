@@ -76,7 +76,19 @@ def _sample(rows: DataFrame, wanted: int, total: int, seed: int) -> tuple[np.nda
     return np.array([r["h"] for r in drawn], np.int64), np.array([r["g"] for r in drawn], np.int64)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256, samples_per_range: int = 16, overfull: float = 2.0, rounds: int = 3) -> DataFrame:
+def _chains(ranges: list[int], splitters: Splitters) -> list[list[int]]:
+    """Runs of ranges between which a group of equal texts is cut."""
+    out: list[list[int]] = []
+    for k in ranges:
+        cut = out and all(splitters.g[i] != _LAST for i in range(out[-1][-1], k))
+        if cut:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return out
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256, samples_per_range: int = 16, overfull: float = 2.0, rounds: int = 3, most_whole: float = 0.1) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard and slot; the shards near equal in bytes.
 
     size is the text's UTF-8 bytes (a null text has none) plus 1. Slots count from 0 in each
@@ -114,12 +126,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 256
             break
         splitters = Splitters(both[0], both[1])
     places, before, counts = [], 0, [0] * shards
-    for k in sorted(sizes):
-        size, n = sizes[k]
-        shard = min(shards - 1, int((before + size / 2) * shards // max(total, 1)))
-        places.append((k, shard, counts[shard]))
-        counts[shard] += n
-        before += size
+    for chain in _chains(sorted(sizes), splitters):
+        size = sum(sizes[k][0] for k in chain)
+        whole = size <= most_whole * total / shards
+        middle = before + size / 2
+        for k in chain:
+            own, n = sizes[k]
+            at = middle if whole else before + own / 2
+            shard = min(shards - 1, int(at * shards // max(total, 1)))
+            places.append((k, shard, counts[shard]))
+            counts[shard] += n
+            before += own
     table = rows.sparkSession.createDataFrame(places, "range int, shard int, first long")
     order = "row_number() over (partition by range order by h, g, doc_id) - 1"
     # the table has a row for each range
