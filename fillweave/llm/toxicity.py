@@ -353,7 +353,9 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", holdout_par
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
 
     drawn = training_rows(docs, labels, column, held, rows_per_label, most_chars)
-    return pickle.loads(drawn.repartition(1).mapInArrow(run, "network binary").first()["network"])
+    trained = drawn.repartition(1).mapInArrow(run, "network binary").first()
+    # without any rows no task may run
+    return pickle.loads(trained["network"]) if trained else train([], np.zeros(0))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
