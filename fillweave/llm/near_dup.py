@@ -203,7 +203,8 @@ def near_duplicates(
     Repeated rows share a component and, as they share its id too, are kept alike.
     """
     shown = written(signatures(docs, groups, width, k), "signatures")
-    classes = shown.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # tables of groups are cut off from the grouping, so that Spark can split a hot group's rows when they are joined
+    classes = cut(shown.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     narrow = shown.select("doc_id", "n_shingles", "s1", "s2")
     member = narrow.join(classes, ["s1", "s2", "n_shingles"], "left")
 
@@ -211,13 +212,13 @@ def near_duplicates(
     heads = shown.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
     heads = heads.select(F.col("s1").alias("node"), "doc_id", "groups")
     tags = heads.select("node", F.posexplode("groups").alias("t", "g")).select("node", "t", F.xxhash64("t", "g").alias("g"))
-    often = tags.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    often = cut(tags.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     shared = tags.join(often, "g", "left_semi").groupBy("node").agg(F.collect_set(F.struct("t", "g")).alias("tg"))
     side = lambda first: F.filter("tg", lambda x: (x["t"] < groups) == F.lit(first))
     shared = shared.select("node", side(True).alias("one"), side(False).alias("two")).where("size(one) > 0 and size(two) > 0")
     keys = shared.select("node", F.explode("one").alias("x"), "two").select("node", "x", F.explode("two").alias("y"))
     keys = keys.select("node", F.xxhash64("x.g", "y.g").alias("key"))
-    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
+    busy = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
     keys = cut(keys.join(busy, "key").select("node", "key", "centre"))
 
     involved = keys.select("node").distinct()
@@ -261,7 +262,7 @@ def near_duplicates(
     names = components(links)
 
     found = member.join(names, member.s1 == names.node, "left").select("doc_id", member.n_shingles, "rep", F.coalesce("comp", "s1").alias("comp"))
-    least = found.where("rep is not null").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    least = cut(found.where("rep is not null").groupBy("comp").agg(F.min("rep").alias("component_id")))
     full = found.where("n_shingles > 0").join(least, "comp", "left").select("doc_id", "n_shingles", "component_id")
     empty = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
