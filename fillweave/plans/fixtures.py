@@ -53,13 +53,12 @@ def removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_nodes(spark, sf_dir).where("v % 97 = 5").select("v")
 
 
-def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, more: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, dof_map) with `more` vertices appended, each at the ends of one edge."""
+def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, every: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, dof_map) with a vertex appended for each `every`-th one that has a higher
+    neighbour, attached to it and to the lowest of those."""
     n = nodes.count()
-    pairs = edges.where("u < v").withColumn("r", F.row_number().over(Window.orderBy("u", "v")) - 1).where(F.col("r") < more) if more < 100_000 else None
-    if pairs is None:
-        raise ValueError("too many vertices for one window")
-    new = pairs.select((F.col("r") + n).cast("int").alias("w"), "u", "v")
+    picks = edges.where(f"u < v and u % {every} = 0").groupBy("u").agg(F.min("v").alias("x"))
+    new = M.relabelled(picks.withColumnRenamed("u", "v")).select((F.col("local_id") + n).cast("int").alias("w"), F.col("v").alias("u"), F.col("x").alias("v"))
     ends = new.select("w", F.explode(F.array("u", "v")).alias("x"))
     both = edges.select("u", "v").union(ends.select(F.col("w").alias("u"), F.col("x").alias("v"))).union(ends.select(F.col("x").alias("u"), F.col("w").alias("v")))
     return nodes.select("v").union(new.select("w")), both, dof_map.union(new.select("w", F.lit(-1)))

@@ -268,9 +268,9 @@ def one_based(spark, sf_dir):
     return X.one_based(G.lineitem_matrix(spark, sf_dir))
 
 
-@query("select (vec_id % 100000)::int \"row\", (i - 1)::int col, round(embedding[i]::double, 6) val from embeddings, range(1, 65) t(i) where embedding[i] > 0.2")
+@query("select vec_id::int \"row\", (i - 1)::int col, round(embedding[i]::double, 6) val from embeddings, range(1, 65) t(i) where embedding[i] > 0.2")
 def dense_to_sparse(spark, sf_dir):
-    rows = G.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100000).cast("int").alias("row"), F.transform("embedding", lambda x: F.when(x > F.lit(0.2).cast("float"), x.cast("double")).otherwise(0.0)).alias("vals"))
+    rows = G.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.transform("embedding", lambda x: F.when(x > F.lit(0.2).cast("float"), x.cast("double")).otherwise(0.0)).alias("vals"))
     return X.dense_to_coo(rows).select("row", "col", F.round("val", 6).alias("val"))
 
 
@@ -282,11 +282,13 @@ def checked_arithmetic(spark, sf_dir):
 
 # --- the tree -------------------------------------------------------------------------------
 
-_IDS = "ids as (select p_partkey::int i from part where p_partkey < 511)"
+_IDS = "ids as (select p_partkey::int i from part)"
+#: A tree so deep that every part's key is a node.
+_DEEP = 20
 
 
-def _tree_ids(spark, sf_dir, most=511):
-    return G.grid_nodes(spark, sf_dir).where(F.col("v") < most).select(F.col("v").alias("i"))
+def _tree_ids(spark, sf_dir):
+    return G.grid_nodes(spark, sf_dir).select(F.col("v").alias("i"))
 
 
 @query(f"with {_IDS} select i, {_lvl('i')}::int lvl, case when i > 0 then ((i - 1) >> 1) else -1 end::int parent from ids")
@@ -294,12 +296,13 @@ def tree_levels(spark, sf_dir):
     return _tree_ids(spark, sf_dir).select("i", T.level("i").alias("lvl"), T.parent("i").alias("parent"))
 
 
-_PAIRS = "ids as (select p_partkey::int i from part where p_partkey < 127), prs as (select i a, ((i * 37 + k * 11) % 127)::int b from ids, (values (0), (1), (2)) t(k))"
+_PAIRS = "ids as (select p_partkey::int i from part), cnt as (select count(*) n from part), prs as (select i a, ((i * 37 + k * 11) % n)::int b from ids, cnt, (values (0), (1), (2)) t(k))"
 
 
 def _tree_pairs(spark, sf_dir):
-    ids = _tree_ids(spark, sf_dir, 127)
-    return ids.select(F.col("i").alias("a"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k")).select("a", ((F.col("a") * 37 + F.col("k") * 11) % 127).cast("int").alias("b"))
+    ids = _tree_ids(spark, sf_dir)
+    n = ids.count()
+    return ids.select(F.col("i").alias("a"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k")).select("a", ((F.col("a") * 37 + F.col("k") * 11) % n).cast("int").alias("b"))
 
 
 @query(f"with {_PAIRS} select a, b, {_lca('a', 'b')}::int lca from prs")
@@ -313,10 +316,10 @@ def tree_is_separator(spark, sf_dir):
 
 
 @query(
-    f"with {_IDS}, s as (select i, {_lvl('i')} l, coalesce(list_sum(list_transform(range(1, {_lvl('i')} + 1), lambda d: case when (((i + 1) >> ({_lvl('i')} - d)) & 1) = 1 then (1 << (8 - d + 1)) - 1 else 0 end)), 0) start from ids) select i, (start + (1 << (9 - l)) - 2)::int post from s"
+    f"with {_IDS}, s as (select i, {_lvl('i')} l, coalesce(list_sum(list_transform(range(1, {_lvl('i')} + 1), lambda d: case when (((i + 1) >> ({_lvl('i')} - d)) & 1) = 1 then (1 << ({_DEEP} - d + 1)) - 1 else 0 end)), 0) start from ids) select i, (start + (1 << ({_DEEP} + 1 - l)) - 2)::int post from s"
 )
 def tree_postorder(spark, sf_dir):
-    return _tree_ids(spark, sf_dir).select("i", T.postorder("i", 8).alias("post"))
+    return _tree_ids(spark, sf_dir).select("i", T.postorder("i", _DEEP).alias("post"))
 
 
 _OFFSETS = _REGIONS + """,
@@ -522,14 +525,14 @@ def label_compaction(spark, sf_dir):
 _GROWN = _MAP + """,
 n2 as (select a.new_v u, b.new_v v from edges e join dof_map a on a.old_v = e.u join dof_map b on b.old_v = e.v),
 cnt2 as (select count(*)::int n from dof_map),
-num as (select row_number() over (order by u, v) - 1 r, u, v from n2 where u < v),
-fresh as (select (r + n)::int w, u, v from num, cnt2 where r < n // 100),
+num as (select row_number() over (order by u) - 1 r, u, min(v) v from n2 where u < v and u % 100 = 0 group by u),
+fresh as (select (r + n)::int w, u, v from num, cnt2),
 reg2 as (select new_v v, hmd_id from regions join dof_map on old_v = v)"""
 
 
 def _grown(spark, sf_dir):
     nodes, edges, dof_map = _shrunk(spark, sf_dir)
-    return G.grown(nodes, edges, dof_map, nodes.count() // 100)
+    return G.grown(nodes, edges, dof_map)
 
 
 @query(f"with {_GROWN} select w v from fresh")
