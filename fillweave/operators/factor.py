@@ -31,17 +31,19 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return names
 
 
-def _numbered(permutation: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges by their positions in an order."""
+def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges by the positions of their ends in an order."""
     a = permutation.select(F.col("v").alias("u"), F.col("new_pos").alias("nu"))
     b = permutation.select("v", F.col("new_pos").alias("nv"))
-    return permutation.select(F.col("new_pos").alias("v")), edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
-def _per_component(permutation: DataFrame, edges: DataFrame, kernel, name: str) -> DataFrame:
-    nodes, near = _numbered(permutation, edges)
-    near = cut(near)
-    comp = components(nodes, near)
+def _per_component(permutation: DataFrame, edges: DataFrame, kernel, name: str, named: DataFrame | None) -> DataFrame:
+    """The kernel's value of each position; named(v, comp) are the components, if they are known."""
+    if named is None:
+        named = components(permutation.select("v"), cut(edges.select("u", "v")))
+    comp = cut(permutation.join(named, "v").select(F.col("new_pos").alias("v"), "comp"))
+    near = cut(_numbered(permutation, edges))
     ends = near.join(comp.withColumnRenamed("v", "u"), "u").select("comp", "u", "v")
 
     def run(key, vertices: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -55,14 +57,14 @@ def _per_component(permutation: DataFrame, edges: DataFrame, kernel, name: str)
     return left.cogroup(right).applyInPandas(run, f"v int, {name} long")
 
 
-def elimination_tree(permutation: DataFrame, edges: DataFrame) -> DataFrame:
+def elimination_tree(permutation: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """v, parent of the elimination tree of the permuted matrix, both as positions; -1 at roots."""
-    return _per_component(permutation, edges, kernels.elimination_tree, "parent")
+    return _per_component(permutation, edges, kernels.elimination_tree, "parent", named)
 
 
-def fill(permutation: DataFrame, edges: DataFrame) -> DataFrame:
+def fill(permutation: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """One row: vertices, entries of the factor, and of the factor and its transpose together."""
-    counts = _per_component(permutation, edges, kernels.factor_counts, "entries")
+    counts = _per_component(permutation, edges, kernels.factor_counts, "entries", named)
     return counts.agg(F.count("*").alias("n"), F.sum("entries").alias("lnz")).select("n", "lnz", (2 * F.col("lnz") - F.col("n")).alias("l_nnz"))
 
 

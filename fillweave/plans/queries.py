@@ -615,10 +615,11 @@ def cold_regions(spark, sf_dir):
 @query()
 def fill_count(spark, sf_dir):
     """Factor entries of the cold order against those of the natural order."""
-    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), G.grid_edges(spark, sf_dir)
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    named = E.components(nodes, edges)
     natural = nodes.select(F.col("v").alias("new_pos"), "v")
-    ours = E.fill(O.cold(nodes, edges, _SMALL).permutation, edges).withColumn("ordering", F.lit("cold"))
-    return ours.union(E.fill(natural, edges).withColumn("ordering", F.lit("natural")))
+    ours = E.fill(O.cold(nodes, edges, _SMALL).permutation, edges, named).withColumn("ordering", F.lit("cold"))
+    return ours.union(E.fill(natural, edges, named).withColumn("ordering", F.lit("natural")))
 
 
 # In natural order the tree of a grid 50 wide is a path, but for the last row's end.
