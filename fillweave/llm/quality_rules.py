@@ -134,8 +134,10 @@ def judge(
     carry, the struct `document` has all of a document's columns.
     """
     counts = text_counts(docs, common)
-    counts = written(counts if carry else counts.drop("document"), "text-counts")
-    found = references(counts, common, least_docs)
+    narrow = written(counts.drop("document"), "text-counts")
+    found = references(narrow, common, least_docs)
+    # whole documents are counted again rather than written
+    counts = counts if carry else narrow
     listed = vocabulary(common)
     chars, n = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     kinds = [F.col("classes")[i] for i in range(len(CLASSES))]
