@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cut, written
 
 #: Common words of each language that has a reference (fixed values).
 COMMON_WORDS = {
@@ -50,14 +50,14 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     signs = "".join(chr(33 + i) for i in range(len(listed) + 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    cut = base.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    split = base.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
     words, n = F.col("words"), F.size("words")
     # three words in a row are told from others of their text by a 64-bit hash
     triples = F.when(n >= 3, F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(n - 2, F.lit(1)))).otherwise(F.array().cast("array<long>"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     short = F.filter(words, lambda w: F.length(w) <= longest)
     coded = F.array_join(F.transform(short, lambda w: F.substring(F.lit(signs), F.array_position(F.array(*map(F.lit, listed)), F.lower(w)).cast("int") + 1, F.lit(1))), "")
-    held = cut.select("document", "doc_id", "lang", "text", F.regexp_replace("text", CLASSES["lower"] + "+", "").alias("left"), n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
+    held = split.select("document", "doc_id", "lang", "text", F.regexp_replace("text", CLASSES["lower"] + "+", "").alias("left"), n.cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), triples.alias("triples"), lines.alias("lines"), coded.alias("coded"))
     triples = F.col("triples")
     # equal triples stand together when sorted with their places
     placed = F.sort_array(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
@@ -134,10 +134,9 @@ def judge(
     carry, the struct `document` has all of a document's columns.
     """
     counts = text_counts(docs, common)
-    narrow = written(counts.drop("document"), "text-counts")
-    found = references(narrow, common, least_docs)
-    # whole documents are counted again rather than written
-    counts = counts if carry else narrow
+    # with whole documents a checkpoint, which Spark can remove when it isn't needed any more
+    counts = cut(counts) if carry else written(counts.drop("document"), "text-counts")
+    found = references(counts, common, least_docs)
     listed = vocabulary(common)
     chars, n = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     kinds = [F.col("classes")[i] for i in range(len(CLASSES))]
