@@ -9,6 +9,8 @@ Counting rules come first. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ CLASSES = {
     "symbol": "[#*$%&|<>]",
     "wide": r"[^\x00-\x7F]",
 }
+#: Share of the distance of a text without listed words beyond which a text has too few of them.
+MOST_BARE = 0.98
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,11 +115,19 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def bare_distance(listed_share: float) -> float:
+    """The distance of a text without any listed word from a reference with that share of listed words."""
+    s = min(max(listed_share, 0.0), 1.0)
+    rest = (1 - s) * math.log2(2 * (1 - s) / (2 - s)) if s < 1 else 0.0
+    return math.sqrt(max(s + math.log2(2 / (2 - s)) + rest, 0.0) / 2)
+
+
 def judge(
     docs: DataFrame,
     common: dict[str, list[str]] = COMMON_WORDS,
     most_class: float = 0.25,
     most_common: float = 0.295,
+    most_bare: float = MOST_BARE,
     least_chars: int = 200,
     least_words: int = 100,
     least_docs: int = 20,
@@ -128,8 +140,11 @@ def judge(
     base_failed: fewer than min_words words, or more than most_repeat_percent of them in repeated
     triples. class_distance and common_distance are the least over the languages with a
     reference; null if there is no such language, or the text is shorter than least_chars or
-    least_words. kept: not base_failed, and neither distance over its limit. Texts that are null
-    or empty fail the base rules. Repeated rows are judged alike (each counts in the references);
+    least_words. kept: not base_failed, and not too far from every language. By common words
+    that is beyond most_common; for a text with a smaller share of them than the reference also
+    beyond most_bare times the distance that a text without any has from that reference, which
+    falls as junk rows dilute the reference. A reference without any common
+    word tells nothing and is passed over. Texts that are null or empty fail the base rules. Repeated rows are judged alike (each counts in the references);
     a null lang counts in none. Columns other than doc_id, text and lang don't matter; with
     carry, the struct `document` has all of a document's columns.
     """
@@ -147,6 +162,11 @@ def judge(
     counts = counts.withColumns(shares)
     by_class = [js_distance(F.col("class_shares"), c) for c, _ in found.values()]
     by_common = [js_distance(F.col(f"shares_{lang}"), w) for lang, (_, w) in found.items()]
+    fits = []
+    for d, (lang, (_, w)) in zip(by_common, found.items(), strict=True):
+        if w[-1] < 1:
+            limit = F.when(F.element_at(f"shares_{lang}", -1) > w[-1], min(most_common, most_bare * bare_distance(1 - w[-1]))).otherwise(most_common)
+            fits.append(d <= limit)
     least = lambda d, long: F.when(long, F.array_min(F.array(*d))) if d else F.lit(None).cast("double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     out = counts.select(
@@ -160,9 +180,10 @@ def judge(
         failed.alias("base_failed"),
         least(by_class, F.col("n_chars") >= least_chars).alias("class_distance"),
         least(by_common, F.col("n_words") >= least_words).alias("common_distance"),
+        ((F.col("n_words") >= least_words) & ~F.exists(F.array(*fits), lambda x: x) if fits else F.lit(False)).alias("few_common"),
     )
-    far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.coalesce(F.col("common_distance") > most_common, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+    far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.col("few_common")
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("few_common")
 
 
 def passing_documents(docs: DataFrame, **options) -> DataFrame:

@@ -175,5 +175,20 @@ def test_divergence_rejects_junk(spark, documents):
     assert sum(r["kept"] for r in fine) >= 0.98 * len(fine)
 
 
+@pytest.mark.parametrize("share", [0.08, 0.15, 0.31])
+def test_divergence_rejects_junk_of_any_share(spark, documents, share):
+    """Texts without a common word are rejected however many of them the references count, prose isn't."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghjkmprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    n = int(documents.count() * share / (1 - share))
+    long = documents.selectExpr("cast(avg(size(split(text, ' '))) as int)").first()[0]
+    rows = [(10**6 + i, " ".join(word() for _ in range(long)), lang, "s", 1) for i in range(n) for lang in ("en", "de", "fr")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(documents.union(spark.createDataFrame(rows, documents.schema))).collect()}
+    junk = [got[r[0]] for r in rows]
+    assert not any(r["base_failed"] or r["kept"] for r in junk)
+    before = {r["doc_id"] for r in quality_rules.judge(documents).where("kept").collect()}
+    assert sum(got[i]["kept"] for i in before) >= 0.98 * len(before)
+
+
 def queries_dir(documents):
     return documents.inputFiles()[0].rsplit("/", 1)[0]
