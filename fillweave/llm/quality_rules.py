@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
 
-#: Common words of each language that has a reference (fixed values).
+#: Common words of some languages (fixed values); those of other languages are counted.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "zu", "den", "das", "mit", "von", "ein", "auf", "für"],
     "en": ["the", "of", "and", "to", "in", "is", "it", "that", "for", "was", "on", "with"],
@@ -42,6 +42,29 @@ def vocabulary(common: dict[str, list[str]]) -> list[str]:
     return sorted({w for words in common.values() for w in words})
 
 
+def common_words(docs: DataFrame, common: dict[str, list[str]], least_docs: int, most_words: int = 12) -> dict[str, list[str]]:
+    """The words given, and for each further language with enough documents the words that it uses most.
+
+    Words are lower-cased; ties go to the smaller one. Words are read only if there are such languages.
+    """
+    lang = F.col("lang").cast("string")
+    rows = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+    further = sorted({r["lang"] for r in rows.collect()} - set(common))
+    if not further:
+        return common
+    words = F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0)))
+    counted = docs.where(lang.isin(further)).select(lang.alias("lang"), words.alias("word")).groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    # a language's words are cut down by an aggregate, so that none has to be sorted whole
+    top = counted.groupBy("lang", F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), 1, most_words).alias("top"))
+    top = top.select("lang", F.explode("top").alias("x")).select("lang", "x.*")
+    order = Window.partitionBy("lang").orderBy("n", "word")
+    best = top.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_words).orderBy("lang", "place").collect()
+    found = {x: [] for x in further}
+    for r in best:
+        found[r["lang"]].append(r["word"])
+    return common | {x: ws for x, ws in found.items() if ws}
+
+
 def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """The document, its doc_id and lang, and all counts of its whole text; a null text counts as empty.
 
@@ -50,8 +73,8 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     """
     listed = vocabulary(common)
     longest = max(map(len, listed))
-    # one character stands for each listed word, the first for all others
-    signs = "".join(chr(33 + i) for i in range(len(listed) + 1))
+    # one character stands for each listed word, the first for all others; the range of surrogates is left out
+    signs = "".join(chr(33 + i if 33 + i < 0xD800 else 0x10000 + i) for i in range(len(listed) + 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.struct(*docs.columns).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     split = base.select("*", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
@@ -95,7 +118,7 @@ def references(counts: DataFrame, common: dict[str, list[str]], least_docs: int)
     sums = [F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), F.count("*").alias("docs")]
     sums += [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(listed))]
     out = {}
-    # a row for each language of the parameter at most
+    # a row for each language that has words
     for r in counts.where(F.col("lang").isin(list(common))).groupBy("lang").agg(*sums).collect():
         if r["docs"] >= least_docs and r["chars"] and r["words"]:
             kinds = [r[f"c{i}"] for i in range(len(CLASSES))]
@@ -139,8 +162,10 @@ def judge(
 
     base_failed: fewer than min_words words, or more than most_repeat_percent of them in repeated
     triples. class_distance and common_distance are the least over the languages with a
-    reference; null if there is no such language, or the text is shorter than least_chars or
-    least_words. kept: not base_failed, and not too far from every language. By common words
+    reference, which each language with at least least_docs documents has; null if there is none, or the text is shorter than least_chars or
+    least_words. kept: not base_failed, and not too far from every language; a text of a
+    language that is neither in `common` nor has a reference is not rejected by distance (those
+    of `common` that are too rare are measured against the others, as the SQL does). By common words
     that is beyond most_common; for a text with a smaller share of them than the reference also
     beyond most_bare times the distance that a text without any has from that reference, which
     falls as junk rows dilute the reference. A reference without any common
@@ -148,6 +173,8 @@ def judge(
     a null lang counts in none. Columns other than doc_id, text and lang don't matter; with
     carry, the struct `document` has all of a document's columns.
     """
+    given = list(common)
+    common = common_words(docs, common, least_docs)
     counts = text_counts(docs, common)
     # with whole documents a checkpoint, which Spark can remove when it isn't needed any more
     counts = cut(counts) if carry else written(counts.drop("document"), "text-counts")
@@ -156,16 +183,16 @@ def judge(
     chars, n = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     kinds = [F.col("classes")[i] for i in range(len(CLASSES))]
     shares = {"class_shares": F.array(*(k / chars for k in [*kinds, F.col("n_chars") - sum(kinds)]))}
-    for lang in found:
+    for i, lang in enumerate(found):
         own = [F.col("common")[listed.index(w)] for w in common[lang]]
-        shares[f"shares_{lang}"] = F.array(*(x / n for x in [*own, F.col("n_words") - sum(own)]))
+        shares[f"shares_{i}"] = F.array(*(x / n for x in [*own, F.col("n_words") - sum(own)]))
     counts = counts.withColumns(shares)
     by_class = [js_distance(F.col("class_shares"), c) for c, _ in found.values()]
-    by_common = [js_distance(F.col(f"shares_{lang}"), w) for lang, (_, w) in found.items()]
+    by_common = [js_distance(F.col(f"shares_{i}"), w) for i, (_, w) in enumerate(found.values())]
     fits = []
-    for d, (lang, (_, w)) in zip(by_common, found.items(), strict=True):
+    for i, (d, (_, w)) in enumerate(zip(by_common, found.values(), strict=True)):
         if w[-1] < 1:
-            limit = F.when(F.element_at(f"shares_{lang}", -1) > w[-1], min(most_common, most_bare * bare_distance(1 - w[-1]))).otherwise(most_common)
+            limit = F.when(F.element_at(f"shares_{i}", -1) > w[-1], min(most_common, most_bare * bare_distance(1 - w[-1]))).otherwise(most_common)
             fits.append(d <= limit)
     least = lambda d, long: F.when(long, F.array_min(F.array(*d))) if d else F.lit(None).cast("double")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
@@ -181,9 +208,10 @@ def judge(
         least(by_class, F.col("n_chars") >= least_chars).alias("class_distance"),
         least(by_common, F.col("n_words") >= least_words).alias("common_distance"),
         ((F.col("n_words") >= least_words) & ~F.exists(F.array(*fits), lambda x: x) if fits else F.lit(False)).alias("few_common"),
+        (F.col("lang").isNull() | F.col("lang").isin([*given, *found])).alias("comparable"),
     )
     far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.col("few_common")
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop("few_common")
+    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("comparable") & far)).drop("few_common", "comparable")
 
 
 def passing_documents(docs: DataFrame, **options) -> DataFrame:

@@ -190,5 +190,25 @@ def test_divergence_rejects_junk_of_any_share(spark, documents, share):
     assert sum(got[i]["kept"] for i in before) >= 0.98 * len(before)
 
 
+def test_divergence_keeps_other_languages(spark, documents):
+    """Prose of languages that aren't listed is kept, with a reference or too rare for one; junk in them isn't."""
+    rng = random.Random(9)
+    greek = ["και", "το", "να", "του", "η", "της", "με", "που", "την", "από", "για", "είναι"]
+    polish = ["nie", "się", "na", "jest", "że", "do", "co", "jak", "ale", "po", "tak", "za"]
+    rare = lambda low, high: "".join(chr(rng.randint(low, high)) for _ in range(rng.randint(5, 8)))
+    prose = lambda words, low, high: " ".join(rng.choice(words) if rng.random() < 0.3 else rare(low, high) for _ in range(150))
+    rows = [(10**6 + i, prose(greek, 0x3B1, 0x3C9), "el", "s", 1) for i in range(30)]
+    rows += [(10**6 + 100 + i, prose(polish, 97, 122), "pl's", "s", 1) for i in range(30)]
+    rows += [(10**6 + 200 + i, prose(greek, 0x3B1, 0x3C9), "few", "s", 1) for i in range(5)]
+    junk = [(10**6 + 300, " ".join(f"{i}%%{i * 7}" for i in range(300)), "el", "s", 1)]
+    mixed = documents.union(spark.createDataFrame(rows + junk, documents.schema))
+    words = quality_rules.common_words(mixed, quality_rules.COMMON_WORDS, 20)
+    assert set(words) == {"de", "en", "es", "fr", "el", "pl's"}
+    assert set(words["el"]) == set(greek) and set(words["pl's"]) == set(polish)
+    got = {r["doc_id"]: r for r in quality_rules.judge(mixed).collect()}
+    assert all(got[r[0]]["kept"] for r in rows)
+    assert not got[10**6 + 300]["base_failed"] and not got[10**6 + 300]["kept"]
+
+
 def queries_dir(documents):
     return documents.inputFiles()[0].rsplit("/", 1)[0]
