@@ -15,6 +15,7 @@ and the item-sized passage there is verified by its exact edit distance, counted
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ from . import textvec as tv
 from .common import documents
 
 _U = np.uint64
-#: Window sizes; an item uses the largest that it has words for.
+#: Window sizes; an item uses the largest that finds it with at most FEW_WALKS walks.
 WINDOWS = (10, 5, 2, 1)
+FEW_WALKS = 16
+#: Items of more words than this are found at least as often as those of this many.
+LONG_ITEM = 40
 
 
 def repetitions(recall: float, kept_words: float, samples: int) -> int:
@@ -42,11 +46,12 @@ class Walks:
     """The random walks and sampled steps of one window size."""
 
     def __init__(self, window: int, count: int, seed: int = 17) -> None:
-        rng = np.random.default_rng([seed, window])
+        # a walk doesn't depend on how many there are
+        each = [np.random.default_rng([seed, window, r]) for r in range(count)]
         self.window = window
         size = max(1, (window + 1) // 2)
-        self.seeds = rng.integers(0, 2**63, count, dtype=np.uint64)
-        self.samples = [np.sort(rng.choice(window, size, replace=False)) for _ in range(count)]
+        self.seeds = np.array([rng.integers(0, 2**63, dtype=np.uint64) for rng in each])
+        self.samples = [np.sort(rng.choice(window, size, replace=False)) for rng in each]
 
     def keys(self, h: np.ndarray, starts: np.ndarray, which: int) -> np.ndarray:
         """The sampled words of walk `which` from each start, as one 64-bit key.
@@ -67,12 +72,69 @@ class Walks:
         return tv.mix(key)
 
 
+def _edited(items: np.ndarray, edits: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """Each row with words replaced, inserted or deleted at random places, and random words around."""
+    new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    rows = []
+    n = items.shape[1]
+    for item in items:
+        at = rng.choice(n, edits, replace=False)
+        if kind == "replace":
+            item = item.copy()
+            item[at] = new(edits)
+        elif kind == "insert":
+            item = np.insert(item, at, new(edits))
+        else:
+            item = np.delete(item, at)
+        rows.append(np.concatenate([new(10), item, new(10)]))
+    return np.stack(rows)
+
+
+@lru_cache(maxsize=1024)
+def walks_needed(n: int, size: int, edits: int, recall: float, trials: int = 400) -> int:
+    """Walks that find passages with `edits` edits to items of n words with the recall wanted; 0 if over FEW_WALKS.
+
+    Told by trial with the very walks that are used; of each kind of edit the share has to be reached.
+    """
+    if not edits:
+        return 1
+    rng = np.random.default_rng([5, n, size, edits])
+    walks, most = Walks(size, FEW_WALKS), 1
+    grid = lambda a: (a.ravel(), (np.arange(len(a))[:, None] * a.shape[1] + np.arange(a.shape[1] - size + 1)).ravel(), a.shape[1] - size + 1)
+    for kind in ("replace", "insert", "delete"):
+        items = rng.integers(0, 2**63, (trials, n), dtype=np.uint64)
+        a, b = grid(items), grid(_edited(items, edits, kind, rng))
+        found = np.zeros(trials, dtype=bool)
+        for r in range(FEW_WALKS):
+            ka, kb = (walks.keys(h, starts, r) for h, starts, _ in (a, b))
+            found[np.flatnonzero(np.isin(ka, kb)) // a[2]] = True
+            if found.mean() >= recall + 0.01:
+                break
+        else:
+            return 0
+        most = max(most, r + 1)
+    return most
+
+
+@lru_cache(maxsize=1024)
+def window_and_walks(n: int, recall: float, kept_words: float, max_edits: float) -> tuple[int, int]:
+    """The window size and the number of walks for items of n words."""
+    m = min(n, LONG_ITEM)
+    for size in (w for w in WINDOWS if w <= n):
+        count = walks_needed(m, size, int(max_edits * m), recall)
+        if count:
+            break
+    else:
+        size, count = 1, FEW_WALKS
+    return size, max(count, repetitions(recall, kept_words, max(1, (size + 1) // 2)))
+
+
 class Table:
-    """The windows of some items under every walk, looked up by key."""
+    """The windows of some items, each under as many of the walks as it needs, looked up by key."""
 
     BITS = 20
 
-    def __init__(self, walks: Walks, hashes: list[np.ndarray], items: list[int]) -> None:
+    def __init__(self, walks: Walks, hashes: list[np.ndarray], items: list[int], counts: list[int]) -> None:
         self.walks = walks
         flat = np.concatenate(hashes)
         begin = np.cumsum([0, *map(len, hashes)])
@@ -83,13 +145,16 @@ class Table:
             offset.append(np.arange(n))
         self.starts = np.concatenate([o + b for o, b in zip(offset, begin[:-1], strict=True)])
         self.item, self.offset = np.concatenate(item), np.concatenate(offset)
+        needed = np.repeat(counts, [len(o) for o in offset])
         self.tables = []
         for r in range(len(walks.seeds)):
-            keys = walks.keys(flat, self.starts, r)
-            order = np.argsort(keys, kind="stable")
+            some = np.flatnonzero(needed > r)
+            keys = walks.keys(flat, self.starts[some], r)
+            sort = np.argsort(keys, kind="stable")
+            keys, order = keys[sort], some[sort]
             seen = np.zeros(1 << self.BITS, dtype=bool)
             seen[(keys >> _U(64 - self.BITS)).astype(np.int64)] = True
-            self.tables.append((keys[order], order, seen))
+            self.tables.append((keys, order, seen))
 
     def hits(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of start, index of item window) of all equal keys."""
@@ -154,13 +219,12 @@ class Index:
                 hashes.append(tv.span_hashes(piece.data, w.starts, w.ends, tv.LOWER_VALUES))
                 self.places.append(places(hashes[-1].tolist()))
         self.tables = []
-        left = list(range(len(hashes)))
+        plan = [window_and_walks(len(h), recall, kept_words, max_edits) for h in hashes]
         for size in WINDOWS:
-            fit = [i for i in left if len(hashes[i]) >= size]
-            left = [i for i in left if len(hashes[i]) < size]
+            fit = [i for i, (window, _) in enumerate(plan) if window == size]
             if fit:
-                count = repetitions(recall, kept_words, max(1, (size + 1) // 2))
-                self.tables.append(Table(Walks(size, count), [hashes[i] for i in fit], fit))
+                counts = [plan[i][1] for i in fit]
+                self.tables.append(Table(Walks(size, max(counts)), [hashes[i] for i in fit], fit, counts))
 
     def search(self, piece: tv.Piece):
         """(row, item number, first word, words, edits) of each passage found in a piece."""

@@ -3,10 +3,12 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fillweave.llm import decontaminate, quality_rules, queries, sharding, url_filter
+from fillweave.llm import textvec as tv
 
 
 def brute_edits(item, text):
@@ -54,6 +56,24 @@ def test_planted_passages(spark, rate):
     assert all(len(passages[i].split()) < 8 for d, i in got - want)
 
 
+@pytest.mark.parametrize("n", [5, 8, 10, 12, 15, 20])
+def test_recall_at_the_limit(n):
+    """Items of each length are found with as many of their words replaced as the limit allows."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    items = [[word() for _ in range(n)] for _ in range(200)]
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in enumerate(items)], 0.95, 0.9, 0.3)
+    texts = []
+    for x in items:
+        at = set(rng.sample(range(n), int(0.3 * n)))
+        texts.append(" ".join([word() for _ in range(20)] + [word() if i in at else w for i, w in enumerate(x)] + [word() for _ in range(20)]))
+    found = set()
+    for piece in tv.pieces(pa.array(texts)):
+        found |= {(piece.lo + row, item) for row, item, *_ in index.search(piece)}
+    # two standard deviations of 200 trials below the recall stated
+    assert len(found & {(i, i) for i in range(200)}) >= (0.95 - 0.031) * 200
+
+
 def test_benchmark_query_finds_all_exact_passages(spark, sf_dir, documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     want = {(d["doc_id"], i["item_id"]) for d in documents.collect() for i in items if i["text"] in d["text"]}
