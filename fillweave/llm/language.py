@@ -71,8 +71,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     if not steps:
         return label
     alive = np.searchsorted(-counts, -np.arange(1, steps + 1), side="right")
-    back = np.zeros(scores.shape, dtype=np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.int8 if scores.shape[1] <= 128 else np.int16
+    back = np.zeros(scores.shape, dtype=kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     best = scores[first[: alive[0]]].astype(np.float64)
     for t in range(1, steps):
         n = alive[t]
@@ -92,17 +93,19 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
-def learn(docs: DataFrame, holdout_parts: int = 5, rows_per_language: int = 2000, most_languages: int = 64, bits: int = 15, penalty: float = 8.0) -> Model:
+def learn(docs: DataFrame, holdout_parts: int = 5, rows_per_language: int = 2000, bits: int = 15, penalty: float = 8.0) -> Model:
     """Learn from text and non-null lang of the documents that aren't held out.
 
     At most about rows_per_language documents of each language are read, drawn by a hash of
-    their ids, and at most most_languages languages, those with most documents. Character
-    statistics are counted in tasks; the driver gets their bounded tables.
+    their ids, and all languages. Character statistics are counted in tasks; the driver gets
+    their tables, which have fewer than 2**bits columns a language if there are over 256.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where((label_part(F.col("doc_id"), holdout_parts) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r["lang"] for r in counts)
+    while bits > 8 and len(languages) << bits > 1 << 23:
+        bits -= 1
     if not languages:
         return Model([], bits, np.zeros((1 << bits, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), penalty)
     share = F.lit(0)
@@ -177,7 +180,8 @@ def _batches(model: Model, batches, id_col: str, text_col: str, group_bytes: int
         for piece in tv.pieces(text):
             parts.append(letter_words(piece))
             size += len(piece.data)
-            if size >= group_bytes or piece.hi == batch.num_rows:
+            # scores have a column for each language
+            if size >= group_bytes * 64 // max(64, len(model.languages)) or piece.hi == batch.num_rows:
                 yield batch, lo, _labelled(model, ids.slice(lo, piece.hi - lo), parts)
                 parts, size, lo = [], 0, piece.hi
 

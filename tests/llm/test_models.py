@@ -160,3 +160,14 @@ def test_ranking_orders_pairs():
     label = (x @ np.array([2.0, -1.0, 0.5, 0.0]) + rng.normal(size=400) * 0.3 > 0).astype(int)
     model = quality.fit(x[:300], label[:300], float((label[:300] == 0).mean()))
     assert np.mean((model.probability(x[300:]) >= 0.5) == label[300:]) >= 0.9
+
+
+def test_language_model_has_all_languages(spark):
+    """Each of 140 languages is learned and told, those with fewest documents too."""
+    texts = [" ".join(chr(97 + i // 12) + chr(97 + i % 12) * 2 + x for x in ("k", "l", "m", "n") * 10) for i in range(140)]
+    rows = [(1000 * k + i, f"l{i:03d}", texts[i]) for i in range(140) for k in range(6 if i else 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    model = language.learn(docs)
+    assert len(model.languages) == 140
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert sum(got[d] == lang for d, lang, _ in rows) >= 0.98 * len(rows)
