@@ -6,27 +6,40 @@ first collection, group j of the second), so 2*m*width minhashes give the m*m ke
 banding would want 2*m*m*width minhashes for. With m = 12 and width = 2 a pair of similarity
 0.75 shares a key with probability (1 - (1 - 0.75**2)**12)**2 > 0.9999.
 
-Documents of equal sets form classes, and only classes are compared. Buckets are linked without
-making all their pairs: first each member with one centre, then with the member that has most
-links; what is then still in different components is compared exhaustively. In small buckets a
-pair goes on if enough hash groups agree. In large ones, where such pairs would be many, their
-256 smallest hashes are compared inside the join: for sets of no more than that this is the
-exact test, and larger sets of similarity 0.75 share under 60 per cent of them with a
-probability below one in a million. Every link is confirmed by the sizes of intersection and
-union of the whole sets.
+Documents of equal sets form classes, and only classes are compared. A bucket's members are
+linked first and its keys are formed last, so that few keys are ever written:
+
+1. In each bucket of a group of the first collection, every member is tried with one centre;
+   links are verified and joined to components.
+2. Only groups whose members are still in different components go on. Their nodes form table
+   keys from what is left of both collections, and each key's members are tried with the member
+   that has most links.
+3. What is still apart is compared pair by pair, block against block. Rows are laid out by the
+   first half of the key and the second half is asked of each pair, so that a node takes a row
+   for each open group and not for each key.
+
+A candidate goes on if enough bytes of two sketches agree (128 further minhashes, a byte each);
+a pair of the similarity wanted fails that with a probability below one in a hundred thousand.
+In step 3, where such pairs can be many, the smallest hashes of the two sets are compared instead.
+Every link is confirmed by the sizes of intersection and union of the whole sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import cut, documents, written
+from .common import cut, documents
 
 _U = np.uint64
+#: Bytes of a sketch, and the 64-bit words that hold them.
+SKETCH = 128
+WORDS = [f"q{i}" for i in range(SKETCH // 8)]
 
 
 def shingle_sets(piece: tv.Piece, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -68,37 +81,58 @@ def _fold(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _group_hashes(hashes: np.ndarray, bounds: np.ndarray, groups: int, width: int) -> np.ndarray:
-    """For each row 2 * groups hashes, each of `width` minhashes; rows with empty sets get zeros."""
+    """For each row a 64-bit word for each i: group i of the first collection above that of the second.
+
+    A group has 32 bits of `width` minhashes; rows with empty sets get zeros.
+    """
     n = len(bounds) - 1
     out = np.zeros((n, 2 * groups), dtype=np.uint64)
     full = np.flatnonzero(np.diff(bounds))
-    if not len(full):
-        return out
-    starts = bounds[:-1][full]
-    seeds = tv.mix(np.arange(1, 4 * groups * width + 1, dtype=np.uint64))
-    for g in range(2 * groups):
-        value = np.zeros(len(full), dtype=np.uint64)
-        for i in range(width):
-            k = 2 * (g * width + i)
-            least = np.minimum.reduceat((hashes ^ seeds[k]) * (seeds[k + 1] | _U(1)), starts)
-            value = tv.mix(value + least)
-        out[full, g] = value
-    return out
+    if len(full):
+        starts = bounds[:-1][full]
+        seeds = tv.mix(np.arange(1, 4 * groups * width + 1, dtype=np.uint64))
+        for g in range(2 * groups):
+            value = np.zeros(len(full), dtype=np.uint64)
+            for i in range(width):
+                k = 2 * (g * width + i)
+                least = np.minimum.reduceat((hashes ^ seeds[k]) * (seeds[k + 1] | _U(1)), starts)
+                value = tv.mix(value + least)
+            out[full, g] = value >> _U(32)
+    return (out[:, :groups] << _U(32)) | out[:, groups:]
+
+
+def _sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each row SKETCH minhashes of a byte each, as 64-bit words; rows with empty sets get zeros."""
+    out = np.zeros((len(bounds) - 1, SKETCH), dtype=np.uint8)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        starts = bounds[:-1][full]
+        seeds = tv.mix(np.arange(1 << 20, (1 << 20) + 2 * SKETCH, dtype=np.uint64)).astype(np.uint32)
+        half = (hashes >> _U(32)).astype(np.uint32)
+        work = np.empty_like(half)
+        for i in range(SKETCH):
+            np.bitwise_xor(half, seeds[2 * i], out=work)
+            np.multiply(work, seeds[2 * i + 1] | np.uint32(1), out=work)
+            out[full, i] = (np.minimum.reduceat(work, starts) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return out.view(np.uint64)
 
 
 def signatures(docs: DataFrame, groups: int = 12, width: int = 2, k: int = 5) -> DataFrame:
-    """doc_id, the set's size, its two digests, and the hash groups of both collections."""
+    """doc_id, text_key, the set's size, its two digests, p0.. (the hash groups) and q0.. (the sketch)."""
+    names = [f"p{i}" for i in range(groups)] + WORDS
 
     def run(batches):
         for batch in batches:
-            for piece in tv.pieces(batch.column(1)):
+            for piece in tv.pieces(batch.column(2)):
                 hashes, bounds = shingle_sets(piece, k)
                 s1, s2 = _fold(hashes, bounds)
-                g = _group_hashes(hashes, bounds, groups, width).view(np.int64)
-                at = pa.array(np.arange(0, g.size + 1, g.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(at, pa.array(g.ravel()))], ["doc_id", "n_shingles", "s1", "s2", "groups"])
+                words = np.hstack([_group_hashes(hashes, bounds, groups, width), _sketches(hashes, bounds)]).view(np.int64)
+                own = [batch.column(c).slice(piece.lo, piece.n) for c in (0, 1)]
+                columns = [pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), *columns], ["doc_id", "text_key", "n_shingles", "s1", "s2", *names])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, groups array<long>")
+    keyed = documents(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "text_key", "n_shingles", "s1", "s2", *names]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -149,26 +183,59 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
-def _agreeing(groups: int) -> tuple:
-    """Of two joined rows: how many hash groups agree, and the first key that they share.
+def agreeing_bytes(percent: int, miss: float = 1e-5) -> int:
+    """How many bytes of two sketches agree at least, but for a chance of `miss`, if sets are `percent` per cent alike."""
+    s, below = percent / 100, 0.0
+    for n in range(SKETCH + 1):
+        below += math.comb(SKETCH, n) * s**n * (1 - s) ** (SKETCH - n)
+        if below > miss:
+            return n
+    return SKETCH
 
-    A pair is made in the bucket of its first shared key alone.
-    """
-    same = F.zip_with("groups_a", "groups_b", lambda x, y: x == y)
-    first = F.array_position(F.slice(same, 1, groups), True)
-    second = F.array_position(F.slice(same, groups + 1, groups), True) + groups
-    tag = lambda at: F.xxhash64((at - 1).cast("int"), F.element_at("groups_a", at.cast("int")))
-    return F.size(F.filter(same, lambda x: x)), F.xxhash64(tag(first), tag(second))
+
+def _agreement() -> Column:
+    """How many bytes agree of the sketches in columns q0_a.. and q0_b.. ."""
+    total = F.lit(SKETCH)
+    for c in WORDS:
+        x = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        # the lowest bit of each byte now tells if any bit of it is set
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
+def _likely(pairs: DataFrame, heads: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in at least `least` bytes."""
+    for side in "ab":
+        pairs = pairs.join(heads.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in WORDS)), side)
+    return pairs.where(_agreement() >= least).select("a", "b")
 
 
-def _apart(rows: DataFrame, *keys: str) -> DataFrame:
-    """Each two rows of one key whose components differ, the columns with suffixes _a and _b."""
-    left, right = (rows.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c not in keys)) for s in "ab")
-    return left.join(right, list(keys)).where("node_a < node_b and comp_a <> comp_b").withColumnsRenamed({"node_a": "a", "node_b": "b"})
+def _tags(nodes: DataFrame, groups: int, second: bool) -> DataFrame:
+    """node (and comp), t and g for each hash group of the first collection, or of both: t is its number."""
+    words = [F.col(f"p{i}") for i in range(groups)]
+    halves = [F.shiftrightunsigned(w, 32) for w in words] + ([w.bitwiseAND(F.lit(0xFFFFFFFF)) for w in words] if second else [])
+    rows = nodes.select(*(c for c in nodes.columns if c in ("node", "comp")), F.posexplode(F.array(*halves)).alias("t", "half"))
+    return rows.select(*(c for c in rows.columns if c != "half"), F.xxhash64("t", "half").alias("g")).withColumn("t", F.col("t").cast("int"))
 
 
-def _sketches(texts: DataFrame, n: int, k: int) -> DataFrame:
-    """node, its set's size, and the set's n smallest hashes (all of them, if it has no more)."""
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Pairs (node, centre) as (a, b) with a < b, each once."""
+    return rows.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open(tags: DataFrame) -> DataFrame:
+    """The groups whose members are in more than one component."""
+    return cut(tags.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g"))
+
+
+def _smallest(texts: DataFrame, n: int, k: int) -> DataFrame:
+    """node, and the n smallest hashes of its set (all of them, if it has no more), 32 bits each."""
 
     def run(batches):
         for batch in batches:
@@ -177,92 +244,192 @@ def _sketches(texts: DataFrame, n: int, k: int) -> DataFrame:
                 counts = np.minimum(np.diff(bounds), n)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 low = hashes[np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])].astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.array(np.diff(bounds)), lists], ["node", "size", "sketch"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, size long, sketch array<int>").dropDuplicates(["node"])
-
-
-def near_duplicates(
-    docs: DataFrame,
-    percent: int = 75,
-    groups: int = 12,
-    width: int = 2,
-    k: int = 5,
-    least_agreeing: int = 4,
-    few_in_bucket: int = 32,
-    sketch: int = 256,
-    sketch_share: float = 0.6,
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and kept.
-
-    Documents whose sets have 100 * intersection >= percent * union are linked; component_id is
-    the smallest doc_id reachable. A null or empty text, or one without words, has an empty set
-    and is linked with nothing. A null doc_id is no smallest id: such a row gets the component
-    of the others with its set, null if there are none, and is kept only if that is null.
-    Repeated rows share a component and, as they share its id too, are kept alike.
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))], ["node", "low"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, low array<int>").dropDuplicates(["node"])
+
+
+def shared_counts(low: np.ndarray, bounds: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """For each two rows how many values they share; row r has the distinct values low[bounds[r] : bounds[r + 1]]."""
+    m = len(bounds) - 1
+    row = np.repeat(np.arange(m), np.diff(bounds))
+    _, value, often = np.unique(low, return_inverse=True, return_counts=True)
+    keep = often[value] > 1
+    number = np.cumsum(often > 1) - 1
+    row, value = row[keep], number[value[keep]]
+    out = np.zeros((m, m), dtype=np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
+        here = (value >= lo) & (value < lo + chunk)
+        has = np.zeros((m, min(chunk, int(number[-1]) + 1 - lo)), dtype=np.float32)
+        has[row[here], value[here] - lo] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _run_pairs(t: int, first: int, second: int, block: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, groups: np.ndarray, low: np.ndarray, bounds: np.ndarray, percent: int, smallest: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one run: between the rows of block `first` and of block `second` (maybe the same) of a bucket."""
+    both = shared_counts(low, bounds)
+    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+    exact = 100 * both >= percent * (small + large - both)
+    ok = np.where(large <= smallest, exact, (both >= share * np.minimum(small, smallest)) & (100 * small >= percent * large))
+    ok &= (comp[:, None] != comp) & (block[:, None] == first) & (block == second)
+    if first == second:
+        ok &= node[:, None] < node
+    i, j = np.nonzero(ok)
+    same = groups[i] ^ groups[j]
+    tops = (same >> _U(32)) == 0
+    here = (np.argmax(tops, axis=1) == t) & tops.any(axis=1) & ((same & _U(0xFFFFFFFF)) == 0).any(axis=1)
+    return np.minimum(node[i], node[j])[here], np.maximum(node[i], node[j])[here]
+
+
+def _in_open_buckets(tags: DataFrame, names: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, groups: int, k: int, smallest: int, share: float, rows_in_block: int) -> DataFrame:
+    """All pairs (a, b) of different components that share a table key and seem alike enough, each once.
+
+    Buckets are those of the first half of the key; the second half is asked of each pair, and a
+    pair is made at the first such half that it shares. Every two blocks of a bucket are a run of
+    at most 2 * rows_in_block rows or so, so a large bucket is many tasks' work. Pairs are told
+    apart by their smallest hashes: for sets that have no more of them this is the exact test.
+    Larger sets that are alike enough share fewer than `share` of them with a probability below
+    one in a million (256 of them, similarity 0.75, share 0.6).
+    """
+    named = _with_names(tags.select("g", "t", "node"), names)
+    sizes = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    sizes = cut(sizes.where("lo <> hi").select("g", F.ceil(F.col("size") / rows_in_block).cast("int").alias("blocks")))
+    rest = cut(named.join(sizes, "g"))
+    own = heads.select("node", F.col("n_shingles").alias("n"), F.array(*(f"p{i}" for i in range(groups))).alias("groups"))
+    own = own.join(_smallest(texts.join(rest.select("node").distinct(), "node", "left_semi"), smallest, k), "node")
+    block = F.pmod(F.hash("node"), F.col("blocks"))
+    rest = rest.select("g", "t", "node", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(own, "node")
+    rest = rest.select("g", "t", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "comp", "n", "groups", "low")
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if len(ends):
+                yield from runs(held, keys, np.concatenate([[0], ends]))
+                held = held.slice(int(ends[-1]))
+        if held is not None and held.num_rows:
+            keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            yield from runs(held, keys, np.array([0, held.num_rows]))
+
+    def runs(held, keys, bounds):
+        block, node, comp, n = (held.column(c).to_numpy() for c in range(4, 8))
+        words = held.column(8).flatten().to_numpy().view(np.uint64).reshape(-1, groups)
+        counts = np.asarray(held.column(9).value_lengths()).astype(np.int64)
+        low, at = held.column(9).flatten().to_numpy(), np.concatenate([[0], np.cumsum(counts)])
+        a, b = [], []
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if (comp[x:y] != comp[x]).any():
+                _, t, first, second = keys[:, x].tolist()
+                found = _run_pairs(t, first, second, block[x:y], node[x:y], comp[x:y], n[x:y], words[x:y], low[at[x] : at[y]], at[x : y + 1] - at[x], percent, smallest, share)
+                a.append(found[0])
+                b.append(found[1])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    key = ["g", "t", "first", "second"]
+    return rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+
+
+def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): doc_id, text_key, n_shingles, s1, s2 of each row; node, s2, n_shingles, rep and comp of each class of equal sets.
+
+    rep is the class's smallest doc_id, null if it has none; comp names its component.
     """
-    shown = written(signatures(docs, groups, width, k), "signatures")
-    # tables of groups are cut off from the grouping, so that Spark can split a hot group's rows when they are joined
-    classes = cut(shown.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    narrow = shown.select("doc_id", "n_shingles", "s1", "s2")
-    member = narrow.join(classes, ["s1", "s2", "n_shingles"], "left")
-
-    # one row per class, with the hash groups of one of its documents
-    heads = shown.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    heads = heads.select(F.col("s1").alias("node"), "doc_id", "groups")
-    tags = heads.select("node", F.posexplode("groups").alias("t", "g")).select("node", "t", F.xxhash64("t", "g").alias("g"))
-    often = cut(tags.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    shared = tags.join(often, "g", "left_semi").groupBy("node").agg(F.collect_set(F.struct("t", "g")).alias("tg"))
-    side = lambda first: F.filter("tg", lambda x: (x["t"] < groups) == F.lit(first))
-    shared = shared.select("node", side(True).alias("one"), side(False).alias("two")).where("size(one) > 0 and size(two) > 0")
-    keys = shared.select("node", F.explode("one").alias("x"), "two").select("node", "x", F.explode("two").alias("y"))
-    keys = keys.select("node", F.xxhash64("x.g", "y.g").alias("key"))
-    busy = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1"))
-    keys = cut(keys.join(busy, "key").select("node", "key", "centre"))
-
-    involved = keys.select("node").distinct()
-    texts = documents(docs).join(heads.join(involved, "node", "left_semi").select("node", "doc_id"), "doc_id").select("node", "text")
-    texts = written(texts, "candidate-texts")
-
-    def star(rows: DataFrame) -> DataFrame:
-        pairs = rows.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        return pairs.distinct()
-
-    tried = cut(star(keys))
+    shown = cut(signatures(docs, groups, width, k))
+    words = [c for c in shown.columns if c[0] in "pq"]
+    # a text is found again by its id, or by its hash where it has none
+    key = F.coalesce("doc_id", "text_key")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), key.alias("key")))["key"]
+    # cut off from the grouping, so that Spark can split a hot group's rows when tables are joined
+    heads = cut(shown.where("n_shingles > 0").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), head.alias("key"), *(F.first(c).alias(c) for c in words)))
+    least = agreeing_bytes(percent)
+
+    tags = _tags(heads, groups, second=False)
+    busy = cut(tags.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("g", "centre"))
+    tags = cut(tags.join(busy, "g"))
+    tried = cut(_likely(_ordered(tags), heads, least))
+
+    involved = heads.join(tags.select("node").distinct(), "node", "left_semi").select("node", "key")
+    narrow = documents(docs)
+    named = narrow.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
+    # rows without an id are found by their texts, each of which is taken once
+    nameless = narrow.where("doc_id is null").select(F.xxhash64("text").alias("key"), "text").distinct()
+    texts = cut(named.union(nameless).join(involved, "key").select("node", "text"))
+
     links = cut(_verified(tried, texts, percent, k))
+    names = components(links)
+
+    # table keys of what is still apart
+    first = _with_names(tags.select("g", "node"), names)
+    live = _with_names(first.join(_open(first), "g", "left_semi").select("node").distinct(), names)
+    both = cut(_tags(heads.join(live, "node").select("node", "comp", *(c for c in words if c[0] == "p")), groups, second=True))
+    left = both.join(_open(both), "g", "left_semi").groupBy("node", "comp").agg(F.collect_set(F.struct("t", "g")).alias("tg"))
+    side = lambda one: F.filter("tg", lambda x: (x["t"] < groups) == F.lit(one))
+    halves = cut(left.select("node", "comp", side(True).alias("one"), side(False).alias("two")).where("size(one) > 0 and size(two) > 0"))
+    keys = halves.select("node", "comp", F.explode("one").alias("x"), "two").select("node", "comp", "x", F.explode("two").alias("y"))
+    keys = keys.select("node", "comp", F.xxhash64("x.g", "y.g").alias("key"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = keys.select("node", "key").join(degree, "node")
-    hubs = ranked.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
-    more = cut(star(keys.select("node", "key").join(hubs, "key")).join(tried, ["a", "b"], "left_anti"))
+    ranked = keys.join(degree, "node", "left").select("key", "node", "comp", F.coalesce("degree", F.lit(0)).alias("degree"))
+    hubs = ranked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "node", "comp")).alias("hub")).where("lo <> hi")
+    hubs = cut(hubs.select("key", F.col("hub.node").alias("centre"), F.col("hub.comp").alias("of")))
+    more = _ordered(keys.join(hubs, "key").where("comp <> of").select("node", "centre"))
+    more = cut(_likely(more.join(tried, ["a", "b"], "left_anti"), heads, least))
     tried = tried.union(more)
-    links = cut(links.union(_verified(more, texts, percent, k)))
+    found = cut(_verified(more, texts, percent, k))
+    names = components(names.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
 
-    # what is still apart within a bucket is compared pair by pair, each pair once
-    names = components(links)
-    named = keys.select("node", "key").join(names, "node", "left").select("node", "key", F.coalesce("comp", "node").alias("comp"))
-    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = cut(named.join(split, "key"))
-    groups_of = heads.select("node", "groups")
-    few = rest.where(F.col("n") <= few_in_bucket).select("key", "node", "comp").join(groups_of, "node")
-    agreeing, first = _agreeing(groups)
-    apart = _apart(few, "key").where((F.col("key") == first) & (agreeing >= least_agreeing))
-
-    many = rest.where(F.col("n") > few_in_bucket).select("node", "comp").distinct().join(groups_of, "node")
-    many = many.select("node", "comp", F.slice("groups", 1, groups).alias("groups")).join(_sketches(texts, sketch, k), "node")
-    many = many.select("*", F.posexplode("groups").alias("t", "key"))
-    alike = F.size(F.array_intersect("sketch_a", "sketch_b"))
-    whole = (F.col("size_a") <= sketch) & (F.col("size_b") <= sketch)
-    likely = F.when(whole, 100 * alike >= percent * (F.col("size_a") + F.col("size_b") - alike)).otherwise(alike >= sketch_share * F.least("size_a", "size_b", F.lit(sketch)))
-    first_same = F.array_position(F.zip_with("groups_a", "groups_b", lambda x, y: x == y), True) - 1
-    hot = _apart(many, "t", "key").where((F.col("t") == first_same) & likely)
-
-    pairs = apart.select("a", "b").union(hot.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(cut(pairs), texts, percent, k))
-    names = components(links)
+    # what is still apart then is compared pair by pair, each pair once
+    pairs = _in_open_buckets(tags, names, heads, texts, percent, groups, k, smallest, share, rows_in_block)
+    found = _verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), texts, percent, k)
+    names = components(names.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+    return shown.select("doc_id", "text_key", "n_shingles", "s1", "s2"), _with_names(heads.select("node", "s2", "n_shingles", "rep"), names)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, groups: int = 12, width: int = 2, k: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and kept.
 
-    found = member.join(names, member.s1 == names.node, "left").select("doc_id", member.n_shingles, "rep", F.coalesce("comp", "s1").alias("comp"))
-    least = cut(found.where("rep is not null").groupBy("comp").agg(F.min("rep").alias("component_id")))
-    full = found.where("n_shingles > 0").join(least, "comp", "left").select("doc_id", "n_shingles", "component_id")
-    empty = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    Documents whose sets have 100 * intersection >= percent * union are linked; component_id is
+    the smallest doc_id reachable. A null or empty text, or one without words, has an empty set
+    and is linked with nothing. A null doc_id is no smallest id, but links like any other: such a
+    row gets the smallest doc_id that it reaches, null if there is none, and is kept only if that
+    is null. Repeated rows share a component and, as they share its id too, are kept alike.
+    Texts of any length are compared whole. An empty table gives no rows, and columns other than
+    doc_id and text don't matter.
+    """
+    members, classes = classes_and_members(docs, percent, groups, width, k)
+    classes = cut(classes)
+    least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = cut(classes.join(least, "comp").select(F.col("node").alias("s1"), "s2", "n_shingles", "component_id"))
+    linked = members.join(named, ["s1", "s2", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame, percent: int = 75, groups: int = 12, width: int = 2, k: int = 5) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns.
+
+    The one of the smallest doc_id stays, or where no id is there that of the smallest text hash;
+    of rows equal in id and text one stays. Where two rows of one id have different texts each is
+    judged by its own. Texts without words are linked with nothing and stay, repeated or not. An
+    empty table gives no rows; extra columns are carried along, whatever their names.
+    """
+    members, classes = classes_and_members(docs, percent, groups, width, k)
+    classes = cut(classes.select(F.col("node").alias("s1"), "s2", "n_shingles", "comp"))
+    rows = members.where("n_shingles > 0").groupBy("doc_id", "text_key", "s1", "s2", "n_shingles").agg(F.count("*").alias("n"))
+    rows = cut(rows.join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "text_key", "comp", "n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_key")
+    first = cut(rows.groupBy("comp").agg(F.min(order).alias("first")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
+    # only rows that go, or that have their like, are looked up
+    said = rows.join(first, "comp").select(F.coalesce("doc_id", "text_key").alias("key"), F.col("text_key").alias("tkey"), F.col("doc_id").isNull().alias("no_id"), stays.alias("stays"), "n").where("not stays or n > 1")
+    said = said.groupBy("key", "tkey", "no_id").agg(F.max("stays").alias("stays"))
+    text_key = F.xxhash64(F.col("text").cast("string"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), text_key).alias("key"), text_key.alias("tkey"), F.col("doc_id").isNull().alias("no_id"))
+    judged = row.join(cut(said), ["key", "tkey", "no_id"], "left")
+    single = judged.where("stays is null").select("row.*")
+    again = judged.where("stays").groupBy("key", "tkey", "no_id").agg(F.first("row").alias("row")).select("row.*")
+    return single.union(again)

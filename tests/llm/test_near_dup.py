@@ -53,15 +53,55 @@ def copies(seed, base_words=60, groups=3, members=25):
     return rows
 
 
-# with small buckets pairs are made by the join, with few_in_bucket=1 by sketches
-@pytest.mark.parametrize("options", [{}, {"few_in_bucket": 1}, {"few_in_bucket": 1, "sketch": 16}])
-def test_groups_of_copies(spark, options):
+# with few smallest hashes most sets are larger than what is compared of them
+@pytest.mark.parametrize(("smallest", "rows_in_block"), [(256, 1024), (24, 1024), (256, 5)])
+def test_groups_of_copies(spark, smallest, rows_in_block, monkeypatch):
     rows = copies(7)
+    monkeypatch.setattr(near_dup.classes_and_members, "__defaults__", (smallest, 0.4 if smallest < 256 else 0.6, rows_in_block))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted(str(tuple(r)) for r in near_dup.near_duplicates(docs, **options).collect())
+    got = sorted(str(tuple(r)) for r in near_dup.near_duplicates(docs).collect())
     assert got == brute(rows)
 
 
+def test_null_ids_link(spark):
+    """A text without an id links its two neighbours, which are too far apart to link themselves."""
+    w = [f"w{i}" for i in range(104)]
+    other = lambda at: " ".join(x + "x" * (i in at) for i, x in enumerate(w))
+    rows = [(1, other({0, 1, 2, 3, 4, 5})), (None, " ".join(w)), (None, " ".join(w)), (2, other({98, 99, 100, 101, 102, 103})), (None, "alone in the world with no one"), (None, "alone in the world with no one")]
+    assert len({r[2] for r in eval("[" + ",".join(brute(rows)) + "]") if r[1] > 50}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(str(tuple(r)) for r in near_dup.near_duplicates(docs).collect()) == brute(rows)
+    assert sorted(str(tuple(r)) for r in near_dup.distinct_documents(docs).collect()) == sorted(map(str, [(1, rows[0][1]), (None, rows[4][1])]))
+
+
+def test_one_of_each_group_stays(spark, odd_docs, no_docs):
+    """Rows of one id with different texts are judged apart; of repeated rows one stays."""
+    long = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, long), (1, "a text of its own that nothing else has"), (2, long), (2, long), (3, "said twice by the same row"), (3, "said twice by the same row"), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in near_dup.distinct_documents(docs).collect())
+    assert got == sorted([(1, long), rows[1], rows[4], (4, ""), (4, "")])
+    assert near_dup.distinct_documents(odd_docs).columns == odd_docs.columns
+    assert near_dup.distinct_documents(no_docs).count() == 0
+
+
+def test_sketches_keep_links():
+    """Sets of similarity 0.75 agree in as many bytes as asked, and far ones don't."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    draw = lambda shared, own: np.sort(rng.integers(0, 2**63, shared + own, dtype=np.uint64))
+    least = near_dup.agreeing_bytes(75)
+    for shared, own, near in ((60, 10, True), (6, 1, True), (600, 100, True), (60, 60, False)):
+        agree = []
+        for _ in range(150):
+            a = draw(shared, own)
+            b = np.sort(np.concatenate([rng.permutation(a)[:shared], draw(0, own)]))
+            s = near_dup._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            agree.append((s.view(np.uint8)[0] == s.view(np.uint8)[1]).sum() >= least)
+        assert np.mean(agree) == 1 if near else np.mean(agree) < 0.1
+
+
 def test_odd_rows(odd_docs, no_docs, odd_rows):
     got = sorted(str(tuple(r)) for r in near_dup.near_duplicates(odd_docs).collect())
     assert got == brute([(d, t) for d, t, _ in odd_rows])
