@@ -2,6 +2,12 @@
 
 Each stage takes what the stage before it kept. The first four return whole documents, the last
 one the digests of the token ids and of the text that they decode to.
+
+No stage fails on odd rows. Null, empty and blank texts have too few words and go in the first
+stage, as do texts of one repeated phrase; a null id or language never decides by itself; texts of
+any length are read whole; equal rows are judged alike until the near-duplicate stage leaves one
+of them; an empty table gives an empty one, and further columns are carried along under their
+names, whatever these are.
 """
 
 from __future__ import annotations
@@ -24,9 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
-    copies = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates one document stays: that of the smallest id, or without ids of the smallest text hash."""
+    return near_dup.distinct_documents(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
