@@ -6,21 +6,18 @@ first collection, group j of the second), so 2*m*width minhashes give the m*m ke
 banding would want 2*m*m*width minhashes for. With m = 12 and width = 2 a pair of similarity
 0.75 shares a key with probability (1 - (1 - 0.75**2)**12)**2 > 0.9999.
 
-Documents of equal sets form classes, and only classes are compared. A bucket's members are
-linked first and its keys are formed last, so that few keys are ever written:
-
-1. In each bucket of a group of the first collection, every member is tried with one centre;
-   links are verified and joined to components.
-2. Only groups whose members are still in different components go on. Their nodes form table
-   keys from what is left of both collections, and each key's members are tried with the member
-   that has most links.
-3. What is still apart is compared pair by pair, block against block. Rows are laid out by the
-   first half of the key and the second half is asked of each pair, so that a node takes a row
-   for each open group and not for each key.
+Documents of equal sets form classes, and only classes are compared:
+
+1. Groups that two classes or more have form the table keys. In each key's bucket every member is
+   tried with the smallest one, in larger buckets also with the largest one; links are verified
+   and nodes that they connect get a common name.
+2. Only buckets whose members still have different names go on. Their members are compared pair by
+   pair, block against block. Rows are laid out by the first half of the key and the second half
+   is asked of each pair, so that a node takes a row for each group and not for each key.
 
 A candidate goes on if enough bytes of two sketches agree (128 further minhashes, a byte each);
 a pair of the similarity wanted fails that with a probability below one in a hundred thousand.
-In step 3, where such pairs can be many, the smallest hashes of the two sets are compared instead.
+In step 2, where such pairs can be many, the smallest hashes of the two sets are compared instead.
 Every link is confirmed by the sizes of intersection and union of the whole sets.
 """
 
@@ -161,7 +158,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,6 +180,18 @@ def components(edges: DataFrame) -> DataFrame:
             return names
 
 
+def partly_named(links: DataFrame) -> DataFrame:
+    """node, comp: a node that each end of the links (a, b) is connected with, its own or a smaller one.
+
+    Two steps towards the smallest node: enough for most stars, and cheaper than components().
+    Nodes of one name are connected; connected nodes may have two names.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("comp"))
+    far = near.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+    return near.join(far, "comp").select("node", F.least("comp", "far").alias("comp"))
+
+
 def agreeing_bytes(percent: int, miss: float = 1e-5) -> int:
     """How many bytes of two sketches agree at least, but for a chance of `miss`, if sets are `percent` per cent alike."""
     s, below = percent / 100, 0.0
@@ -212,12 +221,12 @@ def _likely(pairs: DataFrame, heads: DataFrame, least: int) -> DataFrame:
     return pairs.where(_agreement() >= least).select("a", "b")
 
 
-def _tags(nodes: DataFrame, groups: int, second: bool) -> DataFrame:
-    """node (and comp), t and g for each hash group of the first collection, or of both: t is its number."""
+def _tags(heads: DataFrame, groups: int) -> DataFrame:
+    """node, t and g for each hash group of both collections; t is its number, from `groups` on of the second."""
     words = [F.col(f"p{i}") for i in range(groups)]
-    halves = [F.shiftrightunsigned(w, 32) for w in words] + ([w.bitwiseAND(F.lit(0xFFFFFFFF)) for w in words] if second else [])
-    rows = nodes.select(*(c for c in nodes.columns if c in ("node", "comp")), F.posexplode(F.array(*halves)).alias("t", "half"))
-    return rows.select(*(c for c in rows.columns if c != "half"), F.xxhash64("t", "half").alias("g")).withColumn("t", F.col("t").cast("int"))
+    halves = [F.shiftrightunsigned(w, 32) for w in words] + [w.bitwiseAND(F.lit(0xFFFFFFFF)) for w in words]
+    rows = heads.select("node", F.posexplode(F.array(*halves)).alias("t", "half"))
+    return rows.select("node", F.col("t").cast("int").alias("t"), F.xxhash64("t", "half").alias("g"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -229,13 +238,8 @@ def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _open(tags: DataFrame) -> DataFrame:
-    """The groups whose members are in more than one component."""
-    return cut(tags.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g"))
-
-
 def _smallest(texts: DataFrame, n: int, k: int) -> DataFrame:
-    """node, and the n smallest hashes of its set (all of them, if it has no more), 32 bits each."""
+    """node, and 16 bits of each of the n smallest hashes of its set (of all, if it has no more)."""
 
     def run(batches):
         for batch in batches:
@@ -243,27 +247,32 @@ def _smallest(texts: DataFrame, n: int, k: int) -> DataFrame:
                 hashes, bounds = shingle_sets(piece, k)
                 counts = np.minimum(np.diff(bounds), n)
                 at = np.concatenate([[0], np.cumsum(counts)])
-                low = hashes[np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])].astype(np.uint32).view(np.int32)
+                low = hashes[np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])].astype(np.uint16).view(np.int16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))], ["node", "low"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, low array<int>").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, low array<short>").dropDuplicates(["node"])
 
 
 def shared_counts(low: np.ndarray, bounds: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """For each two rows how many values they share; row r has the distinct values low[bounds[r] : bounds[r + 1]]."""
+    """For each two rows how many values they share at most; row r has the values low[bounds[r] : bounds[r + 1]].
+
+    Equal values of one row stand for different hashes: as many as both rows repeat may be shared too.
+    """
     m = len(bounds) - 1
     row = np.repeat(np.arange(m), np.diff(bounds))
-    _, value, often = np.unique(low, return_inverse=True, return_counts=True)
+    own = np.unique((row.astype(np.int64) << 16) | low.view(np.uint16))
+    repeats = np.diff(bounds) - np.bincount(own >> 16, minlength=m)
+    row, (_, value, often) = own >> 16, np.unique(own & 0xFFFF, return_inverse=True, return_counts=True)
     keep = often[value] > 1
     number = np.cumsum(often > 1) - 1
-    row, value = row[keep], number[value[keep]]
+    row, value, values = row[keep], number[value[keep]], int(number[-1]) + 1 if len(number) else 0
     out = np.zeros((m, m), dtype=np.float32)
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, chunk):
+    for lo in range(0, values, chunk):
         here = (value >= lo) & (value < lo + chunk)
-        has = np.zeros((m, min(chunk, int(number[-1]) + 1 - lo)), dtype=np.float32)
+        has = np.zeros((m, min(chunk, values - lo)), dtype=np.float32)
         has[row[here], value[here] - lo] = 1
         out += has @ has.T
-    return out.astype(np.int64)
+    return out.astype(np.int64) + np.minimum(repeats[:, None], repeats)
 
 
 def _run_pairs(t: int, first: int, second: int, block: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, groups: np.ndarray, low: np.ndarray, bounds: np.ndarray, percent: int, smallest: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -282,17 +291,16 @@ def _run_pairs(t: int, first: int, second: int, block: np.ndarray, node: np.ndar
     return np.minimum(node[i], node[j])[here], np.maximum(node[i], node[j])[here]
 
 
-def _in_open_buckets(tags: DataFrame, names: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, groups: int, k: int, smallest: int, share: float, rows_in_block: int) -> DataFrame:
+def _in_open_buckets(named: DataFrame, heads: DataFrame, texts: DataFrame, percent: int, groups: int, k: int, smallest: int, share: float, rows_in_block: int) -> DataFrame:
     """All pairs (a, b) of different components that share a table key and seem alike enough, each once.
 
-    Buckets are those of the first half of the key; the second half is asked of each pair, and a
+    named(node, comp, t, g) are the first halves of the nodes' keys. Buckets are those of the first half of the key; the second half is asked of each pair, and a
     pair is made at the first such half that it shares. Every two blocks of a bucket are a run of
     at most 2 * rows_in_block rows or so, so a large bucket is many tasks' work. Pairs are told
     apart by their smallest hashes: for sets that have no more of them this is the exact test.
     Larger sets that are alike enough share fewer than `share` of them with a probability below
     one in a million (256 of them, similarity 0.75, share 0.6).
     """
-    named = _with_names(tags.select("g", "t", "node"), names)
     sizes = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
     sizes = cut(sizes.where("lo <> hi").select("g", F.ceil(F.col("size") / rows_in_block).cast("int").alias("blocks")))
     rest = cut(named.join(sizes, "g"))
@@ -334,7 +342,7 @@ def _in_open_buckets(tags: DataFrame, names: DataFrame, heads: DataFrame, texts:
     return rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
 
 
-def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 1024, second_centre: int = 8) -> tuple[DataFrame, DataFrame]:
     """(members, classes): doc_id, text_key, n_shingles, s1, s2 of each row; node, s2, n_shingles, rep and comp of each class of equal sets.
 
     rep is the class's smallest doc_id, null if it has none; comp names its component.
@@ -346,46 +354,33 @@ def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int,
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), key.alias("key")))["key"]
     # cut off from the grouping, so that Spark can split a hot group's rows when tables are joined
     heads = cut(shown.where("n_shingles > 0").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), head.alias("key"), *(F.first(c).alias(c) for c in words)))
-    least = agreeing_bytes(percent)
-
-    tags = _tags(heads, groups, second=False)
-    busy = cut(tags.groupBy("g").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("g", "centre"))
-    tags = cut(tags.join(busy, "g"))
-    tried = cut(_likely(_ordered(tags), heads, least))
 
-    involved = heads.join(tags.select("node").distinct(), "node", "left_semi").select("node", "key")
+    # table keys of the groups that more than one class has
+    tags = _tags(heads, groups)
+    often = cut(tags.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
+    shared = tags.join(often, "g", "left_semi").groupBy("node").agg(F.collect_set(F.struct("t", "g")).alias("tg"))
+    side = lambda first: F.filter("tg", lambda x: (x["t"] < groups) == F.lit(first))
+    shared = cut(shared.select("node", side(True).alias("one"), side(False).alias("two")).where("size(one) > 0 and size(two) > 0"))
+    keys = shared.select("node", F.explode("one.g").alias("x"), "two").select("node", "x", F.explode("two.g").alias("y"))
+    keys = keys.select("node", F.xxhash64("x", "y").alias("key"))
+    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+    busy = cut(busy.select("key", F.when(F.col("n") > second_centre, F.array("lo", "hi")).otherwise(F.array("lo")).alias("centres")))
+    tried = _ordered(keys.join(busy, "key").select("node", F.explode("centres").alias("centre")))
+
+    involved = heads.join(shared.select("node"), "node", "left_semi").select("node", "key")
     narrow = documents(docs)
     named = narrow.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
     # rows without an id are found by their texts, each of which is taken once
     nameless = narrow.where("doc_id is null").select(F.xxhash64("text").alias("key"), "text").distinct()
     texts = cut(named.union(nameless).join(involved, "key").select("node", "text"))
 
-    links = cut(_verified(tried, texts, percent, k))
-    names = components(links)
-
-    # table keys of what is still apart
-    first = _with_names(tags.select("g", "node"), names)
-    live = _with_names(first.join(_open(first), "g", "left_semi").select("node").distinct(), names)
-    both = cut(_tags(heads.join(live, "node").select("node", "comp", *(c for c in words if c[0] == "p")), groups, second=True))
-    left = both.join(_open(both), "g", "left_semi").groupBy("node", "comp").agg(F.collect_set(F.struct("t", "g")).alias("tg"))
-    side = lambda one: F.filter("tg", lambda x: (x["t"] < groups) == F.lit(one))
-    halves = cut(left.select("node", "comp", side(True).alias("one"), side(False).alias("two")).where("size(one) > 0 and size(two) > 0"))
-    keys = halves.select("node", "comp", F.explode("one").alias("x"), "two").select("node", "comp", "x", F.explode("two").alias("y"))
-    keys = keys.select("node", "comp", F.xxhash64("x.g", "y.g").alias("key"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    ranked = keys.join(degree, "node", "left").select("key", "node", "comp", F.coalesce("degree", F.lit(0)).alias("degree"))
-    hubs = ranked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("degree", "node", "comp")).alias("hub")).where("lo <> hi")
-    hubs = cut(hubs.select("key", F.col("hub.node").alias("centre"), F.col("hub.comp").alias("of")))
-    more = _ordered(keys.join(hubs, "key").where("comp <> of").select("node", "centre"))
-    more = cut(_likely(more.join(tried, ["a", "b"], "left_anti"), heads, least))
-    tried = tried.union(more)
-    found = cut(_verified(more, texts, percent, k))
-    names = components(names.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+    links = cut(_verified(_likely(tried, heads, agreeing_bytes(percent)), texts, percent, k))
+    names = cut(partly_named(links))
 
     # what is still apart then is compared pair by pair, each pair once
-    pairs = _in_open_buckets(tags, names, heads, texts, percent, groups, k, smallest, share, rows_in_block)
-    found = _verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), texts, percent, k)
-    names = components(names.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
+    halves = shared.select("node", F.explode("one").alias("x")).select("node", "x.t", "x.g")
+    pairs = cut(_in_open_buckets(_with_names(halves, names), heads, texts, percent, groups, k, smallest, share, rows_in_block))
+    names = components(links.union(_verified(pairs, texts, percent, k)))
     return shown.select("doc_id", "text_key", "n_shingles", "s1", "s2"), _with_names(heads.select("node", "s2", "n_shingles", "rep"), names)
 
 
