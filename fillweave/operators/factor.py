@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -93,42 +93,57 @@ def height(parents: DataFrame, weight: str | None = None) -> DataFrame:
     return depths(parents, weight).agg(F.max("depth").alias("height"))
 
 
-def subtree_costs(parents: DataFrame, cost: str) -> DataFrame:
-    """v and the sum of costs in its subtree; each node's cost goes to all its ancestors.
+def _gathered(parents: DataFrame, start, combine, far) -> DataFrame:
+    """v and what its subtree gathers, by pointer doubling: a path of n vertices takes log2(n) rounds.
 
-    Works level by level from the deepest nodes, so each cost moves up once.
+    After k rounds each vertex has what those less than 2**k below it give, and `up` is its
+    ancestor at that distance. start is a vertex's own value, combine the aggregate over others,
+    far(value, distance) a value as seen from that distance.
     """
-    rows = cut(parents.select("v", "parent", F.col(cost).cast("double").alias("cost")).join(depths(parents), "v"))
-    top = int(rows.agg(F.max("depth")).first()[0] or 0)
-    for d in range(top, 1, -1):
-        into = rows.where(F.col("depth") == d).groupBy(F.col("parent").alias("v")).agg(F.sum("cost").alias("more"))
-        rows = rows.join(into, "v", "left").select("v", "parent", (F.col("cost") + F.coalesce("more", F.lit(0.0))).alias("cost"), "depth")
-        if d % 8 == 0:
-            rows = cut(rows)
-    return rows.select("v", "cost")
+    state = cut(parents.select("v", F.col("parent").alias("up"), start.alias("value")))
+    distance = 1
+    while not state.where("up >= 0").isEmpty():
+        below = state.where("up >= 0").groupBy(F.col("up").alias("v")).agg(combine(far(F.col("value"), distance)).alias("more"))
+        above = state.select(F.col("v").alias("up"), F.col("up").alias("next"))
+        value = combine_two(combine, F.col("value"), F.col("more"))
+        state = cut(state.join(above, "up", "left").join(below, "v", "left").select("v", F.coalesce("next", F.lit(-1)).cast("long").alias("up"), value.alias("value")))
+        distance *= 2
+    return state.select("v", "value")
+
+
+def combine_two(combine, a, b):
+    """Two values as the aggregate would combine them; b may be null."""
+    return F.greatest(a, F.coalesce(b, a)) if combine is F.max else a + F.coalesce(b, F.lit(0.0))
+
+
+def subtree_costs(parents: DataFrame, cost: str) -> DataFrame:
+    """v and the sum of costs in its subtree."""
+    return _gathered(parents, F.col(cost).cast("double"), F.sum, lambda value, distance: value).withColumnRenamed("value", "cost")
 
 
 def topological_levels(parents: DataFrame) -> DataFrame:
     """v and its level: 0 for leaves, else one more than its highest child's."""
-    rows = parents.select("v", "parent")
-    state = cut(rows.withColumn("lvl", F.lit(0)))
-    while True:
-        up = state.where("parent >= 0").groupBy(F.col("parent").alias("v")).agg((F.max("lvl") + 1).alias("want"))
-        step = cut(state.join(up, "v", "left").select("v", "parent", F.col("lvl").alias("old"), F.greatest("lvl", F.coalesce("want", F.lit(0))).alias("lvl")))
-        state = step.select("v", "parent", "lvl")
-        if step.where("old <> lvl").isEmpty():
-            return state.select("v", "lvl")
+    return _gathered(parents, F.lit(0), F.max, lambda value, distance: value + distance).select("v", F.col("value").cast("int").alias("lvl"))
+
+
+def weight_parts(rows: DataFrame, parts: int, *order: str) -> DataFrame:
+    """v, part: runs of the order with about equal weight; rows(v, w and the columns of the order, the last of which is v).
+
+    Totals of ranges of 65536 ids are summed first, so that no window holds all rows.
+    """
+    lead = list(order[:-1])
+    rows = rows.withColumn("range", F.expr("v div 65536"))
+    totals = cut(rows.groupBy(*lead, "range").agg(F.sum("w").alias("t")))
+    before = Window.orderBy(*lead, "range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*lead, "range", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"))
+    total = totals.agg(F.sum("t")).first()[0] or 1.0
+    own = F.sum("w").over(Window.partitionBy(*lead, "range").orderBy("v"))
+    placed = rows.withColumn("own", own).join(base, [*lead, "range"])
+    return placed.select("v", F.least(F.lit(parts - 1), F.floor((F.col("base") + F.col("own") - F.col("w")) * parts / total)).cast("int").alias("part"))
 
 
 def postorder_parts(parents: DataFrame, parts: int, weight: str | None = None) -> DataFrame:
     """v, part: consecutive runs of the order of levels with about equal weight."""
     levels = topological_levels(parents)
     rows = parents.join(levels, "v").select("v", "lvl", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-    by_level = rows.groupBy("lvl").agg(F.sum("w").alias("t"))
-    from pyspark.sql import Window
-
-    base = by_level.select("lvl", F.coalesce(F.sum("t").over(Window.orderBy("lvl").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    total = by_level.agg(F.sum("t")).first()[0] or 1.0
-    own = F.sum("w").over(Window.partitionBy("lvl").orderBy("v"))
-    placed = rows.withColumn("own", own).join(base, "lvl")
-    return placed.select("v", F.least(F.lit(parts - 1), F.floor((F.col("base") + F.col("own") - F.col("w")) * parts / total)).cast("int").alias("part"))
+    return weight_parts(rows, parts, "lvl", "v")

@@ -38,11 +38,12 @@ def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extra_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u < v of edges that some line items add between parts."""
-    n = F.broadcast(table(spark, sf_dir, "part").agg(F.count("*").alias("n")))  # one row
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 500 = 0").crossJoin(n)
-    ends = lines.select(F.col("l_partkey").cast("int").alias("a"), ((F.col("l_partkey") + F.col("l_suppkey") * 13 + 1) % F.col("n")).cast("int").alias("b")).where("a <> b")
-    return ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    """u < v of edges between parts of one brand: two columns apart, or one row and one column."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("v"), F.col("p_brand").alias("brand"))
+    steps = F.when(F.col("v") % WIDTH < WIDTH - 2, F.array(F.lit(2), F.lit(WIDTH + 1))).otherwise(F.array(F.lit(WIDTH + 1)))
+    ends = part.where(F.col("v") % WIDTH < WIDTH - 1).select(F.col("v").alias("u"), "brand", F.explode(steps).alias("step"))
+    pairs = ends.select("u", "brand", (F.col("u") + F.col("step")).alias("v"))
+    return pairs.join(part, ["v", "brand"], "left_semi").select("u", "v")
 
 
 def snapshot_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def snapshot_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid_nodes(spark, sf_dir).where("v % 97 = 5").select("v")
+    """Parts of the smallest size go."""
+    return table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").cast("int").alias("v"))
 
 
 def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, every: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:

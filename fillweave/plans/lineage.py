@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one set, or on one machine a new one where none is set."""
+    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not said:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        said = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(said)
+    return said
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed: in the cluster's spark.checkpoint.dir, or a new folder where none is set."""
-    spark = df.sparkSession
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if not said and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """The same rows, checkpointed: in the cluster's spark.checkpoint.dir, or on one machine a new folder where none is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

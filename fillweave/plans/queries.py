@@ -15,9 +15,12 @@ from ..operators import mesh as M
 from ..operators import ordering as O
 from ..operators import tree as T
 from ..operators.incremental import Settings
+from ..operators.solve import conjugate_gradient
+from ..sources import matrix_market as MM
+from ..sources import tables as S
 from ..streaming import maintain
 from . import fixtures as G
-from .lineage import cut
+from .lineage import cut, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,11 +52,9 @@ def _above(a: str, b: str) -> str:
 
 
 _EXTRA = _REGIONS + f""",
-cnt as (select count(*) n from part),
 extra as (
-  select distinct least(a, b) u, greatest(a, b) v from (
-    select l_partkey::int a, ((l_partkey + l_suppkey * 13 + 1) % n)::int b from lineitem, cnt where l_linenumber = 1 and l_orderkey % 500 = 0)
-  where a <> b),
+  select a.p_partkey::int u, b.p_partkey::int v from part a join part b on a.p_brand = b.p_brand and (
+    (b.p_partkey = a.p_partkey + 2 and a.p_partkey % 50 < 48) or (b.p_partkey = a.p_partkey + 51 and a.p_partkey % 50 < 49))),
 t1 as (select u, v from edges union select u, v from extra union select v, u from extra),
 added as (select u, v from t1 except select u, v from edges),
 changed as (select distinct u v from added),
@@ -71,7 +72,7 @@ kept as (
   union all select hmd_id, 'fine' from marks m where kind = 'fine' and not exists (select 1 from top t where t.hmd_id = m.hmd_id or {_above("t.hmd_id", "m.hmd_id")}))"""
 _COO = "coo as (select l_partkey::int r, l_suppkey::int c, sum(l_quantity) val from lineitem group by 1, 2)"
 _MAP = _REGIONS + """,
-removed as (select v from nodes where v % 97 = 5),
+removed as (select p_partkey::int v from part where p_size = 1),
 dof_map as (select (row_number() over (order by v) - 1)::int new_v, v old_v from nodes where v not in (select v from removed))"""
 
 
@@ -91,8 +92,8 @@ def query(sql: str | None = None):
 
 
 def _square(spark, sf_dir):
-    n = 40
-    return G.lineitem_matrix(spark, sf_dir).select((F.col("row") % n).alias("row"), (F.col("col") % n).alias("col"), "val")
+    """Parts by suppliers as a square matrix; supplier ids are row ids too."""
+    return G.lineitem_matrix(spark, sf_dir)
 
 
 @query(f"with {_COO} select distinct u, v from (select c u, r v from coo where r <> c union all select r, c from coo where r <> c)")
@@ -143,7 +144,7 @@ def matrix_transpose(spark, sf_dir):
     return X.transpose(G.lineitem_matrix(spark, sf_dir))
 
 
-_SQ = _COO + ", sq as (select r % 40 r, c % 40 c, val from coo), sm as (select r, c, sum(val) val from sq group by 1, 2)"
+_SQ = _COO + ", sm as (select r, c, val from coo)"
 
 
 @query(f"with {_SQ} select r \"row\", c col, round(val, 6) val from sm where r >= c")
@@ -274,10 +275,14 @@ def dense_to_sparse(spark, sf_dir):
     return X.dense_to_coo(rows).select("row", "col", F.round("val", 6).alias("val"))
 
 
-@query("select round(sum(l_quantity), 2) total, count(*) n from lineitem where l_quantity * l_extendedprice is not null")
+_BIG = "big as (select l_orderkey * 1000003 a, l_partkey * 100000007 b from lineitem)"
+
+
+@query(f"with {_BIG}, p as (select a::hugeint * b::hugeint x from big) select count(*) n, count(*) filter (where x > 9223372036854775807) overflows, max(case when x <= 9223372036854775807 then x end)::bigint largest from p")
 def checked_arithmetic(spark, sf_dir):
-    lines = G.table(spark, sf_dir, "lineitem")
-    return lines.where(X.checked_product(F.col("l_quantity"), F.col("l_extendedprice")).isNotNull()).agg(F.round(F.sum("l_quantity"), 2).alias("total"), F.count("*").alias("n"))
+    lines = G.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000003).alias("a"), (F.col("l_partkey") * 100000007).alias("b"))
+    product = lines.select(X.checked_product(F.col("a"), F.col("b")).alias("x"))
+    return product.agg(F.count("*").alias("n"), F.sum(F.col("x").isNull().cast("long")).alias("overflows"), F.max("x").alias("largest"))
 
 
 # --- the tree -------------------------------------------------------------------------------
@@ -490,9 +495,9 @@ def relocation_targets(spark, sf_dir):
     return I.relocations(_bad(spark, sf_dir))
 
 
-@query(f"with {_REGIONS}, b as (select e.u, e.v, a.hmd_id ru, b.hmd_id rv from edges e join regions a on a.v = e.u join regions b on b.v = e.v) select u, v, ru, rv from b where ru <> rv and not {_above('least(ru, rv)', 'greatest(ru, rv)')}")
+@query(f"with {_EXTRA}, b as (select e.u, e.v, a.hmd_id ru, b.hmd_id rv from t1 e join regions a on a.v = e.u join regions b on b.v = e.v) select u, v, ru, rv from b where ru <> rv and not {_above('least(ru, rv)', 'greatest(ru, rv)')}")
 def grid_violations(spark, sf_dir):
-    return D.violations(G.grid_regions(spark, sf_dir), G.grid_edges(spark, sf_dir))
+    return D.violations(G.grid_regions(spark, sf_dir), G.snapshot_one(spark, sf_dir))
 
 
 # --- vertices that come and go --------------------------------------------------------------
@@ -678,3 +683,128 @@ def grid_row_supernodes(spark, sf_dir):
     a, b = nodes.select(F.col("v").alias("row"), "y"), nodes.select(F.col("v").alias("col"), "y")
     coo = a.join(b, "y").select("row", "col", F.lit(1.0).alias("val"))
     return X.supernodes(coo).select(F.col("col").alias("v"), "supernode")
+
+
+# --- whole runs with other settings ---------------------------------------------------------
+
+_WHOLE = f"with {_GRID}, n as (select count(*) n from nodes) select n vertices, true bijective, 0::bigint violations, true sizes_add_up from n"
+
+
+@query(_WHOLE)
+def cold_invariants_full_depth(spark, sf_dir):
+    """A cold order with the default depth of 8 levels."""
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    return _invariants(O.cold(nodes, edges), nodes, edges)
+
+
+@query(_WHOLE)
+def cold_invariants_mindegree(spark, sf_dir):
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    return _invariants(O.cold(nodes, edges, Settings(levels=3, method="mindegree")), nodes, edges)
+
+
+@query(f"with {_EXTRA}, n as (select count(*) n from nodes) select n vertices, true bijective, 0::bigint violations, true sizes_add_up from n")
+def warm_aggressive(spark, sf_dir):
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    after = cut(G.snapshot_one(spark, sf_dir))
+    return _invariants(O.warm(O.cold(nodes, edges, _SMALL).state, nodes, after, Settings(levels=3, lagging=False, aggressive=True)), nodes, after)
+
+
+@query("select count(*) vertices, true all_placed, 8::bigint parts from part")
+def kway_partition(spark, sf_dir):
+    nodes = G.grid_nodes(spark, sf_dir).select("v", F.lit(0).alias("hmd_id"))
+    got = D.kway(nodes, cut(G.grid_edges(spark, sf_dir)), 3)
+    return got.agg(F.count("*").alias("vertices"), F.min((F.col("part") >= 0) & (F.col("part") < 8)).alias("all_placed"), F.count_distinct("part").alias("parts"))
+
+
+@query(f"with {_GRID}, e as (select count(*) k from edges) select count(*) n, any_value(k) nnz, 'nested' reordering, 2::bigint frame_num, 1.0::double reuse from nodes, e union all select count(*), any_value(k), 'nested', 1, 0.0 from nodes, e")
+def run_log(spark, sf_dir):
+    """The log rows of a cold run and of one that follows without a change, written and read back."""
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    first = O.cold(nodes, edges, _SMALL)
+    runs = [(1, first), (2, O.warm(first.state, nodes, edges, _SMALL))]
+    path, n, nnz = new_path(spark, "run-log"), nodes.count(), edges.count()
+    S.append_runs(spark, [S.run_record(run, n, nnz, "nested", frame) for frame, run in runs], path)
+    return S.read_runs(spark, path).select("n", "nnz", "reordering", F.col("frame_num").cast("long").alias("frame_num"), "reuse")
+
+
+# --- trees, parts and solves ----------------------------------------------------------------
+
+
+@query("select event_id v, round(sum(value) over (partition by user_id order by ts, event_id), 4) cost from events")
+def subtree_costs(spark, sf_dir):
+    return E.subtree_costs(_event_tree(spark, sf_dir), "value").withColumn("cost", F.round("cost", 4))
+
+
+@query("select event_id v, (row_number() over (partition by user_id order by ts, event_id) - 1)::int lvl from events")
+def topological_levels(spark, sf_dir):
+    return E.topological_levels(_event_tree(spark, sf_dir))
+
+
+@query("with l as (select event_id v, row_number() over (partition by user_id order by ts, event_id) lvl from events), o as (select v, row_number() over (order by lvl, v) - 1 before, count(*) over () n from l) select v, least(7, floor(before * 8 / n::double))::int part from o")
+def postorder_parts(spark, sf_dir):
+    return E.postorder_parts(_event_tree(spark, sf_dir), 8)
+
+
+@query("with o as (select p_partkey v, coalesce(sum(p_size) over (order by p_partkey rows between unbounded preceding and 1 preceding), 0) before, sum(p_size) over () total from part) select v, least(5, floor(before * 6 / total::double))::int part from o")
+def weight_partition(spark, sf_dir):
+    rows = G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), F.col("p_size").cast("double").alias("w"))
+    return E.weight_parts(rows, 6, "v")
+
+
+@query("select p_partkey::int idx, 1.0::double val from part")
+def spd_solve(spark, sf_dir):
+    """The grid's Laplacian with 4 more on the diagonal, solved for its row sums."""
+    coo = cut(X.grid_laplacian(G.grid_nodes(spark, sf_dir), G.grid_edges(spark, sf_dir)).withColumn("val", F.when(F.col("row") == F.col("col"), F.col("val") + 4.0).otherwise(F.col("val"))))
+    b = coo.groupBy(F.col("row").alias("idx")).agg(F.sum("val").alias("val"))
+    return conjugate_gradient(coo, b, tolerance=1e-7).x.withColumn("val", F.round("val", 4))
+
+
+# --- files ----------------------------------------------------------------------------------
+
+
+@query(f"with {_COO} select r \"row\", c col, val, 0.0::double imag from coo")
+def mtx_round_trip(spark, sf_dir):
+    coo = G.lineitem_matrix(spark, sf_dir)
+    path, ends = new_path(spark, "matrix"), coo.agg(F.max("row") + 1, F.max("col") + 1).first()
+    MM.write(coo, path, *ends)
+    return MM.read_lines(spark, path)
+
+
+@query(f"with {_COO} select (r + 1) || ' ' || (c + 1) as \"value\" from coo where r >= c")
+def mtx_pattern_lines(spark, sf_dir):
+    return MM.entry_lines(X.half(G.lineitem_matrix(spark, sf_dir)), pattern=True).select("value")
+
+
+@query("select p_retailprice val from part")
+def vector_round_trip(spark, sf_dir):
+    path = new_path(spark, "vector")
+    S.write_vector(G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("val")), path)
+    return S.read_vector(spark, path)
+
+
+@query("select p_partkey::double c0, p_size::double c1, p_retailprice c2 from part")
+def dense_round_trip(spark, sf_dir):
+    path = new_path(spark, "dense")
+    S.write_dense(G.table(spark, sf_dir, "part").select(*(F.col(c).cast("double") for c in ("p_partkey", "p_size", "p_retailprice"))), path)
+    return S.read_dense(spark, path, 3)
+
+
+@query("select count(distinct p_brand) files, true filled from part")
+def file_listing(spark, sf_dir):
+    """One folder of vectors for each brand, listed."""
+    path = new_path(spark, "brands")
+    part = G.table(spark, sf_dir, "part")
+    part.select("p_brand", F.col("p_retailprice").cast("string").alias("value")).repartition("p_brand").write.partitionBy("p_brand").text(path)
+    listed = S.files(spark, f"{path}/*", "*.txt")
+    return listed.agg(F.count_distinct(F.regexp_extract("path", "p_brand=([^/]*)", 1)).alias("files"), F.min(F.col("length") > 0).alias("filled"))
+
+
+@query("select p_partkey, array_to_string(string_split(p_type, ' '), '|') pieces from part")
+def literal_split(spark, sf_dir):
+    return G.table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.split_literal(F.col("p_type"), " "), "|").alias("pieces"))
+
+
+@query("select o_orderpriority, median(o_totalprice) \"median\" from orders group by 1")
+def median_by_group(spark, sf_dir):
+    return S.median_seconds(G.table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")

@@ -83,16 +83,23 @@ def register(spark: SparkSession) -> None:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Large coordinate files (or folders of parts) by Spark's text reader, in parallel.
 
-    The size line can look like an entry. In a file of m rows and n columns with k entries it is
-    `m n k`, of which there may be an equal entry; so one of the lines equal to it is left out.
+    The size line can look like an entry. Of the lines `m n k` for which there are k others it is
+    the one of the largest m and n, as no entry has larger ids; of equal lines one is left out. A
+    file that has another number of entries than its size line says is an error.
     """
     lines = spark.read.text(path).where("trim(value) <> ''")
     kinds = parse_banner(lines.where("startswith(value, '%%MatrixMarket')").first()[0])
     if kinds["layout"] != "coordinate":
         raise ValueError("only coordinate files are read in parallel")
-    size = lines.where("not startswith(value, '%')").first()[0]
-    body = lines.where(~F.startswith("value", F.lit("%")) & (F.col("value") != size))
-    again = lines.where(F.col("value") == size).count() - 1
+    body = lines.where(~F.startswith("value", F.lit("%")))
+    p = F.split(F.trim("value"), r"\s+")
+    entries = body.count() - 1
+    sizes = body.where((F.size(p) == 3) & (p[2] == str(entries))).orderBy(p[0].cast("long").desc(), p[1].cast("long").desc(), "value").head(1)
+    if not sizes:
+        raise ValueError(f"no size line for {entries} entries")
+    size = sizes[0]["value"]
+    again = body.where(F.col("value") == size).count() - 1
+    body = body.where(F.col("value") != size)
     p = F.split(F.trim("value"), r"\s+")
     val = F.lit(1.0) if kinds["field"] == "pattern" else p[2].cast("double")
     imag = p[3].cast("double") if kinds["field"] == "complex" else F.lit(0.0)

@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 
 #: The columns of a run log, one row for each solve (fixed values).
 RUN_COLUMNS = [
-    ("solver", "string"), ("ordering", "string"), ("n", "long"), ("nnz", "long"), ("dim", "int"), ("l_nnz", "long"), ("residual", "double"),
-    ("frame", "int"), ("iteration", "int"), ("changes", "long"), ("reuse", "double"), ("rebuilt", "boolean"), ("levels", "int"),
-    ("lagging", "boolean"), ("aggressive", "boolean"), ("integrate_s", "double"), ("differences_s", "double"), ("decompose_s", "double"),
-    ("order_s", "double"), ("reorder_s", "double"), ("map_s", "double"), ("ordering_s", "double"), ("analysis_s", "double"),
-    ("factor_s", "double"), ("solve_s", "double"), ("total_s", "double"), ("note", "string"),
+    ("n", "long"), ("nnz", "long"), ("l_nnz", "long"), ("nthreads", "int"), ("frame_num", "int"), ("newton_iter", "int"), ("residual", "double"),
+    ("load_time", "double"), ("analyze_time", "double"), ("ordering_time", "double"), ("factor_time", "double"), ("solve_time", "double"),
+    ("contact_size", "long"), ("reuse", "double"), ("baseline_reuse", "double"), ("max_possible_reuse", "double"), ("integration_time", "double"),
+    ("change_detection_time", "double"), ("permutation_time", "double"), ("map_time", "double"), ("ordering_total_time", "double"), ("reordering", "string"),
+    ("total_load_time", "double"), ("total_analyze_time", "double"), ("total_factor_time", "double"), ("total_solve_time", "double"), ("end_to_end_time", "double"),
 ]
 RUN_SCHEMA = ", ".join(f"{n} {t}" for n, t in RUN_COLUMNS)
 
@@ -45,6 +45,17 @@ def append_runs(spark: SparkSession, records: list[dict], path: str) -> None:
     spark.createDataFrame([tuple(r[n] for n, _ in RUN_COLUMNS) for r in records], schema).write.mode("append").option("header", True).csv(path)
 
 
+def run_record(ordering, n: int, nnz: int, method: str, frame: int = 0, iteration: int = 0, **known) -> dict:
+    """A row of the run log for one ordering; what isn't known of it is null. Other columns by name."""
+    t = ordering.seconds
+    own = {
+        "n": n, "nnz": nnz, "frame_num": frame, "newton_iter": iteration, "contact_size": ordering.changes, "reuse": float(ordering.reuse), "reordering": method,
+        "integration_time": t.get("integrate", 0.0), "change_detection_time": t.get("differences", 0.0),
+        "permutation_time": t.get("decompose", 0.0) + t.get("order", 0.0) + t.get("reorder", 0.0), "ordering_time": sum(t.values()), "ordering_total_time": sum(t.values()),
+    }
+    return {name: None for name, _ in RUN_COLUMNS} | own | known
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).option("header", True).csv(path)
 

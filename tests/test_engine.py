@@ -163,10 +163,10 @@ def test_bad_banner(line):
 def test_run_log(spark, tmp_path):
     record = {n: {"string": "x", "boolean": True, "double": 1.0}.get(t, 1) for n, t in tables.RUN_COLUMNS}
     tables.append_runs(spark, [record], str(tmp_path / "log"))
-    tables.append_runs(spark, [record | {"solve_s": 3.0}], str(tmp_path / "log"))
-    assert tables.median_seconds(tables.read_runs(spark, str(tmp_path / "log")), "solver", "solve_s").first()["median"] == 2.0
+    tables.append_runs(spark, [record | {"solve_time": 3.0}], str(tmp_path / "log"))
+    assert tables.median_seconds(tables.read_runs(spark, str(tmp_path / "log")), "reordering", "solve_time").first()["median"] == 2.0
     with pytest.raises(ValueError):
-        tables.append_runs(spark, [{"solver": "x"}], str(tmp_path / "log"))
+        tables.append_runs(spark, [{"reordering": "x"}], str(tmp_path / "log"))
 
 
 def test_stream(spark, grid, ordered, tmp_path):
