@@ -11,8 +11,11 @@ maps a document key to its place in them:
 * by slot, a 32-bit fingerprint of the key (a foreign key is told with probability 1 - 2**-32),
   the offset of its ids in the segment and their number.
 
-A look-up so reads a few words whatever the number of keys. Segments are rows of a Parquet
-table, because any store that Spark writes to takes those.
+A look-up takes the one segment whose range of ids has the key (segments are in order of ids, so
+more than one only where equal ids go over a segment's end) and reads a few words of its index,
+whatever the number of keys. The list of keys is stored for reading all documents back; look-ups
+don't read it. Segments are rows of a Parquet table, because any store that Spark writes to takes
+those; the ranges stand in columns of their own, which make the directory of segments.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from . import textvec as tv
 from .bpe import encoder
 from .common import documents, shared_dir
 
-SEGMENT_SCHEMA = "part int, segment int, local_start long, n_docs int, n_tokens long, width int, keys array<long>, index binary, payload binary"
+SEGMENT_SCHEMA = "part int, segment int, local_start long, n_docs int, n_tokens long, width int, least long, most long, null_ids int, keys array<long>, index binary, payload binary"
 _MAGIC = 0x46574958
 _U = np.uint64
 _GAMMA = 2
@@ -143,7 +146,8 @@ def write_segments(docs: DataFrame, path: str, out: str, end_id: int | None = No
     A null text is an empty one; a null id comes first and is a key of its own; repeated ids are
     told apart by their order within the segment. end_id, if given, closes each document. The
     range partitioning orders by id and then by a hash of the text, so that one id with very
-    many rows can be split.
+    many rows can be split. A text of any length is encoded whole and is never cut by a segment's
+    end; an empty table gives a table without segments; other columns don't matter.
     """
 
     def run(batches):
@@ -160,9 +164,10 @@ def write_segments(docs: DataFrame, path: str, out: str, end_id: int | None = No
             ids, null = _key_arrays(column)
             index = build_index(document_keys(ids, null, _repeats(ids, null)), n)
             payload = np.concatenate(parts).astype("<u2" if width == 2 else "<u4").tobytes()
-            row = [part, segment, start, len(column), held, width]
+            real = ids[~null]
+            row = [part, segment, start, len(column), held, width, *((int(real[0]), int(real[-1])) if len(real) else (None, None)), int(null.sum())]
             lists = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             out_row = pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(row, kinds, strict=True)), lists, pa.array([index], pa.binary()), pa.array([payload], pa.binary())], names=[c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
             segment, start = segment + 1, start + held
             keys.clear(), counts.clear(), parts.clear()
@@ -176,12 +181,18 @@ def write_segments(docs: DataFrame, path: str, out: str, end_id: int | None = No
                 if end_id is not None:
                     ids = np.insert(ids, bounds[1:], end_id)
                     n = n + 1
-                keys.append(batch.column(0).slice(piece.lo, piece.n))
-                counts.append(n)
-                parts.append(ids)
-                held += int(n.sum())
-                if held >= segment_tokens:
-                    yield flush()
+                ends, own, at = np.cumsum(n), batch.column(0).slice(piece.lo, piece.n), 0
+                while at < piece.n:
+                    done = int(ends[at - 1]) if at else 0
+                    # up to the document that fills the segment
+                    to = min(int(np.searchsorted(ends, done + segment_tokens - held)) + 1, piece.n)
+                    keys.append(own.slice(at, to - at))
+                    counts.append(n[at:to])
+                    parts.append(ids[done : int(ends[to - 1])])
+                    held += int(ends[to - 1]) - done
+                    at = to
+                    if held >= segment_tokens:
+                        yield flush()
         if keys:
             yield flush()
 
@@ -215,18 +226,32 @@ def read_documents(spark, out: str) -> DataFrame:
     return segments.select("part", "local_start", "width", "keys", "index", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_le32 binary")
 
 
-def look_up(spark, out: str, doc_id: int | None) -> list[list[int]]:
-    """The ids of the documents with one id, read from the segments that can hold it."""
+def segments_of(spark, out: str, doc_id: int | None) -> DataFrame:
+    """The segments whose range of ids has one id, without their lists of keys."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(out)
-    has = F.exists("keys", lambda k: k.eqNullSafe(F.lit(doc_id).cast("long")))
-    found = []
-    for row in segments.where(has).orderBy("part", "segment").collect():
-        segment = Segment(row["index"], row["payload"], row["width"])
-        for repeat in range(sum(k == doc_id for k in row["keys"])):
-            key = document_keys(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([repeat]))
-            (at,), (n,) = segment.find(key)
-            found.append(segment.ids[at : at + n].tolist())
-    return found
+    has = F.col("null_ids") > 0 if doc_id is None else (F.col("least") <= doc_id) & (F.col("most") >= doc_id)
+    return segments.where(has).select("part", "segment", "width", "index", "payload")
+
+
+def look_up(spark, out: str, doc_id: int | None) -> list[list[int]]:
+    """The ids of the documents with one id; empty if there is none."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, number, width, index, payload = (c[i].as_py() for c in batch.columns)
+                segment, repeat = Segment(index, payload, width), 0
+                while True:
+                    key = document_keys(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([repeat]))
+                    (at,), (n,) = segment.find(key)
+                    if at < 0:
+                        break
+                    ids = segment.ids[at : at + n].tolist()
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "repeat": pa.array([repeat], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64()))})
+                    repeat += 1
+
+    rows = segments_of(spark, out, doc_id).mapInArrow(run, "part int, segment int, repeat int, ids array<long>")
+    return [r["ids"] for r in sorted(rows.collect(), key=lambda r: (r["part"], r["segment"], r["repeat"]))]
 
 
 def store_documents(docs: DataFrame, path: str, end_id: int | None = None, **options) -> DataFrame:

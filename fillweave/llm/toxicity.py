@@ -316,11 +316,11 @@ def _platt(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int
     return a, b
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out, rows_per_label: int, most_chars: int | None) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out, rows_per_label: int) -> DataFrame:
     """text and label of a bounded sample: about rows_per_label labelled documents of each label.
 
     The sample is drawn by a hash of the ids; rows for which held_out(doc_id) holds are no part
-    of it, nor are texts of more than most_chars characters, if that is given.
+    of it. Texts are taken whole, whatever their length.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -333,13 +333,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out, row
     # at most about 2 * rows_per_label pairs of numbers
     few = spark.createDataFrame([(r["doc_id"], r["label"]) for r in drawn.collect()], "doc_id long, label int")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    if most_chars is not None:
-        narrow = narrow.where(F.length("text") <= most_chars)
     return narrow.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", holdout_parts: int = 5, holdout_part: int = 0, rows_per_label: int = 1500, most_chars: int = 20_000) -> Network:
-    """Train on a sample of about rows_per_label texts of each label, of at most most_chars characters.
+def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", holdout_parts: int = 5, holdout_part: int = 0, rows_per_label: int = 1500) -> Network:
+    """Train on a sample of about rows_per_label whole texts of each label.
 
     The sample's bound lets one task train; the driver gets the parameters.
     """
@@ -352,7 +350,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", holdout_par
         net = train([t for _, t, _ in rows], np.array([y for _, _, y in rows]), base)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
 
-    drawn = training_rows(docs, labels, column, held, rows_per_label, most_chars)
+    drawn = training_rows(docs, labels, column, held, rows_per_label)
     trained = drawn.repartition(1).mapInArrow(run, "network binary").first()
     # without any rows no task may run
     return pickle.loads(trained["network"]) if trained else train([], np.zeros(0))

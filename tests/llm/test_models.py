@@ -119,6 +119,13 @@ def test_toxicity_query_and_odd_rows(spark, sf_dir, odd_docs, no_docs, documents
     assert all(r["score"] < 0.5 for r in toxicity.score(odd_docs, one).collect())
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_toxicity(spark, sf_dir).collect() if r["held_out"] and label.get(r["doc_id"]) is not None]
+    assert len(rows) > 30 and np.mean([r["predicted"] == label[r["doc_id"]] for r in rows]) >= 0.9
+
+
 def test_quality_query(spark, sf_dir):
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     rows = [r for r in queries.op8_quality_ranking(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in label]

@@ -57,7 +57,7 @@ def copies(seed, base_words=60, groups=3, members=25):
 @pytest.mark.parametrize(("smallest", "rows_in_block"), [(256, 1024), (24, 1024), (256, 5)])
 def test_groups_of_copies(spark, smallest, rows_in_block, monkeypatch):
     rows = copies(7)
-    monkeypatch.setattr(near_dup.classes_and_members, "__defaults__", (smallest, 0.4 if smallest < 256 else 0.6, rows_in_block))
+    monkeypatch.setattr(near_dup.classes_and_members, "__defaults__", (smallest, 0.4 if smallest < 256 else 0.6, rows_in_block, 8))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(str(tuple(r)) for r in near_dup.near_duplicates(docs).collect())
     assert got == brute(rows)

@@ -103,6 +103,7 @@ def test_store_of_odd_rows(spark, odd_docs, no_docs, odd_rows, library, tokenize
         at += r["n_tokens"]
     assert token_store.look_up(spark, out, 6) == [dict(want)[6]] * 2
     assert token_store.look_up(spark, out, 999) == []
+    assert token_store.look_up(spark, out, 1) == [dict(want)[1]]
     assert token_store.store_documents(no_docs, tokenizer_path).count() == 0
 
 
@@ -118,3 +119,15 @@ def test_perfect_hash(n):
     assert offsets.tolist() == (np.cumsum(counts) - counts).tolist()
     foreign = token_store.document_keys(np.arange(n) + 10**9, np.zeros(n, bool), np.zeros(n, int))
     assert (segment.find(foreign)[0] == -1).all()
+
+
+def test_one_look_up_reads_one_segment(spark, documents, library, tokenizer_path, tmp_path):
+    out = str(tmp_path / "segments")
+    token_store.write_segments(documents, tokenizer_path, out, end_id=2, segment_tokens=2000)
+    all_segments = spark.read.parquet(out).count()
+    rows = documents.select("doc_id", "text").collect()
+    assert all_segments > 20
+    for r in rows[:: len(rows) // 5]:
+        chosen = token_store.segments_of(spark, out, r["doc_id"])
+        assert chosen.count() == 1 and "keys" not in chosen.columns
+        assert token_store.look_up(spark, out, r["doc_id"]) == [library.encode(r["text"] or "", add_special_tokens=False).ids + [2]]
