@@ -35,6 +35,8 @@ CLASSES = {
 }
 #: Share of the distance of a text without listed words beyond which a text has too few of them.
 MOST_BARE = 0.98
+#: Quantile of the shares of common words that stands for a language's ordinary texts.
+NINE_TENTHS = 0.9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -112,19 +114,37 @@ def text_counts(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) ->
     )
 
 
-def references(counts: DataFrame, common: dict[str, list[str]], least_docs: int) -> dict[str, tuple[list[float], list[float]]]:
-    """For each language with enough documents, the shares of character classes and common words."""
+def references(counts: DataFrame, common: dict[str, list[str]], least_docs: int, failed: Column) -> list[dict[str, tuple[list[float], list[float]]]]:
+    """For each language with enough documents, the shares of character classes and common words: of all rows, and of ordinary ones.
+
+    Junk dilutes the first. The second sum only rows that pass the base rules and have at least
+    half the share of their language's common words that its quantile at NINE_TENTHS has (in
+    thousandths, so that the quantile is exact and its state small).
+    """
     listed = vocabulary(common)
-    sums = [F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), F.count("*").alias("docs")]
-    sums += [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(listed))]
-    out = {}
-    # a row for each language that has words
-    for r in counts.where(F.col("lang").isin(list(common))).groupBy("lang").agg(*sums).collect():
-        if r["docs"] >= least_docs and r["chars"] and r["words"]:
-            kinds = [r[f"c{i}"] for i in range(len(CLASSES))]
-            own = [r[f"w{listed.index(w)}"] for w in common[r["lang"]]]
-            out[r["lang"]] = [x / r["chars"] for x in [*kinds, r["chars"] - sum(kinds)]], [x / r["words"] for x in [*own, r["words"] - sum(own)]]
-    return dict(sorted(out.items()))
+    own = {lang: sum(F.col("common")[listed.index(w)] for w in ws) for lang, ws in common.items()}
+    share = F.floor(1000 * F.coalesce(*(F.when(F.col("lang") == lang, x) for lang, x in own.items())) / F.greatest(F.col("n_words"), F.lit(1))).cast("int")
+    rated = counts.where(F.col("lang").isin(list(common))).withColumn("share", F.when(~failed, share))
+    high = rated.groupBy("lang").agg(F.percentile_approx("share", NINE_TENTHS, 10000).alias("high")).collect()  # a row for each language
+    least = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(r["high"] / 2)) for r in high if r["high"] is not None), F.lit(None).cast("double"))
+    ordinary = F.coalesce(F.col("share") >= least, F.lit(False))
+    counted = {"chars": F.col("n_chars"), "words": F.col("n_words"), "docs": F.lit(1)}
+    counted |= {f"c{i}": F.col("classes")[i] for i in range(len(CLASSES))} | {f"w{i}": F.col("common")[i] for i in range(len(listed))}
+    rows = rated.groupBy("lang", ordinary.alias("ordinary")).agg(*(F.sum(x).alias(name) for name, x in counted.items())).collect()
+    whole, good = {}, {}
+    for r in rows:
+        for sums in [whole, good] if r["ordinary"] else [whole]:
+            sums[r["lang"]] = {name: r[name] + sums.get(r["lang"], {}).get(name, 0) for name in counted}
+    out = []
+    for kind in (whole, good):
+        shares = {}
+        for lang, r in sorted(kind.items()):
+            if whole[lang]["docs"] >= least_docs and r["chars"] and r["words"]:
+                kinds = [r[f"c{i}"] for i in range(len(CLASSES))]
+                mine = [r[f"w{listed.index(w)}"] for w in common[lang]]
+                shares[lang] = [x / r["chars"] for x in [*kinds, r["chars"] - sum(kinds)]], [x / r["words"] for x in [*mine, r["words"] - sum(mine)]]
+        out.append(shares)
+    return out
 
 
 def js_distance(shares: Column, reference: list[float]) -> Column:
@@ -161,8 +181,8 @@ def judge(
     """One row per document: the counts, the distances, base_failed and kept.
 
     base_failed: fewer than min_words words, or more than most_repeat_percent of them in repeated
-    triples. class_distance and common_distance are the least over the languages with a
-    reference, which each language with at least least_docs documents has; null if there is none, or the text is shorter than least_chars or
+    triples. A language has two references, of all its rows and of its ordinary ones; a text is
+    far if it is far from every language by both kinds. class_distance and common_distance are the least over the references, which each language with at least least_docs documents has; null if there is none, or the text is shorter than least_chars or
     least_words. kept: not base_failed, and not too far from every language; a text of a
     language that is neither in `common` nor has a reference is not rejected by distance (those
     of `common` that are too rare are measured against the others, as the SQL does). By common words
@@ -178,24 +198,32 @@ def judge(
     counts = text_counts(docs, common)
     # with whole documents a checkpoint, which Spark can remove when it isn't needed any more
     counts = cut(counts) if carry else written(counts.drop("document"), "text-counts")
-    found = references(counts, common, least_docs)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    kinds_of = references(counts, common, least_docs, failed)
     listed = vocabulary(common)
     chars, n = F.greatest(F.col("n_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     kinds = [F.col("classes")[i] for i in range(len(CLASSES))]
     shares = {"class_shares": F.array(*(k / chars for k in [*kinds, F.col("n_chars") - sum(kinds)]))}
-    for i, lang in enumerate(found):
+    place = {lang: f"shares_{i}" for i, lang in enumerate(kinds_of[0])}
+    for lang, name in place.items():
         own = [F.col("common")[listed.index(w)] for w in common[lang]]
-        shares[f"shares_{i}"] = F.array(*(x / n for x in [*own, F.col("n_words") - sum(own)]))
+        shares[name] = F.array(*(x / n for x in [*own, F.col("n_words") - sum(own)]))
     counts = counts.withColumns(shares)
-    by_class = [js_distance(F.col("class_shares"), c) for c, _ in found.values()]
-    by_common = [js_distance(F.col(f"shares_{i}"), w) for i, (_, w) in enumerate(found.values())]
-    fits = []
-    for i, (d, (_, w)) in enumerate(zip(by_common, found.values(), strict=True)):
-        if w[-1] < 1:
-            limit = F.when(F.element_at(f"shares_{i}", -1) > w[-1], min(most_common, most_bare * bare_distance(1 - w[-1]))).otherwise(most_common)
-            fits.append(d <= limit)
+    by_class, by_common, far = [], [], F.lit(True)
+    for found in kinds_of:
+        of_class = [js_distance(F.col("class_shares"), c) for c, _ in found.values()]
+        of_common = [js_distance(F.col(place[lang]), w) for lang, (_, w) in found.items()]
+        fits = []
+        for d, (lang, (_, w)) in zip(of_common, found.items(), strict=True):
+            if w[-1] < 1:
+                limit = F.when(F.element_at(place[lang], -1) > w[-1], min(most_common, most_bare * bare_distance(1 - w[-1]))).otherwise(most_common)
+                fits.append(d <= limit)
+        odd = (F.col("n_chars") >= least_chars) & (F.array_min(F.array(*of_class)) > most_class) if of_class else F.lit(False)
+        few = (F.col("n_words") >= least_words) & ~F.exists(F.array(*fits), lambda x: x) if fits else F.lit(False)
+        if found or not by_class:
+            far = far & (odd | few)
+        by_class, by_common = by_class + of_class, by_common + of_common
     least = lambda d, long: F.when(long, F.array_min(F.array(*d))) if d else F.lit(None).cast("double")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     out = counts.select(
         *(["document"] if carry else []),
         "doc_id",
@@ -207,11 +235,10 @@ def judge(
         failed.alias("base_failed"),
         least(by_class, F.col("n_chars") >= least_chars).alias("class_distance"),
         least(by_common, F.col("n_words") >= least_words).alias("common_distance"),
-        ((F.col("n_words") >= least_words) & ~F.exists(F.array(*fits), lambda x: x) if fits else F.lit(False)).alias("few_common"),
-        (F.col("lang").isNull() | F.col("lang").isin([*given, *found])).alias("comparable"),
+        far.alias("far"),
+        (F.col("lang").isNull() | F.col("lang").isin([*given, *place])).alias("comparable"),
     )
-    far = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.col("few_common")
-    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("comparable") & far)).drop("few_common", "comparable")
+    return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("comparable") & F.col("far"))).drop("far", "comparable")
 
 
 def passing_documents(docs: DataFrame, **options) -> DataFrame:

@@ -213,6 +213,16 @@ def test_divergence_rejects_junk_of_any_share(spark, documents, share):
     assert sum(got[i]["kept"] for i in before) >= 0.98 * len(before)
 
 
+def test_divergence_keeps_prose_among_much_junk(spark, documents):
+    """Junk of symbols and digits in nearly half of the rows doesn't make prose look far."""
+    rng = random.Random(10)
+    n = int(documents.count() * 0.45 / 0.55 / 4)
+    rows = [(10**6 + 1000 * k + i, " | ".join(f"{rng.randint(0, 10**6)}%%#{rng.randint(0, 10**6)}" for _ in range(200)), lang, "s", 1) for k, lang in enumerate(("en", "de", "fr", "es")) for i in range(n)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(documents.union(spark.createDataFrame(rows, documents.schema))).collect()}
+    before = {r["doc_id"] for r in quality_rules.judge(documents).where("kept").collect()}
+    assert sum(got[i]["kept"] for i in before) >= 0.98 * len(before)
+
+
 def test_divergence_keeps_other_languages(spark, documents):
     """Prose of languages that aren't listed is kept, with a reference or too rare for one; junk in them isn't."""
     rng = random.Random(9)
