@@ -1,7 +1,8 @@
 """Elimination trees, fill of the Cholesky factor, and trees given by parents.
 
-The tree of one connected component needs its columns in order, so components are the groups:
-each is one task's work, and many run at once.
+The order is halved again and again: what the connected parts of a lower half do to the upper
+half is written down as edges there, so that halves become independent and blocks of bounded
+width are left, one for each task. Fill comes from the tree by joins.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..plans.lineage import cut
 
+#: Positions of an order that one task eliminates.
+BLOCK = 1 << 14
+
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """v, comp: the smallest vertex of its connected component.
@@ -38,34 +42,118 @@ def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
-def _per_component(permutation: DataFrame, edges: DataFrame, kernel, name: str, named: DataFrame | None) -> DataFrame:
-    """The kernel's value of each position; named(v, comp) are the components, if they are known."""
-    if named is None:
-        named = components(permutation.select("v"), cut(edges.select("u", "v")))
-    comp = cut(permutation.join(named, "v").select(F.col("new_pos").alias("v"), "comp"))
-    near = cut(_numbered(permutation, edges))
-    ends = near.join(comp.withColumnRenamed("v", "u"), "u").select("comp", "u", "v")
-
-    def run(key, vertices: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(vertices["v"].to_numpy())
-        u, v = np.searchsorted(ids, pairs["u"].to_numpy()), np.searchsorted(ids, pairs["v"].to_numpy())
-        value = kernel(len(ids), u, v)
-        return pd.DataFrame({"v": ids, name: np.where(value >= 0, ids[value], -1) if name == "parent" else value})
+def _block_trees(positions: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """v, parent of the elimination trees of blocks of positions; pairs(u, v) lie inside blocks."""
 
-    left = comp.select(F.col("comp").alias("of"), "v").groupBy("of")
-    right = ends.select(F.col("comp").alias("at"), F.col("u").alias("u"), F.col("v").alias("v")).groupBy("at")
-    return left.cogroup(right).applyInPandas(run, f"v int, {name} long")
+    def run(key, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(rows["v"].to_numpy())
+        u, v = np.searchsorted(ids, near["u"].to_numpy()), np.searchsorted(ids, near["v"].to_numpy())
+        up = kernels.elimination_tree(len(ids), np.concatenate([u, v]), np.concatenate([v, u]))
+        return pd.DataFrame({"v": ids, "parent": np.where(up >= 0, ids[up], -1)})
 
+    left = positions.select(F.expr(f"v div {block}").alias("of"), "v").groupBy("of")
+    right = pairs.select(F.expr(f"u div {block}").alias("at"), F.col("u").alias("u"), F.col("v").alias("v")).groupBy("at")
+    return left.cogroup(right).applyInPandas(run, "v int, parent long")
 
-def elimination_tree(permutation: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
-    """v, parent of the elimination tree of the permuted matrix, both as positions; -1 at roots."""
-    return _per_component(permutation, edges, kernels.elimination_tree, "parent", named)
 
+def elimination_tree(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """v, parent of the elimination tree of the permuted matrix, both as positions from 0; -1 at roots.
 
-def fill(permutation: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
-    """One row: vertices, entries of the factor, and of the factor and its transpose together."""
-    counts = _per_component(permutation, edges, kernels.factor_counts, "entries", named)
-    return counts.agg(F.count("*").alias("n"), F.sum("entries").alias("lnz")).select("n", "lnz", (2 * F.col("lnz") - F.col("n")).alias("l_nnz"))
+    Once a connected part of a lower half is eliminated, its neighbours in the upper half are a
+    clique. For the tree, edges from the first of them to the others say the same, and that first
+    one is the parent of the part's last vertex. There are as many rounds as halvings down to
+    blocks, and never more edges than at first.
+    """
+    positions = cut(permutation.select(F.col("new_pos").cast("int").alias("v")))
+    top = positions.agg(F.max("v")).first()[0]
+    pairs = cut(_numbered(permutation, edges).where("u < v").distinct())
+    width, given = block, None
+    while width <= (top or 0):
+        width *= 2
+    while width > block:
+        width //= 2
+        across = pairs.where(f"u div {width} <> v div {width}")
+        same = pairs.where(f"u div {width} = v div {width}")
+        lower = f"(v div {width}) % 2 = 0"
+        inside = same.where(lower)
+        named = components(positions.where(lower), inside.union(inside.select("v", "u")).toDF("u", "v"))
+        reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
+        first = reached.groupBy("comp").agg(F.min("v").alias("first"))
+        last = named.groupBy("comp").agg(F.max("v").alias("v"))
+        above = last.join(first, "comp").select("v", F.col("first").cast("long").alias("above"))
+        given = above if given is None else given.union(above)
+        star = reached.join(first, "comp").where("v <> first").select(F.col("first").alias("u"), "v")
+        pairs = cut(same.union(star).distinct())
+    trees = _block_trees(positions, pairs, block)
+    if given is None:
+        return trees
+    return trees.join(given, "v", "left").select("v", F.when(F.col("parent") < 0, F.coalesce("above", F.lit(-1).cast("long"))).otherwise(F.col("parent")).alias("parent"))
+
+
+def _measured(parents: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """v, size of its subtree and depth; and for each power of two the table (v, up) of ancestors at that distance."""
+    state = cut(parents.select("v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("depth")))
+    jumps = []
+    while not state.where("up >= 0").isEmpty():
+        jumps.append(state.where("up >= 0").select("v", "up"))
+        below = state.where("up >= 0").groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("more"))
+        above = state.select(F.col("v").alias("up"), F.col("up").alias("next"), F.col("depth").alias("higher"))
+        both = state.join(above, "up", "left").join(below, "v", "left")
+        zero = F.lit(0).cast("long")
+        state = cut(both.select("v", F.coalesce("next", F.lit(-1).cast("long")).alias("up"), (F.col("size") + F.coalesce("more", zero)).alias("size"), (F.col("depth") + F.coalesce("higher", zero)).alias("depth")))
+    return state.select("v", "size", "depth"), jumps
+
+
+def _postordered(parents: DataFrame, sizes: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """v, post, depth: places in a post-order. Siblings go by ascending number; their sizes are
+    summed by ranges of 65536 numbers first, so that no window holds all children of a vertex."""
+    rows = parents.join(sizes, "v").withColumn("range", F.expr("v div 65536"))
+    totals = rows.groupBy("parent", "range").agg(F.sum("size").alias("t"))
+    before = Window.partitionBy("parent").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("parent", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    own = F.sum("size").over(Window.partitionBy("parent", "range").orderBy("v")) - F.col("size")
+    state = cut(rows.withColumn("own", own).join(base, ["parent", "range"]).select("v", "size", "depth", (F.col("base") + F.col("own")).alias("start")))
+    for jump in jumps:
+        above = state.select(F.col("v").alias("up"), F.col("start").alias("more"))
+        from_up = jump.join(above, "up").select("v", "more")
+        state = cut(state.join(from_up, "v", "left").select("v", "size", "depth", (F.col("start") + F.coalesce("more", F.lit(0).cast("long"))).alias("start")))
+    return state.select("v", (F.col("start") + F.col("size") - 1).alias("post"), "depth")
+
+
+def fill(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row: vertices, entries of the factor, and of the factor and its transpose together.
+
+    Row i of the factor has the vertices on the tree paths from i's earlier neighbours up to i.
+    With those in post-order, each adds the path up to where the one before it joins it; that
+    vertex is found from tables of ancestors at distances of powers of two.
+    """
+    parents = cut(elimination_tree(permutation, edges, block))
+    sizes, jumps = _measured(parents)
+    places = _postordered(parents, sizes, jumps)
+    near = _numbered(permutation, edges).where("u < v").distinct()
+    rows = near.join(places.withColumnRenamed("v", "u"), "u").select(F.col("v").alias("i"), F.col("u").alias("x"), "post", "depth")
+    rows = cut(rows.withColumn("range", F.expr("post div 65536")))
+    # the neighbour before: of the same range of places, or the last one of an earlier range
+    mine = F.struct("post", "x", "depth")
+    ends = rows.groupBy("i", "range").agg(F.max(mine).alias("end"))
+    ends = ends.select("i", "range", F.lag("end").over(Window.partitionBy("i").orderBy("range")).alias("end"))
+    before = F.lag(mine).over(Window.partitionBy("i", "range").orderBy("post"))
+    paired = rows.withColumn("before", before).join(ends, ["i", "range"]).withColumn("before", F.coalesce("before", "end"))
+    paired = cut(paired.select("i", "post", "depth", F.col("before.x").alias("x"), F.col("before.depth").alias("was")))
+    depths_of = places.select(F.col("v").alias("i"), F.col("depth").alias("top"))
+    firsts = paired.where("x is null").join(depths_of, "i").select((F.col("depth") - F.col("top")).alias("n"))
+    hops = paired.where("x is not null").select("x", "post", "depth", "was")
+    at = places.select(F.col("v").alias("up"), F.col("post").alias("up_post"))
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].join(at, "up").select(F.col("v").alias("x"), "up", "up_post")
+        hop = F.coalesce(F.col("up_post") < F.col("post"), F.lit(False))
+        hops = hops.join(jump, "x", "left").select(F.when(hop, F.col("up")).otherwise(F.col("x").cast("long")).alias("x"), "post", "depth", (F.col("was") - F.when(hop, 1 << k).otherwise(0)).alias("was"))
+        if k % 4 == 0:
+            hops = cut(hops)
+    # the path of the one before has been followed to just under the vertex where both meet
+    added = firsts.union(hops.select((F.col("depth") - F.col("was") + 1).alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("off"))
+    out = places.agg(F.count("*").alias("n")).crossJoin(added)  # one row each
+    return out.select("n", (F.col("n") + F.col("off")).cast("long").alias("lnz")).select("n", "lnz", (2 * F.col("lnz") - F.col("n")).alias("l_nnz"))
 
 
 def children(parents: DataFrame) -> DataFrame:

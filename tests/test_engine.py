@@ -1,5 +1,6 @@
 """The ordering engine: scenarios, invariants, files and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,28 @@ def test_stream(spark, grid, ordered, tmp_path):
     assert state.edges.count() == edges.count() + 2
     assert X.is_permutation(permutation, "new_pos", nodes.count()).first()["ok"]
     assert D.violations(state.dof.select("v", "hmd_id"), state.edges).isEmpty()
+
+
+@pytest.mark.parametrize(("n", "more", "block"), [(40, 30, 16), (33, 0, 32), (1, 0, 8)])
+def test_trees_and_fill_by_halving(spark, n, more, block):
+    """The tree and fill of random graphs, in many blocks, are those of one elimination step by step."""
+    rng = np.random.default_rng(n)
+    ends = [(i, int(rng.integers(0, i))) for i in range(1, n) if rng.random() < 0.9] + [tuple(map(int, rng.choice(n, 2, replace=False))) for _ in range(more)]
+    pairs = sorted({p for a, b in ends for p in ((a, b), (b, a))})
+    order = rng.permutation(n)
+    place = np.argsort(order)
+    near = [set() for _ in range(n)]
+    for a, b in pairs:
+        near[place[a]].add(int(place[b]))
+    parent, entries = [], 0
+    for k in range(n):
+        later = {x for x in near[k] if x > k}
+        entries += 1 + len(later)
+        parent.append(min(later, default=-1))
+        for x in later:
+            near[x] |= later - {x}
+    perm = spark.createDataFrame([(i, int(v)) for i, v in enumerate(order)], "new_pos int, v int")
+    edges = spark.createDataFrame(pairs, "u int, v int")
+    got = {r["v"]: r["parent"] for r in E.elimination_tree(perm, edges, block).collect()}
+    assert [got[k] for k in range(n)] == parent
+    assert tuple(E.fill(perm, edges).first()) == (n, entries, 2 * entries - n)
