@@ -115,34 +115,38 @@ def nested_dissection(n: int, u: np.ndarray, v: np.ndarray, small: int = 64) ->
     return np.concatenate(out)
 
 
-def elimination_tree(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The parent of each vertex in the elimination tree of a symmetric pattern, -1 for roots."""
+def factor_columns(n: int, u: np.ndarray, v: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parents in the elimination tree (-1 for roots) and entries, the diagonal included, of the first `own` columns.
+
+    Later vertices count as rows only; every edge needs an end among the first. Row k's entries
+    are the vertices on the tree paths from its neighbours up to k.
+    """
     ptr, adj = _csr(n, u, v)
     parent, jump = np.full(n, -1), np.full(n, -1)
     for k in range(n):
         for i in adj[ptr[k] : ptr[k + 1]].tolist():
-            while i != -1 and i < k:
+            while i != -1 and i < k and i < own:
                 after = jump[i]
                 jump[i] = k
                 if after == -1:
                     parent[i] = k
                 i = after
-    return parent
-
-
-def factor_counts(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Entries of each column of the Cholesky factor, the diagonal included.
-
-    Row k's entries are the vertices on the tree paths from its neighbours up to k.
-    """
-    ptr, adj = _csr(n, u, v)
-    parent = elimination_tree(n, u, v)
     count, mark = np.ones(n, dtype=np.int64), np.full(n, -1)
     for k in range(n):
         mark[k] = k
         for i in adj[ptr[k] : ptr[k + 1]].tolist():
-            while i < k and mark[i] != k:
+            while i < k and i < own and mark[i] != k:
                 count[i] += 1
                 mark[i] = k
                 i = int(parent[i])
-    return count
+    return parent[:own], count[:own]
+
+
+def elimination_tree(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The parent of each vertex in the elimination tree of a symmetric pattern, -1 for roots."""
+    return factor_columns(n, u, v, n)[0]
+
+
+def factor_counts(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Entries of each column of the Cholesky factor, the diagonal included."""
+    return factor_columns(n, u, v, n)[1]

@@ -2,7 +2,7 @@
 
 The order is halved again and again: what the connected parts of a lower half do to the upper
 half is written down as edges there, so that halves become independent and blocks of bounded
-width are left, one for each task. Fill is still counted in one task for each connected component.
+width are left, one for each task.
 """
 
 from __future__ import annotations
@@ -42,76 +42,58 @@ def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
-def _block_trees(positions: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
-    """v, parent of the elimination trees of blocks of positions; pairs(u, v) lie inside blocks."""
+def _block_columns(positions: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """v, parent, entries of all columns, a task for each block; pairs(u, v) belong to the block of u, the lower end."""
 
     def run(key, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(rows["v"].to_numpy())
+        own = np.sort(rows["v"].to_numpy())
+        ids = np.union1d(own, near["v"].to_numpy())  # rows above the block come after its own
         u, v = np.searchsorted(ids, near["u"].to_numpy()), np.searchsorted(ids, near["v"].to_numpy())
-        up = kernels.elimination_tree(len(ids), np.concatenate([u, v]), np.concatenate([v, u]))
-        return pd.DataFrame({"v": ids, "parent": np.where(up >= 0, ids[up], -1)})
+        up, entries = kernels.factor_columns(len(ids), np.concatenate([u, v]), np.concatenate([v, u]), len(own))
+        return pd.DataFrame({"v": own, "parent": np.where(up >= 0, ids[up], -1), "entries": entries})
 
     left = positions.select(F.expr(f"v div {block}").alias("of"), "v").groupBy("of")
     right = pairs.select(F.expr(f"u div {block}").alias("at"), F.col("u").alias("u"), F.col("v").alias("v")).groupBy("at")
-    return left.cogroup(right).applyInPandas(run, "v int, parent long")
+    return left.cogroup(right).applyInPandas(run, "v int, parent long, entries long")
 
 
-def elimination_tree(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
-    """v, parent of the elimination tree of the permuted matrix, both as positions from 0; -1 at roots.
+def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """v, parent, entries of each column of the permuted matrix's Cholesky factor, by positions from 0.
 
-    Once a connected part of a lower half is eliminated, its neighbours in the upper half are a
-    clique. For the tree, edges from the first of them to the others say the same, and that first
-    one is the parent of the part's last vertex. There are as many rounds as halvings down to
-    blocks, and never more edges than at first.
+    parent is that in the elimination tree (-1 at roots), entries counts the diagonal too. Once a
+    connected part of a lower half is eliminated, its neighbours above are a clique. Edges from
+    the first of them to the others give the same factor, as the first one's elimination makes
+    the clique. With these edges the columns of the upper half no longer need the lower half.
+    There are as many rounds as halvings down to blocks, each with one search for components.
     """
     positions = cut(permutation.select(F.col("new_pos").cast("int").alias("v")))
     top = positions.agg(F.max("v")).first()[0]
     pairs = cut(_numbered(permutation, edges).where("u < v").distinct())
-    width, given = block, None
+    width = block
     while width <= (top or 0):
         width *= 2
     while width > block:
         width //= 2
-        across = pairs.where(f"u div {width} <> v div {width}")
-        same = pairs.where(f"u div {width} = v div {width}")
-        lower = f"(v div {width}) % 2 = 0"
-        inside = same.where(lower)
-        named = components(positions.where(lower), inside.union(inside.select("v", "u")).toDF("u", "v"))
+        lower = pairs.where(f"(u div {width}) % 2 = 0")
+        inside = lower.where(f"u div {width} = v div {width}")
+        named = components(positions.where(f"(v div {width}) % 2 = 0"), inside.union(inside.select("v", "u")).toDF("u", "v"))
+        across = lower.where(f"u div {width} <> v div {width}")
         reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
-        first = reached.groupBy("comp").agg(F.min("v").alias("first"))
-        last = named.groupBy("comp").agg(F.max("v").alias("v"))
-        above = last.join(first, "comp").select("v", F.col("first").cast("long").alias("above"))
-        given = above if given is None else given.union(above)
-        star = reached.join(first, "comp").where("v <> first").select(F.col("first").alias("u"), "v")
-        pairs = cut(same.union(star).distinct())
-    trees = _block_trees(positions, pairs, block)
-    if given is None:
-        return trees
-    return trees.join(given, "v", "left").select("v", F.when(F.col("parent") < 0, F.coalesce("above", F.lit(-1).cast("long"))).otherwise(F.col("parent")).alias("parent"))
-
-
-def _per_component(permutation: DataFrame, edges: DataFrame, kernel, name: str, named: DataFrame | None) -> DataFrame:
-    """The kernel's value of each position; named(v, comp) are the components, if they are known."""
-    if named is None:
-        named = components(permutation.select("v"), cut(edges.select("u", "v")))
-    comp = cut(permutation.join(named, "v").select(F.col("new_pos").alias("v"), "comp"))
-    near = cut(_numbered(permutation, edges))
-    ends = near.join(comp.withColumnRenamed("v", "u"), "u").select("comp", "u", "v")
-
-    def run(key, vertices: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(vertices["v"].to_numpy())
-        u, v = np.searchsorted(ids, pairs["u"].to_numpy()), np.searchsorted(ids, pairs["v"].to_numpy())
-        value = kernel(len(ids), u, v)
-        return pd.DataFrame({"v": ids, name: np.where(value >= 0, ids[value], -1) if name == "parent" else value})
-
-    left = comp.select(F.col("comp").alias("of"), "v").groupBy("of")
-    right = ends.select(F.col("comp").alias("at"), F.col("u").alias("u"), F.col("v").alias("v")).groupBy("at")
-    return left.cogroup(right).applyInPandas(run, f"v int, {name} long")
-
-
-def fill(permutation: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
+        # a part whose first neighbour is beyond the upper half has been told of in an earlier round
+        head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
+        star = reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v")
+        pairs = cut(pairs.union(star).distinct())
+    return _block_columns(positions, pairs, block)
+
+
+def elimination_tree(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """v, parent of the elimination tree of the permuted matrix, both as positions from 0; -1 at roots."""
+    return factor_columns(permutation, edges, block).select("v", "parent")
+
+
+def fill(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row: vertices, entries of the factor, and of the factor and its transpose together."""
-    counts = _per_component(permutation, edges, kernels.factor_counts, "entries", named)
+    counts = factor_columns(permutation, edges, block)
     return counts.agg(F.count("*").alias("n"), F.sum("entries").alias("lnz")).select("n", "lnz", (2 * F.col("lnz") - F.col("n")).alias("l_nnz"))
 
 
