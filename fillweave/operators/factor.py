@@ -42,6 +42,23 @@ def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
+def _block_components(positions: DataFrame, inside: DataFrame, block: int) -> DataFrame:
+    """v, comp: the last position of its connected part within its block, a task for each block."""
+
+    def run(key, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        own = np.sort(rows["v"].to_numpy())
+        u, v = np.searchsorted(own, near["u"].to_numpy()), np.searchsorted(own, near["v"].to_numpy())
+        up = kernels.elimination_tree(len(own), np.concatenate([u, v]), np.concatenate([v, u])).tolist()
+        root = list(range(len(own)))
+        for k in reversed(root[:]):
+            root[k] = root[up[k]] if up[k] >= 0 else k
+        return pd.DataFrame({"v": own, "comp": own[root]})
+
+    left = positions.select(F.expr(f"v div {block}").alias("of"), "v").groupBy("of")
+    right = inside.select(F.expr(f"u div {block}").alias("at"), F.col("u").alias("u"), F.col("v").alias("v")).groupBy("at")
+    return left.cogroup(right).applyInPandas(run, "v int, comp int")
+
+
 def _block_columns(positions: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
     """v, parent, entries of all columns, a task for each block; pairs(u, v) belong to the block of u, the lower end."""
 
@@ -64,7 +81,8 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
     connected part of a lower half is eliminated, its neighbours above are a clique. Edges from
     the first of them to the others give the same factor, as the first one's elimination makes
     the clique. With these edges the columns of the upper half no longer need the lower half.
-    There are as many rounds as halvings down to blocks, each with one search for components.
+    There are as many rounds as halvings down to blocks, each with one search for components; in
+    the last one a half is a block, whose components one task names.
     """
     positions = cut(permutation.select(F.col("new_pos").cast("int").alias("v")))
     top = positions.agg(F.max("v")).first()[0]
@@ -76,7 +94,8 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
         width //= 2
         lower = pairs.where(f"(u div {width}) % 2 = 0")
         inside = lower.where(f"u div {width} = v div {width}")
-        named = components(positions.where(f"(v div {width}) % 2 = 0"), inside.union(inside.select("v", "u")).toDF("u", "v"))
+        below = positions.where(f"(v div {width}) % 2 = 0")
+        named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v")) if width > block else _block_components(below, inside, block)
         across = lower.where(f"u div {width} <> v div {width}")
         reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
         # a part whose first neighbour is beyond the upper half has been told of in an earlier round
