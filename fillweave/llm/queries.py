@@ -108,7 +108,13 @@ def op11_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id, op11_entropy_mix)}
+def op12_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import best_documents
+
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id, op11_entropy_mix, op12_k2_treap_search)}
 
 
 def _divergence_sql() -> str:
@@ -196,6 +202,21 @@ b as (
   from (select distinct host, path from p) q join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1, 2)
 select page_id, host, path, rule, coalesce(said, case when bound < 0.5 then 'block' else 'allow' end) verdict
 from p join t using (host) left join b using (host, path)
+""",
+    "op12_k2_treap_search": r"""
+with t as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents),
+q as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+g as (select count(distinct doc_id)::bigint nd, count(*)::bigint nl from t),
+d as (select doc_id, count(*)::bigint n from t group by 1),
+p as (select doc_id, term, count(*)::bigint tf from t where term in (select term from q) group by 1, 2),
+w as (select term, floor(1000 * ln((2 * any_value(nd) + 2)::double / (2 * count(*) + 1)))::bigint w from p, g group by 1),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nl))))::bigint score
+  from q join p using (term) join w using (term) join d using (doc_id), g group by 1, 2),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from s where score > 0)
+select * from r where "rank" <= 20
 """,
     "op5_minhash_near_dup": r"""
 with recursive w as (

@@ -121,12 +121,12 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
-def words(piece: Piece) -> Words:
-    """Maximal runs without white space; none crosses from one row into the next."""
+def words(piece: Piece, parting: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs without parting bytes (white space); none crosses from one row into the next."""
     n = len(piece.data)
     inside = np.empty(n + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    np.logical_not(IS_SPACE[piece.data], out=inside[1:-1])
+    np.logical_not(parting[piece.data], out=inside[1:-1])
     starts = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     cut = piece.bounds[1:-1]
