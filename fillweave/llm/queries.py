@@ -114,7 +114,13 @@ def op12_k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id, op11_entropy_mix, op12_k2_treap_search)}
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_url_reputation, op3_benchmark_passages, op4_token_store, op5_minhash_near_dup, op6_sampled_splitters, op7_toxicity, op8_quality_ranking, op9_divergence_rules, op10_language_id, op11_entropy_mix, op12_k2_treap_search, op13_tiled_collocations)}
 
 
 def _divergence_sql() -> str:
@@ -217,6 +223,32 @@ s as (
   from q join p using (term) join w using (term) join d using (doc_id), g group by 1, 2),
 r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from s where score > 0)
 select * from r where "rank" <= 20
+""",
+    "op13_tiled_collocations": r"""
+with p as (
+  select row_number() over () d, coalesce(lang, 'und') lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') ps from documents),
+q as (select d, lang, i, regexp_extract_all(ps[i], '[^\x20\x09]+') ws from (select d, lang, ps, unnest(range(1, len(ps) + 1)) i from p)),
+w as (select d, lang, i, ws, unnest(range(1, len(ws) + 1)) j from q),
+f1 as (select lang, ws[j] a, count(*) n from w group by 1, 2),
+f2 as (select lang, ws[j] a, ws[j + 1] b, count(*) n from w where j < len(ws) group by 1, 2, 3),
+f3 as (select lang, ws[j] a, ws[j + 1] b, ws[j + 2] c, count(*) n from w where j + 1 < len(ws) group by 1, 2, 3, 4 having count(*) >= 10),
+t as (select lang, sum(n)::bigint n from f1 group by 1),
+c2 as (
+  select f2.lang, f2.a || ' ' || f2.b phrase, f2.n a, x.n l, y.n r, (1000000 * f2.n::hugeint * f2.n) // (x.n::hugeint * y.n) score
+  from f2 join f1 x on x.lang = f2.lang and x.a = f2.a join f1 y on y.lang = f2.lang and y.a = f2.b
+  where f2.n >= 10 and not exists (
+    select 1 from f3 where f3.lang = f2.lang and 100 * f3.n >= 50 * f2.n and ((f3.a = f2.a and f3.b = f2.b) or (f3.b = f2.a and f3.c = f2.b)))),
+k3 as (
+  select f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c phrase, f3.n a, x.n l1, yz.n r1, xy.n l2, z.n r2,
+    (1000000 * f3.n::hugeint * f3.n) // (x.n::hugeint * yz.n) s1, (1000000 * f3.n::hugeint * f3.n) // (xy.n::hugeint * z.n) s2
+  from f3 join f1 x on x.lang = f3.lang and x.a = f3.a join f1 z on z.lang = f3.lang and z.a = f3.c
+    join f2 xy on xy.lang = f3.lang and xy.a = f3.a and xy.b = f3.b join f2 yz on yz.lang = f3.lang and yz.a = f3.b and yz.b = f3.c),
+c as (
+  select lang, phrase, a, l, r, score from c2
+  union all select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2) from k3)
+select lang, "rank", phrase, a, l, r, t.n, score::bigint score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) "rank" from c) join t using (lang) where "rank" <= 2000
 """,
     "op5_minhash_near_dup": r"""
 with recursive w as (
