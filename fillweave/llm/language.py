@@ -31,6 +31,10 @@ SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
 _EDGES = np.array([a for a, _ in SCRIPT_STARTS[1:]], dtype=np.uint32)
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s in SCRIPT_STARTS], dtype=np.int8)
 _FAR = np.float32(-1e4)
+#: Languages that one text is labelled with at most; how many of them are those that suit the whole text best.
+CANDIDATES, WHOLE = 64, 16
+#: Scores that are held at once while candidates are chosen.
+SCORES_AT_ONCE = 1 << 24
 
 
 def word_scripts(w: LetterWords) -> np.ndarray:
@@ -56,6 +60,27 @@ class Model:
         scores[~allowed] = _FAR
         return scores
 
+    def narrowed(self, w: LetterWords) -> Model:
+        """The model of the languages that a text may be in: those that suit the whole text best, then those that suit most of its words best."""
+        k, n = len(self.languages), len(w.words) - 1
+        total, wins, lo = np.zeros(k), np.zeros(k, dtype=np.int64), 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(w.words, w.words[lo] + SCORES_AT_ONCE // k, side="right")) - 1)
+            scores = self.word_scores(part_of(w, lo, hi))
+            total += scores.sum(axis=0)
+            wins += np.bincount(scores.argmax(axis=1), minlength=k)
+            lo = hi
+        first = np.argsort(-total, kind="stable")[:WHOLE]
+        rest = np.argsort(-wins, kind="stable")
+        some = np.sort(np.concatenate([first, rest[~np.isin(rest, first)][: CANDIDATES - WHOLE]]))
+        return Model([self.languages[i] for i in some], self.bits, np.ascontiguousarray(self.table[:, some]), self.allowed[:, some], self.penalty)
+
+
+def part_of(w: LetterWords, lo: int, hi: int) -> LetterWords:
+    """Words lo to hi as one row."""
+    a, b = w.words[lo], w.words[hi]
+    return LetterWords(w.letters[a:b], w.words[lo : hi + 1] - a, np.array([0, hi - lo]))
+
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word, row by row: word scores minus a penalty for each change.
@@ -93,25 +118,25 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return label
 
 
-def learn(docs: DataFrame, holdout_parts: int = 5, rows_per_language: int = 2000, bits: int = 15, penalty: float = 8.0) -> Model:
+def learn(docs: DataFrame, holdout_parts: int = 5, rows_per_language: int = 2000, bits: int = 15, penalty: float = 8.0, most_languages: int = 8192) -> Model:
     """Learn from text and non-null lang of the documents that aren't held out.
 
     At most about rows_per_language documents of each language are read, drawn by a hash of
-    their ids, and all languages. Character statistics are counted in tasks; the driver gets
-    their tables, which have fewer than 2**bits columns a language if there are over 256.
+    their ids, and all languages, or the most_languages that most documents have. Character
+    statistics are counted in tasks; the driver gets their tables, which have fewer than 2**bits
+    columns a language if there are over 256. Texts of any length are read whole; an empty
+    table, or one without a language, gives a model without languages.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where((label_part(F.col("doc_id"), holdout_parts) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     languages = sorted(r["lang"] for r in counts)
     while bits > 8 and len(languages) << bits > 1 << 23:
         bits -= 1
     if not languages:
         return Model([], bits, np.zeros((1 << bits, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), penalty)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, rows_per_language / r["n"]) * (1 << 30)))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, rows_per_language / r["n"]) * (1 << 30))) for r in counts], "lang string, share long")
+    drawn = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("lang", "text")  # most_languages rows
 
     def run(batches):
         grams = np.zeros((len(languages), 1 << bits), dtype=np.int64)
@@ -177,11 +202,17 @@ def _batches(model: Model, batches, id_col: str, text_col: str, group_bytes: int
             yield batch, 0, pa.RecordBatch.from_arrays([ids, pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n)), none], ["doc_id", "lang_pred", "score", "spans"])
             continue
         parts, size, lo = [], 0, 0
+        if len(model.languages) > CANDIDATES:
+            for piece in tv.pieces(text):
+                w = letter_words(piece)
+                for i in range(piece.n):
+                    own = part_of(w, w.rows[i], w.rows[i + 1])
+                    yield batch, piece.lo + i, _labelled(model.narrowed(own), ids.slice(piece.lo + i, 1), [own])
+            continue
         for piece in tv.pieces(text):
             parts.append(letter_words(piece))
             size += len(piece.data)
-            # scores have a column for each language
-            if size >= group_bytes * 64 // max(64, len(model.languages)) or piece.hi == batch.num_rows:
+            if size >= group_bytes or piece.hi == batch.num_rows:
                 yield batch, lo, _labelled(model, ids.slice(lo, piece.hi - lo), parts)
                 parts, size, lo = [], 0, piece.hi
 
@@ -195,8 +226,9 @@ def identify(docs: DataFrame, model: Model, group_bytes: int = 8 << 20) -> DataF
     lang_pred is the language with most letters, score its share of all letters whose words are
     in a learned script. A text that is null or has no letter is `und` with score 0 and no
     spans; so is every text if nothing was learned. A text all of whose letters are in scripts
-    that no learned language uses is given the learned language of the smallest name, score 0.
-    Repeated rows get equal results, and other columns don't matter.
+    that no learned language uses is given the learned language of the smallest name among its
+    candidates, score 0. A text has at most CANDIDATES languages to be labelled with. Texts of any
+    length are labelled whole, an empty table gives no rows. Repeated rows get equal results, and other columns don't matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

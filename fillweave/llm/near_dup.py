@@ -140,17 +140,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
             ok = np.zeros(batch.num_rows, dtype=bool)
             sides = []
             for c in ("ta", "tb"):
-                sets, digests = [], []
+                sets = []
                 for piece in tv.pieces(batch.column(c)):
                     hashes, bounds = shingle_sets(piece, k)
-                    digests.append(_fold(hashes, bounds)[0])
                     sets += [hashes[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                sides.append((sets, np.concatenate(digests) if digests else np.zeros(0, np.int64)))
+                sides.append(sets)
             a, b = (batch.column(c).to_numpy() for c in ("a", "b"))
-            # a repeated id may have brought another text than the class's own
-            right = (sides[0][1] == a) & (sides[1][1] == b)
-            for i in np.flatnonzero(right).tolist():
-                x, y = sides[0][0][i], sides[1][0][i]
+            for i, (x, y) in enumerate(zip(*sides, strict=True)):
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
@@ -250,7 +246,7 @@ def _smallest(texts: DataFrame, n: int, k: int) -> DataFrame:
                 low = hashes[np.repeat(bounds[:-1] - at[:-1], counts) + np.arange(at[-1])].astype(np.uint16).view(np.int16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.lo, piece.n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))], ["node", "low"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, low array<short>").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, low array<short>")
 
 
 def shared_counts(low: np.ndarray, bounds: np.ndarray, chunk: int = 4096) -> np.ndarray:
@@ -342,6 +338,21 @@ def _in_open_buckets(named: DataFrame, heads: DataFrame, texts: DataFrame, perce
     return rest.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
 
 
+def _head_texts(docs: DataFrame, shown: DataFrame, involved: DataFrame) -> DataFrame:
+    """node, text: one row for each of the involved classes; involved(node, no_id, key, text_key) names the row that stands for it.
+
+    Rows that share both id and text are many copies of one; they are looked up apart and each
+    taken once, so that no class has two texts.
+    """
+    place = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", "text_key").alias("key")]
+    again = cut(shown.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(*place, "text_key"))
+    keys = ["no_id", "key", "text_key"]
+    rows = documents(docs).withColumn("text_key", F.xxhash64("text")).select(*place, "text_key", "text")
+    single = rows.join(involved.join(again, keys, "left_anti"), keys).select("node", "text")
+    repeated = rows.join(involved.join(again, keys, "left_semi"), keys).groupBy("node").agg(F.first("text").alias("text"))
+    return cut(single.union(repeated))
+
+
 def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 1024, second_centre: int = 8) -> tuple[DataFrame, DataFrame]:
     """(members, classes): doc_id, text_key, n_shingles, s1, s2 of each row; node, s2, n_shingles, rep and comp of each class of equal sets.
 
@@ -349,11 +360,10 @@ def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int,
     """
     shown = cut(signatures(docs, groups, width, k))
     words = [c for c in shown.columns if c[0] in "pq"]
-    # a text is found again by its id, or by its hash where it has none
-    key = F.coalesce("doc_id", "text_key")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), key.alias("key")))["key"]
+    # a text is found again by its id and its hash
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", "text_key").alias("key"), "text_key"))
     # cut off from the grouping, so that Spark can split a hot group's rows when tables are joined
-    heads = cut(shown.where("n_shingles > 0").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), head.alias("key"), *(F.first(c).alias(c) for c in words)))
+    heads = cut(shown.where("n_shingles > 0").groupBy(F.col("s1").alias("node"), "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), head.alias("head"), *(F.first(c).alias(c) for c in words)))
 
     # table keys of the groups that more than one class has
     tags = _tags(heads, groups)
@@ -367,12 +377,7 @@ def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int,
     busy = cut(busy.select("key", F.when(F.col("n") > second_centre, F.array("lo", "hi")).otherwise(F.array("lo")).alias("centres")))
     tried = _ordered(keys.join(busy, "key").select("node", F.explode("centres").alias("centre")))
 
-    involved = heads.join(shared.select("node"), "node", "left_semi").select("node", "key")
-    narrow = documents(docs)
-    named = narrow.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
-    # rows without an id are found by their texts, each of which is taken once
-    nameless = narrow.where("doc_id is null").select(F.xxhash64("text").alias("key"), "text").distinct()
-    texts = cut(named.union(nameless).join(involved, "key").select("node", "text"))
+    texts = _head_texts(docs, shown, heads.join(shared.select("node"), "node", "left_semi").select("node", "head.*"))
 
     links = cut(_verified(_likely(tried, heads, agreeing_bytes(percent)), texts, percent, k))
     names = cut(partly_named(links))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -85,6 +86,32 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     assert near_dup.distinct_documents(no_docs).count() == 0
 
 
+def test_repeated_ids_and_rows(spark):
+    """Many texts of one id, and many rows of one text, are verified once for each text: results as by brute force, in about the time of distinct ids."""
+    near = copies(11, groups=4, members=40)
+    few = copies(12, groups=2, members=3)
+
+    def timed(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        began = time.perf_counter()
+        got = sorted(str(tuple(r)) for r in near_dup.near_duplicates(docs).collect())
+        return got, time.perf_counter() - began
+
+    timed(few)
+    own, fast = timed(near)
+    assert own == brute(near)
+    shared, slow = timed([(5, t) for _, t in near])
+    assert slow <= 2 * fast + 5
+    assert {r.split(", ")[2] for r in shared} == {"5"}
+    often, slow = timed([(d + 1000, t) for d, t in few for _ in range(2000)])
+    assert slow <= 2 * fast + 5
+    assert sorted(set(often)) == brute([(d + 1000, t) for d, t in few]) and len(often) == 2000 * len(few)
+    docs = spark.createDataFrame([(5, t) for _, t in near] + [(d + 1000, t) for d, t in few for _ in range(500)], "doc_id long, text string")
+    kept = near_dup.distinct_documents(docs.repartition(3)).collect()
+    groups = len({r.split(", ")[2] for r in own})
+    assert len(kept) == groups + len({r.split(", ")[2] for r in brute(few)})
+
+
 def test_sketches_keep_links():
     """Sets of similarity 0.75 agree in as many bytes as asked, and far ones don't."""
     import numpy as np
