@@ -32,6 +32,8 @@ PARTS_WORDS = ENDS_PIECE.copy()
 PARTS_WORDS[[9, 32]] = True
 #: Bits of a rank, of a tile's side, and the pairs from which on a tile is dense.
 RANK_BITS, TILE_BITS, DENSE = 20, 9, 1 << 15
+#: Pairs that a task counts at once.
+PAIRS_AT_ONCE = 1 << 20
 #: Stands for a word or pair that isn't frequent.
 NONE = np.int64(1 << 62)
 
@@ -227,15 +229,16 @@ def _counted(rows: DataFrame, find, least: int) -> DataFrame:
     """x, y, n of the pairs that find(Phrased) gives, summed over all tasks, of those that occur `least` times."""
 
     def run(batches):
-        xs, ys = [], []
+        xs, ys, held = [], [], 0
         for _, p, _ in _rows(batches):
             if p is not None:
                 x, y = find(p)
                 xs.append(x)
                 ys.append(y)
-            elif xs:
+                held += len(x)
+            if held >= PAIRS_AT_ONCE or (p is None and held):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in tile_counts(np.concatenate(xs), np.concatenate(ys))], ["x", "y", "n"])
-                xs, ys = [], []
+                xs, ys, held = [], [], 0
 
     return rows.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
