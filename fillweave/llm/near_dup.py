@@ -353,7 +353,7 @@ def _head_texts(docs: DataFrame, shown: DataFrame, involved: DataFrame) -> DataF
     return cut(single.union(repeated))
 
 
-def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 1024, second_centre: int = 8) -> tuple[DataFrame, DataFrame]:
+def classes_and_members(docs: DataFrame, percent: int, groups: int, width: int, k: int, smallest: int = 256, share: float = 0.6, rows_in_block: int = 512, second_centre: int = 8) -> tuple[DataFrame, DataFrame]:
     """(members, classes): doc_id, text_key, n_shingles, s1, s2 of each row; node, s2, n_shingles, rep and comp of each class of equal sets.
 
     rep is the class's smallest doc_id, null if it has none; comp names its component.
