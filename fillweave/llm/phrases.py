@@ -32,8 +32,9 @@ PARTS_WORDS = ENDS_PIECE.copy()
 PARTS_WORDS[[9, 32]] = True
 #: Bits of a rank, of a tile's side, and the pairs from which on a tile is dense.
 RANK_BITS, TILE_BITS, DENSE = 20, 9, 1 << 15
-#: Pairs that a task counts at once.
-PAIRS_AT_ONCE = 1 << 20
+#: Bytes of text that are cut into words at once, and pairs that are counted at once.
+PIECE = 1 << 20
+PAIRS_AT_ONCE = 1 << 19
 #: Stands for a word or pair that isn't frequent.
 NONE = np.int64(1 << 62)
 
@@ -73,7 +74,7 @@ def _rows(batches):
         joined = next(tv.pieces(texts, 1 << 62), None)
         hashes = tv.span_hashes(joined.data, joined.bounds[:-1], joined.bounds[1:]) if joined else np.zeros(0, np.uint64)
         lang = np.asarray(names.indices)
-        for piece in tv.pieces(batch.column(1)):
+        for piece in tv.pieces(batch.column(1), PIECE):
             yield texts, phrased(piece, lang, hashes), piece
         yield texts, None, None
 
@@ -124,7 +125,7 @@ class Ranks:
     def __post_init__(self) -> None:
         buckets = max(1, len(self.names)).bit_length()
         self._shift = 63 - buckets  # the top bit of all names is set
-        self._start = np.searchsorted((self.names & ~_TOP) >> _U(self._shift), np.arange((1 << buckets) + 1, dtype=np.uint64))
+        self._start = np.searchsorted((self.names & ~_TOP) >> _U(self._shift), np.arange((1 << buckets) + 1, dtype=np.uint64)).astype(np.int32)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The rank of each hash, the hash itself where it is beyond the head, NONE where it isn't frequent."""
@@ -172,7 +173,7 @@ def ranks(frequent: DataFrame, most_ranks: int, bit_bits: int) -> Ranks:
     names, n = head.column("id").to_numpy().astype(np.int64).view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(names)
     names, n = names[order], n[order]
-    rank = np.empty(len(names), dtype=np.int64)
+    rank = np.empty(len(names), dtype=np.int32)
     rank[np.lexsort((names, -n))] = np.arange(len(names))
     bits = np.zeros(0, dtype=np.uint64)
     if taken < sum(r["k"] for r in classes):
@@ -188,7 +189,7 @@ def ranks(frequent: DataFrame, most_ranks: int, bit_bits: int) -> Ranks:
     return Ranks(names, rank, bits, bit_bits)
 
 
-def tile_counts(x: np.ndarray, y: np.ndarray, dense: int = DENSE, tiles_at_once: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_counts(x: np.ndarray, y: np.ndarray, dense: int = DENSE, tiles_at_once: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs (x, y) of ids and how often each occurs.
 
     Pairs of ranks are counted by tile, others (with a hash, which is negative) as sorted coordinates.
