@@ -1,14 +1,15 @@
 """Decomposition of a graph into a binary tree of vertex separators, level by level.
 
 State: `regions(v, hmd_id)` says which tree node each vertex is at. In each level all open
-regions are split at once. A region of many edges is split by one join (vertices below and above
-the median id, and the lower ends of edges that cross become the separator); smaller ones by the
-level structure of a breadth-first search inside a grouped task. Either way no edge joins the
-two halves.
+regions are split at once: those of many edges by multilevel coarsening (coarsen.py), smaller ones
+by the level structure of a breadth-first search inside a grouped task. Either way no edge joins
+the two halves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from ..functions import kernels
 from ..plans.lineage import cut
 from . import mesh as M
 from . import tree as T
+from .coarsen import COARSE_EDGES, coarse_separators
+from .elimination import minimum_degree_labels
 
 METHODS = ("nested", "mindegree")
 #: Edges up to which one task handles a region.
@@ -55,13 +58,9 @@ def separators(regions: DataFrame, inside: DataFrame, task_edges: int = TASK_EDG
     cuts = _per_region(own, near, _split_small, "hmd_id int, v int, side byte")
     if large.isEmpty():
         return cuts
-    big = regions.join(large, "hmd_id", "left_semi")
-    # the tree's nodes are few, so their medians are a small table
-    middle = F.broadcast(big.groupBy("hmd_id").agg(F.percentile_approx("v", 0.5, 10000).alias("mid")))
-    crossing = inside.join(middle, "hmd_id").where("u <= mid and v > mid").select("hmd_id", F.col("u").alias("v")).distinct().withColumn("cut", F.lit(True))
-    split = big.join(middle, "hmd_id").join(crossing, ["hmd_id", "v"], "left")
-    side = F.when(F.col("cut"), 2).when(F.col("v") <= F.col("mid"), 0).otherwise(1)
-    return cuts.union(split.select("hmd_id", "v", side.cast("byte").alias("side")))
+    few = F.broadcast(large)  # tree nodes
+    split = coarse_separators(regions.join(few, "hmd_id", "left_semi"), inside.join(few, "hmd_id", "left_semi"), min(task_edges, COARSE_EDGES))
+    return cuts.union(split.select("hmd_id", F.col("v").cast("int").alias("v"), "side"))
 
 
 def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -85,28 +84,53 @@ def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int
     return state.select("v", "hmd_id")
 
 
-def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", task_edges: int = TASK_EDGES) -> DataFrame:
+def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", task_edges: int = TASK_EDGES, depth: int | None = None) -> DataFrame:
     """hmd_id, v, label: each region's own elimination order as labels from 0.
 
-    A region without edges keeps the order of its ids; one of too many edges for a task is
-    ordered by degree, then id.
+    A region without edges keeps the order of its ids. One of too many edges for a task is ordered
+    by minimum degree by joins; with the method nested it is decomposed further first, if it is at
+    `depth`, the level of the tree's leaves.
     """
     if method not in METHODS:
         raise ValueError(f"no such ordering method: {method}")
     inside = M.region_edges(edges, regions)
     sizes = inside.groupBy("hmd_id").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= task_edges).select("hmd_id")
+    large = cut(sizes.where(F.col("n") > task_edges))
 
     def order(key, vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         ids, u, v = _local(vertices, near)
         kernel = kernels.nested_dissection if method == "nested" else kernels.minimum_degree
         return pd.DataFrame({"hmd_id": key[0], "v": ids[kernel(len(ids), u, v)], "label": np.arange(len(ids))})
 
+    few = F.broadcast(large.select("hmd_id"))  # tree nodes
     own = regions.select("hmd_id", "v")
-    ordered = _per_region(own.join(small, "hmd_id", "left_semi"), inside.join(small, "hmd_id", "left_semi"), order, "hmd_id int, v int, label int")
-    rest = own.join(small, "hmd_id", "left_anti").join(inside.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("d")), "v", "left")
-    by = Window.partitionBy("hmd_id").orderBy(F.coalesce("d", F.lit(0)), "v")
-    return ordered.union(rest.select("hmd_id", "v", (F.row_number().over(by) - 1).cast("int").alias("label")))
+    out = _per_region(own.join(few, "hmd_id", "left_anti"), inside.join(few, "hmd_id", "left_anti"), order, "hmd_id int, v int, label int")
+    deeper = (T.level("hmd_id") == depth) if method == "nested" and depth is not None else F.lit(False)
+    rest = large.where(~deeper).select("hmd_id")
+    if not rest.isEmpty():
+        some = F.broadcast(rest)
+        labels = minimum_degree_labels(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), task_edges)
+        out = out.union(labels.select("hmd_id", F.col("v").cast("int").alias("v"), F.col("label").cast("int").alias("label")))
+    most = large.where(deeper).agg(F.max("n")).first()[0]
+    if most is not None:
+        some = F.broadcast(large.where(deeper).select("hmd_id"))
+        out = out.union(_deeper_orders(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), depth, math.ceil(math.log2(most / task_edges)) + 1, task_edges))
+    return out
+
+
+def _deeper_orders(own: DataFrame, inside: DataFrame, depth: int, extra: int, task_edges: int) -> DataFrame:
+    """hmd_id, v, label of leaves at `depth`, by `extra` levels of separators below each of them.
+
+    The parts below a leaf have node numbers of their own, as nothing else is there; a leaf's
+    labels are those of its parts one after another, in post-order.
+    """
+    parts = cut(decompose(own, inside.select("u", "v"), depth + extra, task_edges))
+    labels = local_orders(parts, inside.select("u", "v"), "nested", task_edges)
+    leaf = T.ancestor_at("hmd_id", F.lit(depth))
+    sizes = parts.groupBy("hmd_id").agg(F.count("*").alias("size")).withColumn("leaf", leaf)
+    order = Window.partitionBy("leaf").orderBy(T.postorder("hmd_id", depth + extra)).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("leaf", "hmd_id", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
+    return labels.join(base, "hmd_id").select(F.col("leaf").alias("hmd_id"), "v", (F.col("base") + F.col("label")).cast("int").alias("label"))
 
 
 def tree_nodes(regions: DataFrame, levels: int) -> DataFrame:

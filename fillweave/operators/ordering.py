@@ -57,7 +57,7 @@ def cold(vertices: DataFrame, edges: DataFrame, settings: Settings = Settings())
     regions = D.decompose(vertices.select("v", F.lit(0).alias("hmd_id")), edges, settings.depth())
     clock["decompose"] = time.perf_counter() - t
     t = time.perf_counter()
-    state = _finish(D.local_orders(regions, edges, settings.method), vertices, edges, settings)
+    state = _finish(D.local_orders(regions, edges, settings.method, depth=settings.depth()), vertices, edges, settings)
     clock["order"] = time.perf_counter() - t
     none = state.nodes.select("hmd_id", F.lit(False).alias("reused"))
     return Ordering(D.assembled(state.dof, state.nodes), state, 0.0, 0, True, none, clock)
@@ -141,7 +141,7 @@ def warm(state: State, vertices: DataFrame, edges: DataFrame, settings: Settings
     if d:
         tops = touched.where("top is not null").select("v", F.col("top").alias("hmd_id"))
         again = D.decompose(tops, edges, settings.depth()).union(touched.where("top is null").select("v", "hmd_id"))
-        orders = D.local_orders(again, edges, settings.method)
+        orders = D.local_orders(again, edges, settings.method, depth=settings.depth())
         dof = dof.join(touched.select("v"), "v", "left_anti").select("hmd_id", "v", "label").union(orders)
     after = _finish(dof, vertices, edges, settings)
     clock["reorder"] = time.perf_counter() - t

@@ -77,3 +77,11 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = table(spark, sf_dir, "events").select(F.lag("event_id").over(w).cast("int").alias("u"), F.col("event_id").cast("int").alias("v")).where("u is not null")
     return pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def weighted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hmd_id, u, v, w of the first snapshot: grid edges weigh 1, the extra ones 2."""
+    extra = extra_pairs(spark, sf_dir)
+    both = extra.union(extra.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    rows = grid_edges(spark, sf_dir).withColumn("w", F.lit(1)).union(both.withColumn("w", F.lit(2)))
+    return rows.groupBy(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).agg(F.max("w").cast("long").alias("w")).select(F.lit(0).alias("hmd_id"), "u", "v", "w")

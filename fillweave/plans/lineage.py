@@ -24,6 +24,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables that one run of an operator needs, in a folder of their own in the shared one, which goes when the run ends.
+
+    A written table has the size that it has. A checkpoint keeps the size that was estimated from
+    the plan before it; over many rounds of joins these estimates multiply into numbers so long
+    that planning never ends.
+
+        with Scratch(spark) as scratch:
+            rows = scratch.table(rows)
+            ...
+            return cut(rows)
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark, "scratch"), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """The same rows, written and read again."""
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, checkpointed: in the cluster's spark.checkpoint.dir, or on one machine a new folder where none is set."""
     shared_dir(df.sparkSession)

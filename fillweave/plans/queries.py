@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import coarsen as C
 from ..operators import decompose as D
+from ..operators import elimination as N
 from ..operators import factor as E
 from ..operators import incremental as I
 from ..operators import matrix as X
@@ -20,7 +22,7 @@ from ..sources import matrix_market as MM
 from ..sources import tables as S
 from ..streaming import maintain
 from . import fixtures as G
-from .lineage import cut, new_path
+from .lineage import Scratch, cut, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -807,3 +809,79 @@ def literal_split(spark, sf_dir):
 @query("select o_orderpriority, median(o_totalprice) \"median\" from orders group by 1")
 def median_by_group(spark, sf_dir):
     return S.median_seconds(G.table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+
+
+# --- large regions --------------------------------------------------------------------------
+
+_WEIGHTED = _EXTRA + """,
+wm as (select u, v, max(w) w from (select u, v, 1 w from edges union all select u, v, 2 from extra union all select v, u, 2 from extra) group by 1, 2),
+tied as (select u, v, w, ((least(u, v)::bigint % 1000003) * 7919 + (greatest(u, v)::bigint % 1000003) * 104729 + 15485863) % 1000003 x from wm),
+wish as (select u, v "to" from (select u, v, row_number() over (partition by u order by w desc, (x * x + x * 31) % 1000003 desc, v desc) k from tied) where k = 1),
+mates as (select a.u::bigint a, a."to"::bigint b from wish a join wish b on a."to" = b.u and b."to" = a.u where a.u < a."to")"""
+
+
+@query(f"with {_WEIGHTED} select a, b from mates")
+def heavy_edge_matching(spark, sf_dir):
+    """One round of mutual proposals along the heaviest edges of the first snapshot."""
+    return C.mutual(C.proposals(G.weighted_snapshot(spark, sf_dir), 0))
+
+
+@query(f"""with {_WEIGHTED}, up as (select v::bigint v, coalesce(a, v)::bigint "to" from nodes left join mates on v = b)
+select p."to" u, q."to" v, sum(w)::bigint w from wm join up p on p.v = u join up q on q.v = wm.v where p."to" <> q."to" group by 1, 2""")
+def contracted_edges(spark, sf_dir):
+    """The coarse graph of the first snapshot once the matched pairs are merged."""
+    edges = cut(G.weighted_snapshot(spark, sf_dir))
+    pairs = C.mutual(C.proposals(edges, 0))
+    nodes = G.grid_nodes(spark, sf_dir).select(F.lit(0).alias("hmd_id"), F.col("v").cast("long").alias("v"), F.lit(1).cast("long").alias("w"))
+    with Scratch(spark) as scratch:
+        return cut(C.contracted(nodes, edges, pairs.select(F.col("b").alias("v"), F.col("a").alias("to")), scratch)[2].select("u", "v", "w"))
+
+
+def _scrambled(spark, sf_dir):
+    """The grid with its vertices renumbered, so that ids tell nothing of places: (nodes(v), edges(u, v))."""
+    nodes = G.grid_nodes(spark, sf_dir).select("v")
+    new = nodes.withColumn("h", F.pmod(F.col("v").cast("long") * 7919 + 31, F.lit(1_000_003)))
+    ranked = M.relabelled(new.select(F.col("h").alias("v"), F.col("v").alias("was"))).select(F.col("was").alias("v"), F.col("local_id").cast("int").alias("new"))
+    ranked = cut(ranked)
+    edges = G.grid_edges(spark, sf_dir).join(ranked.select(F.col("v").alias("u"), F.col("new").alias("a")), "u").join(ranked.select("v", F.col("new").alias("b")), "v")
+    return ranked.select(F.col("new").alias("v")), edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+@query(f"with {_GRID} select count(*) vertices, 0::bigint across, true narrow, true balanced from nodes")
+def coarse_separator(spark, sf_dir):
+    """The separator of the scrambled grid by coarsening: edges across it, at most twice the grid's width, a third at least on the lighter side."""
+    nodes, edges = (cut(x) for x in _scrambled(spark, sf_dir))
+    regions, inside = nodes.select(F.lit(0).alias("hmd_id"), "v"), edges.select(F.lit(0).alias("hmd_id"), "u", "v")
+    sides = C.coarse_separators(regions, inside, max(500, edges.count() // 8)).select("v", "side")
+    across = edges.join(sides.select(F.col("v").alias("u"), F.col("side").alias("su")), "u").join(sides, "v").where("su + side = 1").agg(F.count("*").alias("across"))
+    n = lambda k: F.sum((F.col("side") == k).cast("long"))
+    shares = sides.agg(F.count("*").alias("vertices"), (n(2) <= 2 * G.WIDTH).alias("narrow"), (3 * F.least(n(0), n(1)) >= n(0) + n(1)).alias("balanced"))
+    return shares.crossJoin(across)  # one row each
+
+
+@query(f"""with {_GRID}, m as (select u e, v from edges join nodes n on n.v = edges.u where (n.x + n.y) % 2 = 0),
+k as (select e, count(*) - 1 others from m group by 1)
+select v::bigint v, sum(others)::bigint degree from m join k using (e) group by 1""")
+def quotient_degrees(spark, sf_dir):
+    """Degrees after all cells of one colour of the chessboard are eliminated from the grid."""
+    nodes = G.grid_nodes(spark, sf_dir)
+    plain = G.grid_edges(spark, sf_dir).select(F.lit(0).alias("hmd_id"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    black = nodes.where("(x + y) % 2 = 0").select(F.lit(0).alias("hmd_id"), F.col("v").cast("long").alias("v"))
+    members = plain.select("hmd_id", F.col("u").alias("e"), "v").limit(0)
+    with Scratch(spark) as scratch:
+        plain, members = N.eliminated(black, plain, members, scratch)
+        left = nodes.where("(x + y) % 2 = 1").select(F.lit(0).alias("hmd_id"), F.col("v").cast("long").alias("v"))
+        return cut(N.degrees(left, plain, members).select("v", "degree"))
+
+
+@query(f"with {_GRID} select count(*) vertices, true bijective, true low_fill from nodes")
+def joined_minimum_degree(spark, sf_dir):
+    """Minimum degree by joins on the scrambled grid: a bijection, with less than two thirds of the natural order's fill."""
+    nodes, edges = (cut(x) for x in _scrambled(spark, sf_dir))
+    labels = N.minimum_degree_labels(nodes.select(F.lit(0).alias("hmd_id"), "v"), edges.select(F.lit(0).alias("hmd_id"), "u", "v"), max(300, edges.count() // 3))
+    order = labels.select(F.col("label").cast("int").alias("new_pos"), F.col("v").cast("int").alias("v"))
+    fill = E.fill(order, edges).select("n", F.col("lnz").alias("ours"))
+    grid = G.grid_nodes(spark, sf_dir)
+    natural = E.fill(grid.select(F.col("v").alias("new_pos"), "v"), G.grid_edges(spark, sf_dir)).select(F.col("lnz").alias("natural"))
+    ok = X.is_permutation(order, "new_pos", nodes.count()).select(F.col("ok").alias("bijective"))
+    return fill.crossJoin(natural).crossJoin(ok).select(F.col("n").alias("vertices"), "bijective", (3 * F.col("ours") < 2 * F.col("natural")).alias("low_fill"))  # one row each
