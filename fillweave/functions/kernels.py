@@ -190,31 +190,93 @@ def nested_dissection(n: int, u: np.ndarray, v: np.ndarray, small: int = 64) ->
     return np.concatenate(out)
 
 
+def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest vertex of each one's component."""
+    name = np.arange(n)
+    while len(u):
+        least = np.minimum(name[u], name[v])
+        np.minimum.at(name, name[u], least)
+        np.minimum.at(name, name[v], least)
+        while (name[name] != name).any():
+            name = name[name]
+        apart = name[u] != name[v]
+        u, v = u[apart], v[apart]
+    return name
+
+
+def forest_postorder(parent: list[int], own: int) -> tuple[list[int], list[int]]:
+    """Vertices below `own` in post-order of the forest whose parents these are, and the place of each one's first descendant.
+
+    Parents from `own` on, or -1, end a tree.
+    """
+    below: list[list[int]] = [[] for _ in range(own)]
+    roots = []
+    for x in range(own):
+        (below[parent[x]] if 0 <= parent[x] < own else roots).append(x)
+    order, first = [], [0] * own
+    for root in roots:
+        stack = [(root, iter(below[root]))]
+        first[root] = len(order)
+        while stack:
+            x, rest = stack[-1]
+            child = next(rest, None)
+            if child is None:
+                stack.pop()
+                order.append(x)
+            else:
+                first[child] = len(order)
+                stack.append((child, iter(below[child])))
+    return order, first
+
+
 def factor_columns(n: int, u: np.ndarray, v: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
     """Parents in the elimination tree (-1 for roots) and entries, the diagonal included, of the first `own` columns.
 
-    Later vertices count as rows only; every edge needs an end among the first. Row k's entries
-    are the vertices on the tree paths from its neighbours up to k.
+    Later vertices count as rows only; every edge needs an end among the first. Row k's entries are
+    the tree paths up to k from its neighbours. Those of them that begin such a path (no other
+    neighbour is below them) each add one to all columns above them, the lowest common ancestor
+    of one and the next takes back what both add, and a row's own path ends at it. So columns are
+    sums over subtrees, and no entry of the factor is visited.
     """
     ptr, adj = _csr(n, u, v)
-    parent, jump = np.full(n, -1), np.full(n, -1)
+    near = [adj[ptr[k] : ptr[k + 1]].tolist() for k in range(n)]
+    parent, jump = [-1] * n, [-1] * n
     for k in range(n):
-        for i in adj[ptr[k] : ptr[k + 1]].tolist():
+        for i in near[k]:
             while i != -1 and i < k and i < own:
                 after = jump[i]
                 jump[i] = k
                 if after == -1:
                     parent[i] = k
                 i = after
-    count, mark = np.ones(n, dtype=np.int64), np.full(n, -1)
-    for k in range(n):
-        mark[k] = k
-        for i in adj[ptr[k] : ptr[k + 1]].tolist():
-            while i < k and i < own and mark[i] != k:
-                count[i] += 1
-                mark[i] = k
-                i = int(parent[i])
-    return parent[:own], count[:own]
+    order, first = forest_postorder(parent, own)
+    weight, up = [0] * own, list(range(own))
+    seen, last = [-1] * n, [-1] * n  # of each row: the furthest start of a subtree that was met, and the path's begin met last
+    open_ = [True] * own
+    for place, x in enumerate(order):
+        above = parent[x]
+        if first[x] == place:
+            weight[x] += 1  # a leaf begins its own row's path
+        if 0 <= above < own:
+            weight[above] -= 1
+        for k in near[x]:
+            if k > x and first[x] > seen[k]:
+                weight[x] += 1
+                before, last[k], seen[k] = last[k], x, place
+                if before >= 0:
+                    top = before
+                    while up[top] != top:
+                        up[top] = up[up[top]]
+                        top = up[top]
+                    if open_[top]:
+                        weight[top] -= 1
+        open_[x] = False
+        if 0 <= above < own:
+            up[x] = above
+    for x in order:
+        if 0 <= parent[x] < own:
+            weight[parent[x]] += weight[x]
+    return np.array(parent[:own], dtype=np.int64), np.array(weight, dtype=np.int64)
 
 
 def elimination_tree(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

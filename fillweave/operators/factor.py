@@ -13,26 +13,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.lineage import cut
+from ..plans.lineage import Scratch, cut
 
 #: Positions of an order that one task eliminates.
 BLOCK = 1 << 14
+#: Directed edges whose components one task names.
+TASK_EDGES = 400_000
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """v, comp: the smallest vertex of its connected component.
 
-    Each round takes the neighbours' smallest name and then the name of that name.
+    In each round vertices stand in a random order and every one takes the name of its first
+    neighbour, if that comes before itself; such chains are short, and names are followed four
+    steps. The edges are contracted to the names: what is settled is gone, and about a third of the
+    vertices are left, of a path as of any other graph. At most task_edges edges are left to one
+    task. Names are put together on the way back.
     """
-    names = cut(vertices.select("v", F.col("v").alias("comp")))
-    while True:
-        near = edges.join(names, "v").groupBy(F.col("u").alias("v")).agg(F.min("comp").alias("near"))
-        step = names.join(near, "v", "left").select("v", F.col("comp").alias("old"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        far = step.select(F.col("v").alias("comp"), F.col("comp").alias("far"))
-        step = cut(step.join(far, "comp").select("v", "old", F.least("comp", "far").alias("comp")))
-        names = step.select("v", "comp")
-        if step.where("old <> comp").isEmpty():
-            return names
+
+    def rest(near: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(near.to_numpy(), return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        return pd.DataFrame({"u": ids, "name": ids[kernels.components(len(ids), u, v)]})
+
+    with Scratch(vertices.sparkSession) as scratch:
+        left, rounds = scratch.table(edges.select("u", "v").where("u <> v").distinct()), []
+        kind = left.schema["u"].dataType.simpleString()
+        while left.count() > task_edges:
+            place = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("x"))
+            first = left.groupBy("u").agg(F.min(place("v")).alias("first"))
+            hook = scratch.table(first.select("u", F.least("first", place("u"))["x"].alias("name")))
+            for _ in range(2):
+                hook = hook.join(hook.select(F.col("u").alias("name"), F.col("name").alias("up")), "name").select("u", F.col("up").alias("name"))
+            hook = scratch.table(hook)
+            rounds.append(hook)
+            a, b = hook.select("u", F.col("name").alias("a")), hook.select(F.col("u").alias("v"), F.col("name").alias("b"))
+            left = scratch.table(left.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        above = left.groupBy().applyInPandas(rest, f"u {kind}, name {kind}")
+        for hook in reversed(rounds):
+            higher = hook.join(above.select(F.col("u").alias("name"), F.col("name").alias("top")), "name", "left")
+            above = higher.select("u", F.coalesce("top", "name").alias("name"))
+        least = above.groupBy("name").agg(F.min("u").alias("comp"))
+        named = above.join(least, "name").select(F.col("u").alias("v"), "comp")
+        return cut(vertices.join(named, "v", "left").select("v", F.coalesce("comp", "v").alias("comp")))
 
 
 def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,25 +107,73 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
     There are as many rounds as halvings down to blocks, each with one search for components; in
     the last one a half is a block, whose components one task names.
     """
-    positions = cut(permutation.select(F.col("new_pos").cast("int").alias("v")))
-    top = positions.agg(F.max("v")).first()[0]
-    pairs = cut(_numbered(permutation, edges).where("u < v").distinct())
-    width = block
-    while width <= (top or 0):
-        width *= 2
-    while width > block:
-        width //= 2
-        lower = pairs.where(f"(u div {width}) % 2 = 0")
-        inside = lower.where(f"u div {width} = v div {width}")
-        below = positions.where(f"(v div {width}) % 2 = 0")
-        named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v")) if width > block else _block_components(below, inside, block)
-        across = lower.where(f"u div {width} <> v div {width}")
-        reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
-        # a part whose first neighbour is beyond the upper half has been told of in an earlier round
-        head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
-        star = reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v")
-        pairs = cut(pairs.union(star).distinct())
-    return _block_columns(positions, pairs, block)
+    with Scratch(permutation.sparkSession) as scratch:
+        positions = scratch.table(permutation.select(F.col("new_pos").cast("int").alias("v")))
+        top = positions.agg(F.max("v")).first()[0]
+        pairs = scratch.table(_numbered(permutation, edges).where("u < v").distinct())
+        width = block
+        while width <= (top or 0):
+            width *= 2
+        while width > block:
+            width //= 2
+            lower = pairs.where(f"(u div {width}) % 2 = 0")
+            inside = lower.where(f"u div {width} = v div {width}")
+            below = positions.where(f"(v div {width}) % 2 = 0")
+            named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v")) if width > block else _block_components(below, inside, block)
+            across = lower.where(f"u div {width} <> v div {width}")
+            reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
+            # a part whose first neighbour is beyond the upper half has been told of in an earlier round
+            head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
+            star = reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v")
+            pairs = scratch.table(pairs.union(star).distinct())
+        return cut(_block_columns(positions, pairs, block))
+
+
+def column_stars(entries: DataFrame, permutation: DataFrame) -> DataFrame:
+    """Edges (u, v), both ways, of a graph of columns whose factor is that of A'A; entries(row, col) are A's.
+
+    A row makes a clique of its columns in A'A. Here it gives a star only, on the one of its columns
+    that comes first in the order: its elimination makes the clique. So A'A is never formed, and
+    there are less edges than entries.
+    """
+    at = entries.select("row", "col").distinct().join(permutation.select(F.col("v").alias("col"), "new_pos"), "col")
+    first = at.groupBy("row").agg(F.min(F.struct("new_pos", "col"))["col"].alias("first"))
+    star = at.join(first, "row").where("col <> first").select(F.col("first").alias("u"), F.col("col").alias("v")).distinct()
+    return star.union(star.select("v", "u"))
+
+
+def column_elimination_tree(entries: DataFrame, permutation: DataFrame, block: int = BLOCK) -> DataFrame:
+    """v, parent, entries of the factor of A'A by positions of the columns, as factor_columns() gives them."""
+    return factor_columns(permutation, column_stars(entries, permutation), block)
+
+
+def fundamental_supernodes(columns: DataFrame) -> DataFrame:
+    """v and the first column of its supernode, from columns(v, parent, entries) of a factor.
+
+    A column goes on the supernode of the one before it if that is its only child and has just
+    one entry more. Runs are named within ranges of 65536 columns, and a range that begins
+    within a run takes its name from the ranges before.
+    """
+    prior = columns.select((F.col("v") + 1).alias("v"), F.col("parent").alias("up"), F.col("entries").alias("before"))
+    children = columns.where("parent >= 0").groupBy(F.col("parent").alias("v")).agg(F.count("*").alias("children"))
+    joined = columns.join(prior, "v", "left").join(children, "v", "left")
+    goes_on = (F.col("up") == F.col("v")) & (F.col("before") == F.col("entries") + 1) & (F.col("children") == 1)
+    rows = joined.select("v", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("v")).alias("start"), F.expr("v div 65536").alias("range"))
+    run = F.max("start").over(Window.partitionBy("range").orderBy("v"))
+    ends = rows.groupBy("range").agg(F.max("start").alias("end"))
+    carried = ends.select("range", F.max("end").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return rows.withColumn("run", run).join(carried, "range").select("v", F.coalesce("run", "carried").alias("supernode"))
+
+
+def supernode_dependencies(supernodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """supernode, depends: each supernode itself and those that hold the rows of its columns' entries below the diagonal, once each.
+
+    entries(u, v) are positions of a matrix's entries, u the column.
+    """
+    a = supernodes.select(F.col("v").alias("u"), "supernode")
+    b = supernodes.select("v", F.col("supernode").alias("depends"))
+    across = entries.where("v > u").join(a, "u").join(b, "v").select("supernode", "depends")
+    return across.union(supernodes.select("supernode", F.col("supernode").alias("depends"))).distinct()
 
 
 def elimination_tree(permutation: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:

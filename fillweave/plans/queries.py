@@ -885,3 +885,79 @@ def joined_minimum_degree(spark, sf_dir):
     natural = E.fill(grid.select(F.col("v").alias("new_pos"), "v"), G.grid_edges(spark, sf_dir)).select(F.col("lnz").alias("natural"))
     ok = X.is_permutation(order, "new_pos", nodes.count()).select(F.col("ok").alias("bijective"))
     return fill.crossJoin(natural).crossJoin(ok).select(F.col("n").alias("vertices"), "bijective", (3 * F.col("ours") < 2 * F.col("natural")).alias("low_fill"))  # one row each
+
+
+# --- factors --------------------------------------------------------------------------------
+
+#: For each column those that its elimination reaches: itself and, through smaller ones, others. g(u, v) are edges by position.
+_REACH = """reach(j, x) as (select distinct u, u from g union select r.j, g.v from reach r join g on g.u = r.x where r.x <= r.j),
+cols as (select j v, min(x) filter (where x > j) parent, 1 + count(*) filter (where x > j) entries from reach group by 1)"""
+_NATURAL = f"with recursive {_GRID}, g as (select u, v from edges), {_REACH}"
+
+
+@query(f"{_NATURAL} select v, coalesce(parent, -1)::bigint parent, entries::bigint entries from cols")
+def natural_factor(spark, sf_dir):
+    """Parents and entries of the grid's factor in natural order, by blocks of 256 columns or a 64th of them."""
+    nodes = G.grid_nodes(spark, sf_dir)
+    return E.factor_columns(nodes.select(F.col("v").alias("new_pos"), "v"), G.grid_edges(spark, sf_dir), _blocks(nodes))
+
+
+def _blocks(nodes):
+    """A power of two that cuts positions into about 64 blocks."""
+    return 1 << max(6, (nodes.count() // 64).bit_length())
+
+
+_RED = """perm as (select v::int v, (row_number() over (order by (x + y) % 2, v) - 1)::int new_pos from nodes),
+g as (select a.new_pos u, b.new_pos v from edges join perm a on a.v = edges.u join perm b on b.v = edges.v)"""
+
+
+@query(f"with recursive {_GRID}, {_RED}, {_REACH} select (select count(*) from nodes)::bigint n, sum(entries)::bigint lnz, (2 * sum(entries) - (select count(*) from nodes))::bigint l_nnz from cols")
+def red_black_fill(spark, sf_dir):
+    """Fill of the grid once all cells of one colour of the chessboard come first."""
+    nodes = G.grid_nodes(spark, sf_dir)
+    colour = nodes.select("v", F.expr("(x + y) % 2").alias("hmd_id"))
+    local = M.relabelled(colour, "hmd_id")
+    reds = colour.where("hmd_id = 0").count()
+    order = local.select((F.col("local_id") + F.when(F.col("hmd_id") == 1, reds).otherwise(0)).cast("int").alias("new_pos"), "v")
+    return E.fill(order, G.grid_edges(spark, sf_dir), _blocks(nodes))
+
+
+@query(f"""with recursive {_COO}, s as (select s_suppkey::int v, (row_number() over (order by s_suppkey) - 1)::int new_pos from supplier),
+g as (select distinct a.new_pos u, b.new_pos v from coo x join coo y on x.r = y.r and x.c <> y.c join s a on a.v = x.c join s b on b.v = y.c), {_REACH}
+select v, coalesce(parent, -1)::bigint parent, entries::bigint entries from cols""")
+def column_etree(spark, sf_dir):
+    """The elimination tree of A'A for the matrix of parts by suppliers, in order of suppliers, without A'A."""
+    suppliers = G.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("v"))
+    order = M.relabelled(suppliers).select(F.col("local_id").cast("int").alias("new_pos"), "v")
+    return E.column_elimination_tree(G.lineitem_matrix(spark, sf_dir).select("row", "col"), order, 64).join(_held_columns(spark, sf_dir, order), "v", "left_semi")
+
+
+def _held_columns(spark, sf_dir, order):
+    """Positions of the columns that have entries."""
+    return order.join(G.lineitem_matrix(spark, sf_dir).select(F.col("col").alias("v")).distinct(), "v", "left_semi").select(F.col("new_pos").alias("v"))
+
+
+_SUPER = f"""{_NATURAL}, kids as (select parent p, count(*) n from cols group by 1),
+st as (select c.v, case when q.parent = c.v and q.entries = c.entries + 1 and k.n = 1 then null else c.v end s
+  from cols c left join cols q on q.v = c.v - 1 left join kids k on k.p = c.v),
+sn as (select v, max(s) over (order by v) supernode from st)"""
+
+
+def _supernodes(spark, sf_dir):
+    return E.fundamental_supernodes(natural_factor(spark, sf_dir))
+
+
+@query(f"{_SUPER} select v, supernode from sn")
+def fundamental_supernodes(spark, sf_dir):
+    return _supernodes(spark, sf_dir)
+
+
+@query(f"{_SUPER} select distinct supernode, depends from (select a.supernode, b.supernode depends from edges e join sn a on a.v = e.u join sn b on b.v = e.v where e.v > e.u union all select supernode, supernode from sn)")
+def supernode_dag(spark, sf_dir):
+    return E.supernode_dependencies(cut(_supernodes(spark, sf_dir)), G.grid_edges(spark, sf_dir))
+
+
+@query(f"{_SUPER} select count(distinct supernode) supernodes, count(*)::double / count(distinct supernode) mean_size from sn")
+def supernode_sizes(spark, sf_dir):
+    sizes = _supernodes(spark, sf_dir).groupBy("supernode").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("supernodes"), (F.sum("n") / F.count("*")).alias("mean_size"))

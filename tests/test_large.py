@@ -155,3 +155,45 @@ def test_minimum_degree_with_groups():
         u, v = (np.array(x) for x in zip(*sorted(pairs), strict=True))
         none = np.zeros(0, np.int64)
         assert kernels.minimum_degree(30, none, none, groups).tolist() == kernels.minimum_degree(30, u, v).tolist()
+
+
+@pytest.mark.parametrize("task_edges", [0, 30, 1 << 20])
+def test_components(spark, task_edges):
+    """Paths in order, stars, cycles, loops and single vertices, by joins, in one task and both."""
+    from fillweave.operators import factor
+
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(80)] + [(200, 200 + i) for i in range(1, 40)] + [(300 + i, 300 + (i + 1) % 7) for i in range(7)] + [(400, 400)]
+    pairs += [(500 + rng.randrange(40), 500 + rng.randrange(40)) for _ in range(30)]
+    pairs += [(b, a) for a, b in pairs]
+    vertices = spark.range(600).withColumnRenamed("id", "v")
+    got = {r["v"]: r["comp"] for r in factor.components(vertices, spark.createDataFrame(pairs, "u long, v long"), task_edges).collect()}
+    want = list(range(600))
+    for _ in range(90):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == dict(enumerate(want))
+    assert not scratch_folders(spark)
+
+
+def test_factor_of_large_random_graphs(spark):
+    """Parents and counts by blocks against elimination step by step on 500 vertices, and columns of A'A without A'A."""
+    from fillweave.operators import factor
+    from tests.test_kernels import brute_fill, random_graph
+
+    n = 500
+    u, v = random_graph(n, 900, 3)
+    counts, parent = brute_fill(n, u, v)
+    order = spark.range(n).select(F.col("id").cast("int").alias("new_pos"), F.col("id").cast("int").alias("v"))
+    edges = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u int, v int")
+    got = sorted(tuple(r) for r in factor.factor_columns(order, edges, 128).select("v", "parent", "entries").collect())
+    assert got == [(k, parent[k], counts[k]) for k in range(n)]
+    rng = random.Random(5)
+    rows = [(r, c) for r in range(60) for c in {rng.randrange(50) for _ in range(3)}]
+    place = list(range(50))
+    rng.shuffle(place)
+    pairs = {(place[a], place[b]) for r, a in rows for q, b in rows if r == q and a != b}
+    counts, parent = brute_fill(50, *(np.array(x) for x in zip(*sorted(pairs), strict=True)))
+    order = spark.createDataFrame([(p, c) for c, p in enumerate(place)], "new_pos int, v int")
+    got = sorted(tuple(r) for r in factor.column_elimination_tree(spark.createDataFrame(rows, "row int, col int"), order, 16).select("v", "parent", "entries").collect())
+    assert got == [(k, parent[k], counts[k]) for k in range(50)]
