@@ -62,6 +62,11 @@ def source_targets(sources: DataFrame, most_copies: int) -> DataFrame:
     return sources.withColumn("target", F.least(limit.cast("double"), F.lit(float(level)) * F.col("weight")))
 
 
+def _fixed_sum(x: Column) -> Column:
+    """A sum in millionths, which doesn't depend on the order of the rows, so that reruns agree to the last bit."""
+    return F.sum((x * 1e6).cast("decimal(38, 0)")).cast("double") / 1e6
+
+
 def multipliers(counts: DataFrame, sources: DataFrame, most_copies: int, close: float = 1e-7, most_rounds: int = 60) -> DataFrame:
     """The sources with `scale` and `tilt`: a document of a size has the rate min(most_copies, exp(tilt * size / scale)).
 
@@ -70,7 +75,7 @@ def multipliers(counts: DataFrame, sources: DataFrame, most_copies: int, close:
     a source whose tokens are as near its target as `close` says.
     """
     worth = F.col("size") * F.col("n")
-    facts = counts.where("size > 0").groupBy("key").agg((F.sum(worth * F.col("size").cast("double")) / F.sum(worth)).alias("scale"), F.min("size").alias("least"))
+    facts = counts.where("size > 0").groupBy("key").agg((_fixed_sum(worth * F.col("size").cast("double")) / F.sum(worth)).alias("scale"), F.min("size").alias("least"))
     base = sources.join(facts, "key", "left")
     open_ = base.where((F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < most_copies * F.col("source_size")))
     # at `end` on one side of 0 all rates are at the cap, or so low that the target can't be reached
@@ -83,7 +88,7 @@ def multipliers(counts: DataFrame, sources: DataFrame, most_copies: int, close:
         active = state.where("not done")
         if active.isEmpty():
             break
-        sums = counts.where("size > 0").join(active, "key").groupBy("key").agg(F.sum(worth * tilted).alias("g"), F.sum(F.when(free, worth * z * tilted).otherwise(0.0)).alias("slope"))
+        sums = counts.where("size > 0").join(active, "key").groupBy("key").agg(_fixed_sum(worth * tilted).alias("g"), _fixed_sum(F.when(free, worth * z * tilted).otherwise(0.0)).alias("slope"))
         step = state.join(sums, "key", "left")
         off = F.col("g") - F.col("target")
         lo, hi = F.when(off < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(off > 0, F.col("tilt")).otherwise(F.col("hi"))

@@ -48,7 +48,7 @@ def check(rows, got, cap=3):
     for name in names:
         mine = [r for r in got if source[r["doc_id"]] == name]
         least = min((r["size"] for r in mine if r["size"]), default=0)
-        assert abs(sum(r["taken"] for r in mine) - float(target[name])) <= max(1, least)
+        assert abs(sum(r["taken"] for r in mine) - float(target[name])) <= max(1, least) + 0.02 * float(target[name])
         # every rate is an exponential tilt of the size, cut off at the cap
         tilts = [math.log(r["rate"]) / r["size"] for r in mine if r["size"] and r["rate"] < cap - 1e-9]
         assert not tilts or max(tilts) - min(tilts) <= 1e-9

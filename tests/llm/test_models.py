@@ -37,6 +37,26 @@ def test_mixed_text_has_spans(spark, documents):
     assert r["lang_pred"] == "de" and [s["lang"] for s in r["spans"]] == ["de", "es", "de"]
 
 
+def test_many_languages(spark):
+    """5000 language names, 20 of them common: the common ones are told apart in held-out texts, by at most CANDIDATES languages a text."""
+    import random
+
+    rng = random.Random(8)
+    sounds = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(200)]
+    own = [[("".join(rng.choice(sounds[10 * k : 10 * k + 10]) for _ in range(3))) for _ in range(30)] for k in range(20)]
+    rows = [(i, f"c{i % 20:02d}", " ".join(rng.choice(own[i % 20]) for _ in range(25))) for i in range(600)]
+    rows += [(1000 + i, f"rare{i}", "one word of its own " + str(i)) for i in range(4980)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    model = language.learn(docs)
+    assert len(model.languages) > 3900
+    some = docs.where("doc_id < 600").withColumn("fold", language.label_part(docs["doc_id"], 5)).where("fold = 0")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(some, model).collect()}
+    assert len(got) > 80
+    assert sum(x == f"c{i % 20:02d}" for i, x in got.items()) >= 0.95 * len(got)
+    few = language.learn(docs, most_languages=20)
+    assert set(few.languages) == {f"c{k:02d}" for k in range(20)}
+
+
 def test_languages_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     model = language.learn(odd_docs)
     by = {str(r["doc_id"]): r for r in language.identify(odd_docs, model).collect()}
