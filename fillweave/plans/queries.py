@@ -772,6 +772,16 @@ def mtx_round_trip(spark, sf_dir):
     return MM.read_lines(spark, path)
 
 
+@query("with e as (select row_number() over (order by vec_id) - 1 r, embedding from embeddings) select r::int \"row\", (i - 1)::int col, embedding[i]::double val, 0.0::double imag from e, range(1, 65) t(i)")
+def mtx_array_round_trip(spark, sf_dir):
+    """All embeddings as a dense matrix, written in the array layout and read by line numbers."""
+    vectors = G.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding")
+    placed = M.relabelled(vectors).select(F.col("local_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "x"))
+    path = new_path(spark, "matrix")
+    MM.write_array(placed.select("row", "col", F.col("x").cast("double").alias("val")), path, vectors.count(), 64)
+    return MM.read_array(spark, path)
+
+
 @query(f"with {_COO} select (r + 1) || ' ' || (c + 1) as \"value\" from coo where r >= c")
 def mtx_pattern_lines(spark, sf_dir):
     return MM.entry_lines(X.half(G.lineitem_matrix(spark, sf_dir)), pattern=True).select("value")
@@ -859,7 +869,7 @@ def coarse_separator(spark, sf_dir):
     return shares.crossJoin(across)  # one row each
 
 
-@query(f"""with {_GRID}, m as (select u e, v from edges join nodes n on n.v = edges.u where (n.x + n.y) % 2 = 0),
+@query(f"""with {_GRID}, m as (select edges.u e, edges.v from edges join nodes n on n.v = edges.u where (n.x + n.y) % 2 = 0),
 k as (select e, count(*) - 1 others from m group by 1)
 select v::bigint v, sum(others)::bigint degree from m join k using (e) group by 1""")
 def quotient_degrees(spark, sf_dir):
