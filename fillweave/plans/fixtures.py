@@ -55,11 +55,17 @@ def removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").cast("int").alias("v"))
 
 
-def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, every: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, dof_map) with a vertex appended for each `every`-th one that has a higher
-    neighbour, attached to it and to the lowest of those."""
+def split_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the second size get a vertex beside them."""
+    return table(spark, sf_dir, "part").where("p_size = 2").select(F.col("p_partkey").cast("int").alias("v"))
+
+
+def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, dof_map) with a vertex appended for each of the chosen (v, by old numbers)
+    that has a higher neighbour, attached to it and to the lowest of those."""
     n = nodes.count()
-    picks = edges.where(f"u < v and u % {every} = 0").groupBy("u").agg(F.min("v").alias("x"))
+    some = dof_map.join(chosen.select(F.col("v").alias("old_v")), "old_v", "left_semi").select(F.col("new_v").alias("u"))
+    picks = edges.where("u < v").join(some, "u", "left_semi").groupBy("u").agg(F.min("v").alias("x"))
     new = M.relabelled(picks.withColumnRenamed("u", "v")).select((F.col("local_id") + n).cast("int").alias("w"), F.col("v").alias("u"), F.col("x").alias("v"))
     ends = new.select("w", F.explode(F.array("u", "v")).alias("x"))
     both = edges.select("u", "v").union(ends.select(F.col("w").alias("u"), F.col("x").alias("v"))).union(ends.select(F.col("x").alias("u"), F.col("w").alias("v")))

@@ -16,6 +16,7 @@ from ..operators import matrix as X
 from ..operators import mesh as M
 from ..operators import ordering as O
 from ..operators import tree as T
+from ..operators import twins as W
 from ..operators.incremental import Settings
 from ..operators.solve import conjugate_gradient
 from ..sources import matrix_market as MM
@@ -532,14 +533,14 @@ def label_compaction(spark, sf_dir):
 _GROWN = _MAP + """,
 n2 as (select a.new_v u, b.new_v v from edges e join dof_map a on a.old_v = e.u join dof_map b on b.old_v = e.v),
 cnt2 as (select count(*)::int n from dof_map),
-num as (select row_number() over (order by u) - 1 r, u, min(v) v from n2 where u < v and u % 100 = 0 group by u),
+num as (select row_number() over (order by u) - 1 r, u, min(v) v from n2 where u < v and u in (select new_v from dof_map join part on p_partkey = old_v where p_size = 2) group by u),
 fresh as (select (r + n)::int w, u, v from num, cnt2),
 reg2 as (select new_v v, hmd_id from regions join dof_map on old_v = v)"""
 
 
 def _grown(spark, sf_dir):
     nodes, edges, dof_map = _shrunk(spark, sf_dir)
-    return G.grown(nodes, edges, dof_map)
+    return G.grown(nodes, edges, dof_map, G.split_nodes(spark, sf_dir))
 
 
 @query(f"with {_GROWN} select w v from fresh")
@@ -971,3 +972,39 @@ def supernode_dag(spark, sf_dir):
 def supernode_sizes(spark, sf_dir):
     sizes = _supernodes(spark, sf_dir).groupBy("supernode").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("supernodes"), (F.sum("n") / F.count("*")).alias("mean_size"))
+
+
+# --- compression ----------------------------------------------------------------------------
+
+_PAIRED = f"""{_GRID},
+ex as (select edges.u * 2 + a.d u, edges.v * 2 + b.d v from edges, (values (0), (1)) a(d), (values (0), (1)) b(d)
+  union all select v * 2, v * 2 + 1 from nodes union all select v * 2 + 1, v * 2 from nodes)"""
+
+
+def _paired(spark, sf_dir):
+    """The grid with two unknowns in each cell: (vertices(v), edges(u, v))."""
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), G.grid_edges(spark, sf_dir)
+    both = nodes.select(F.explode(F.array(2 * F.col("v"), 2 * F.col("v") + 1)).alias("v"))
+    near = edges.select((2 * F.col("u")).alias("u"), (2 * F.col("v")).alias("v")).select(F.explode(F.array("u", F.col("u") + 1)).alias("u"), "v").select("u", F.explode(F.array("v", F.col("v") + 1)).alias("v"))
+    within = nodes.select((2 * F.col("v")).alias("u"), (2 * F.col("v") + 1).alias("v"))
+    return both, near.union(within).union(within.select("v", "u"))
+
+
+@query(f"with {_PAIRED}, c as (select u, list(v order by v) near from (select u, v from ex union all select distinct u, u from ex) group by 1) select u v, (min(u) over (partition by near))::int head from c")
+def twin_groups(spark, sf_dir):
+    """Unknowns of equal closed neighbourhoods."""
+    return W.twins(*_paired(spark, sf_dir))
+
+
+@query(f"with {_GRID} select (2 * count(*))::bigint vertices, count(*) groups, true bijective, true low_fill from nodes")
+def compressed_order_fill(spark, sf_dir):
+    """The cold order of the compressed graph: a bijection, with at most four times the entries of the cells' own cold order, and two for each cell."""
+    vertices, edges = (cut(x) for x in _paired(spark, sf_dir))
+    order, groups = W.compressed_order(vertices, edges, _SMALL)
+    order = cut(order)
+    ours = E.fill(order, edges)
+    cells = cut(G.grid_edges(spark, sf_dir))
+    plain = E.fill(O.cold(G.grid_nodes(spark, sf_dir).select("v"), cells, _SMALL).permutation, cells).select(F.col("lnz").alias("cells"), F.col("n").alias("m"))
+    ok = X.is_permutation(order, "new_pos", vertices.count()).select(F.col("ok").alias("bijective"))
+    n = groups.agg(F.countDistinct("head").alias("groups"))
+    return ours.crossJoin(plain).crossJoin(ok).crossJoin(n).select(F.col("n").alias("vertices"), "groups", "bijective", (F.col("lnz") <= 4 * F.col("cells")).alias("low_fill"))  # one row each
