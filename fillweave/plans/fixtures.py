@@ -91,3 +91,12 @@ def weighted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = extra.union(extra.select(F.col("v").alias("u"), F.col("u").alias("v")))
     rows = grid_edges(spark, sf_dir).withColumn("w", F.lit(1)).union(both.withColumn("w", F.lit(2)))
     return rows.groupBy(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).agg(F.max("w").cast("long").alias("w")).select(F.lit(0).alias("hmd_id"), "u", "v", "w")
+
+
+def grid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two triangles for each cell of the grid that has a right and a lower neighbour."""
+    nodes = grid_nodes(spark, sf_dir)
+    corner = nodes.where(F.col("x") < WIDTH - 1).join(nodes.select((F.col("v") - WIDTH - 1).alias("v")), "v", "left_semi").select("v")
+    v = F.col("v")
+    upper = corner.select((2 * v).alias("f"), v.alias("a"), (v + 1).alias("b"), (v + WIDTH).alias("c"))
+    return upper.union(corner.select((2 * v + 1).alias("f"), v + 1, v + WIDTH + 1, v + WIDTH))

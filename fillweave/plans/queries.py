@@ -15,6 +15,7 @@ from ..operators import incremental as I
 from ..operators import matrix as X
 from ..operators import mesh as M
 from ..operators import ordering as O
+from ..operators import patches as P
 from ..operators import tree as T
 from ..operators import twins as W
 from ..operators.incremental import Settings
@@ -1008,3 +1009,36 @@ def compressed_order_fill(spark, sf_dir):
     ok = X.is_permutation(order, "new_pos", vertices.count()).select(F.col("ok").alias("bijective"))
     n = groups.agg(F.countDistinct("head").alias("groups"))
     return ours.crossJoin(plain).crossJoin(ok).crossJoin(n).select(F.col("n").alias("vertices"), "groups", "bijective", (F.col("lnz") <= 4 * F.col("cells")).alias("low_fill"))  # one row each
+
+
+# --- patches and chains of maps -------------------------------------------------------------
+
+_FACES = f"""{_GRID},
+quads as (select v from nodes where x < 49 and v + 51 in (select v from nodes)),
+faces as (select 2 * v f, v a, v + 1 b, v + 50 c from quads union all select 2 * v + 1, v + 1, v + 51, v + 50 from quads),
+inc as (select f, unnest([a, b, c]) v from faces),
+near as (select distinct p.f, q.f g from inc p join inc q using (v))"""
+
+
+@query(f"""with recursive {_FACES}, walk(f, ring) as (
+  select f, 0 from faces where f = (select min(f) from faces)
+  union select near.g, ring + 1 from walk join near using (f) where ring < 90),
+rings as (select f, min(ring) ring from walk group by 1),
+sizes as (select ring, sum(count(*)) over (order by ring) - count(*) before from rings group by 1)
+select f::int f, ring::int ring from rings join sizes using (ring) where before < 0.25 * (select count(*) from faces)""")
+def face_patch(spark, sf_dir):
+    """A quarter of the grid's triangles around its first one, by rings."""
+    faces = cut(G.grid_faces(spark, sf_dir))
+    return P.patch(faces, faces.agg(F.min("f").alias("f")), 0.25)
+
+
+@query(f"""with {_GROWN}, m3 as (select new_v, old_v from dof_map union all select w, -1 from fresh),
+m1 as (select v new_v, case when v % 50 = 0 then -1 else v end old_v from nodes)
+select m3.new_v, coalesce(m1.old_v, -1)::int old_v from m3 left join m1 on m1.new_v = m3.old_v""")
+def composed_maps(spark, sf_dir):
+    """Three maps in a row: the grid's first column is put in anew, parts of one size go, others get a vertex beside them."""
+    first = G.grid_nodes(spark, sf_dir).select(F.col("v").alias("new_v"), F.when(F.col("x") == 0, -1).otherwise(F.col("v")).alias("old_v"))
+    gone, after = _shrunk(spark, sf_dir)[2], _grown(spark, sf_dir)[2]
+    count = gone.count()
+    added = after.select("new_v", F.when(F.col("new_v") < count, F.col("new_v")).otherwise(-1).alias("old_v"))
+    return P.composed_chain([first, gone, added])
