@@ -10,6 +10,10 @@ Every benchmark item is covered by windows of `window` words, one from each of i
 window starts at every word of every document. So an item-sized passage gets as many chances to
 be found as it has windows, times the repetitions; a hit names the alignment of the whole item,
 and the item-sized passage there is verified by its exact edit distance, counted in words.
+
+Items too short for a walk that samples three words are looked up without walks, by words that
+their edits must leave alone: a key of one common word would make every item that has it a
+candidate wherever it stands.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from .common import documents
 
 _U = np.uint64
 #: Window sizes; an item uses the largest that finds it with at most FEW_WALKS walks.
-WINDOWS = (10, 5, 2, 1)
+WINDOWS = (10, 5)
 FEW_WALKS = 16
 #: Items of more words than this are found at least as often as those of this many.
 LONG_ITEM = 40
@@ -118,22 +122,40 @@ def walks_needed(n: int, size: int, edits: int, recall: float, trials: int = 400
 
 @lru_cache(maxsize=1024)
 def window_and_walks(n: int, recall: float, kept_words: float, max_edits: float) -> tuple[int, int]:
-    """The window size and the number of walks for items of n words."""
+    """The window size and the number of walks for items of n words; (0, 0) where no size will do."""
     m = min(n, LONG_ITEM)
     for size in (w for w in WINDOWS if w <= n):
         count = walks_needed(m, size, int(max_edits * m), recall)
         if count:
             break
     else:
-        size, count = 1, FEW_WALKS
-    return size, max(count, repetitions(recall, kept_words, max(1, (size + 1) // 2)))
+        return 0, 0
+    return size, max(count, repetitions(recall, kept_words, (size + 1) // 2))
 
 
-class Table:
-    """The windows of some items, each under as many of the walks as it needs, looked up by key."""
+class Lookup:
+    """Sorted keys of places in items, found by equal keys of places in texts."""
 
     BITS = 20
 
+    def __init__(self, keys: np.ndarray, order: np.ndarray) -> None:
+        sort = np.argsort(keys, kind="stable")
+        self.keys, self.order = keys[sort], order[sort]
+        self.seen = np.zeros(1 << self.BITS, dtype=bool)
+        self.seen[(keys >> _U(64 - self.BITS)).astype(np.int64)] = True
+
+    def equal(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in mine, the item place's number) of all equal keys."""
+        some = np.flatnonzero(self.seen[(mine >> _U(64 - self.BITS)).astype(np.int64)])
+        lo, hi = (np.searchsorted(self.keys, mine[some], side=s) for s in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(some, n), self.order[at]
+
+
+class Table:
+    """The windows of some items, each under as many of the walks as it needs, looked up by key."""
+
     def __init__(self, walks: Walks, hashes: list[np.ndarray], items: list[int], counts: list[int]) -> None:
         self.walks = walks
         flat = np.concatenate(hashes)
@@ -143,30 +165,87 @@ class Table:
             n = len(h) - walks.window + 1
             item.append(np.full(n, i))
             offset.append(np.arange(n))
-        self.starts = np.concatenate([o + b for o, b in zip(offset, begin[:-1], strict=True)])
+        starts = np.concatenate([o + b for o, b in zip(offset, begin[:-1], strict=True)])
         self.item, self.offset = np.concatenate(item), np.concatenate(offset)
         needed = np.repeat(counts, [len(o) for o in offset])
-        self.tables = []
+        self.lookups = []
         for r in range(len(walks.seeds)):
             some = np.flatnonzero(needed > r)
-            keys = walks.keys(flat, self.starts[some], r)
-            sort = np.argsort(keys, kind="stable")
-            keys, order = keys[sort], some[sort]
-            seen = np.zeros(1 << self.BITS, dtype=bool)
-            seen[(keys >> _U(64 - self.BITS)).astype(np.int64)] = True
-            self.tables.append((keys, order, seen))
-
-    def hits(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of start, index of item window) of all equal keys."""
-        out = []
-        for r, (keys, order, seen) in enumerate(self.tables):
-            mine = self.walks.keys(h, starts, r)
-            some = np.flatnonzero(seen[(mine >> _U(64 - self.BITS)).astype(np.int64)])
-            lo, hi = (np.searchsorted(keys, mine[some], side=s) for s in ("left", "right"))
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((np.repeat(some, n), order[at]))
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            self.lookups.append(Lookup(walks.keys(flat, starts[some], r), some))
+
+    def hits(self, h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word of the text, index of item window) of all equal keys; left has the words from each one to its text's end."""
+        starts = np.flatnonzero(left >= self.walks.window)
+        out = [lookup.equal(self.walks.keys(h, starts, r)) for r, lookup in enumerate(self.lookups)]
+        return starts[np.concatenate([a for a, _ in out])], np.concatenate([b for _, b in out])
+
+
+def stretches(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """(begin, words, edits) of stretches of an item of n words: however its edits fall, one of them has at most its own, 0 or 1.
+
+    Stretches of four words with one edit come first, as they need the fewest words for the edits
+    that they take; where an item is too short for these it is cut evenly, each part without an edit.
+    """
+    out, at, left = [], 0, edits + 1
+    while left > 1 and at + 4 <= n:
+        out.append((at, 4, 1))
+        at, left = at + 4, left - 2
+    if left == 1 and n - at >= min(3, n):
+        out.append((at, n - at, 0))
+        left = 0
+    if left <= 0:
+        return out
+    size = max(1, n // (edits + 1))
+    return [(k, size, 0) for k in range(0, size * min(n, edits + 1), size)]
+
+
+class ShortTable:
+    """Short items under words that their edits must leave alone.
+
+    Four words with an edit keep three of them in order: side by side, or with one strange word
+    among them. Each such triple is a key for the steps at which a text may show it.
+    """
+
+    #: Of four words the three that an edit leaves, and how they may then stand in a text.
+    KEPT = {(0, 1, 2): [(0, 1, 2), (0, 1, 3)], (1, 2, 3): [(0, 1, 2)], (0, 2, 3): [(0, 1, 2), (0, 2, 3)], (0, 1, 3): [(0, 1, 2), (0, 1, 3)]}
+
+    def __init__(self, hashes: list[np.ndarray], items: list[int], edits: list[int]) -> None:
+        flat = np.concatenate(hashes)
+        begin = np.cumsum([0, *map(len, hashes)])
+        # for each way to stand in a text: the words kept of a stretch, its first word in flat, item, offset
+        rows: dict[tuple[int, ...], list[tuple[tuple[int, ...], int, int, int]]] = {}
+        for i, h, first, e in zip(items, hashes, begin.tolist(), edits, strict=False):
+            for at, size, own in stretches(len(h), e):
+                plain = tuple(range(size))
+                for kept, ways in self.KEPT.items() if own else [(plain, [plain])]:
+                    for way in ways:
+                        rows.setdefault(way, []).append((kept, first + at, i, at + kept[0]))
+        item, offset, self.lookups, count = [], [], [], 0
+        for way, places_ in rows.items():
+            at = np.array([[p + k for k in kept] for kept, p, _, _ in places_])
+            self.lookups.append((way, Lookup(self._keys(flat, at), np.arange(count, count + len(at)))))
+            item += [i for _, _, i, _ in places_]
+            offset += [o for *_, o in places_]
+            count += len(at)
+        self.item, self.offset = np.array(item), np.array(offset)
+
+    @staticmethod
+    def _keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(at), dtype=np.uint64)
+        for column in at.T:
+            key *= _U(0x9E3779B97F4A7C15)
+            key += h[column]
+        return tv.mix(key)
+
+    def hits(self, h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word of the text, index of item place) of all equal keys."""
+        mine, theirs = [], []
+        for way, lookup in self.lookups:
+            starts = np.flatnonzero(left > way[-1])
+            a, b = lookup.equal(self._keys(h, starts[:, None] + np.array(way)))
+            mine.append(starts[a])
+            theirs.append(b)
+        return np.concatenate(mine), np.concatenate(theirs)
 
 
 def edit_distance_in(at: dict[int, int], m: int, text: list[int]) -> tuple[int, int]:
@@ -225,6 +304,9 @@ class Index:
             if fit:
                 counts = [plan[i][1] for i in fit]
                 self.tables.append(Table(Walks(size, max(counts)), [hashes[i] for i in fit], fit, counts))
+        short = [i for i, (window, _) in enumerate(plan) if not window]
+        if short:
+            self.tables.append(ShortTable([hashes[i] for i in short], short, [int(max_edits * self.words[i]) for i in short]))
 
     def search(self, piece: tv.Piece):
         """(row, item number, first word, words, edits) of each passage found in a piece."""
@@ -236,19 +318,19 @@ class Index:
         left = w.bounds[1:][rows] - np.arange(len(rows))
         found = []
         for table in self.tables:
-            size = table.walks.window
-            starts = np.flatnonzero(left >= size)
-            a, b = table.hits(h, starts)
+            a, b = table.hits(h, left)
             if not len(a):
                 continue
-            place, item = starts[a] - table.offset[b], table.item[b]
-            row = rows[starts[a]]
+            place, item = a - table.offset[b], table.item[b]
+            row = rows[a]
             # nearly the same alignments of an item with a row are verified once
             seen = np.unique(np.stack([row, item, place // 4]), axis=1, return_index=True)[1]
             for k in seen.tolist():
                 found.append((int(row[k]), int(item[k]), int(place[k])))
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for row, item, place in sorted(found):
+            if out.get((row, item), (1,))[0] == 0:
+                continue
             n = self.words[item]
             most = int(self.max_edits * n)
             begin = int(w.bounds[row])
@@ -286,7 +368,8 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, recall: float = 0.
     is read as a-z. Items are
     taken to the tasks in blocks of at most block_chars characters (one longer item is a block
     of its own), and each block is looked for in all documents. Null and wordless texts match
-    nothing; a null doc_id is carried along; repeated rows are reported alike.
+    nothing; a null doc_id is carried along; repeated rows are reported alike. Texts of any length
+    are searched whole. Without documents or items nothing is found; further columns are not read.
     """
     narrow = documents(docs)
     out = None
@@ -309,7 +392,13 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, recall: float = 0.
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, recall: float = 0.95, kept_words: float = 0.9, max_edits: float = 0.3, block_chars: int = 16 << 20) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns."""
+    """The documents that hold no benchmark passage, with all their columns.
+
+    What counts as a passage is as in `benchmark_passages`. Null, empty and wordless texts stay, as
+    do null ids; repeated rows stay or go alike; texts of any length are searched whole. Of an empty
+    table nothing is left, and without items all documents are. Further columns are carried along
+    under their names.
+    """
     for held in _blocks(benchmark, recall, kept_words, max_edits, block_chars, "item_id", "text"):
 
         def run(batches, held=held):

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,42 @@ def test_recall_of_each_length(n, share):
     assert len(found & {(i, i) for i in range(240)}) >= (0.95 - 0.028) * 240
 
 
+@pytest.mark.parametrize("max_edits", [0.0, 0.3, 0.5])
+def test_short_items_are_all_found(max_edits):
+    """Items of one to four words in texts of few different words, edits and all: the same as by brute force."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(7)]
+    items = [[rng.choice(words) for _ in range(rng.randint(1, 4))] for _ in range(80)]
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in enumerate(items)], 0.95, 0.9, max_edits)
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 9))] for _ in range(120)]
+    got = {}
+    for piece in tv.pieces(pa.array([" ".join(t) for t in texts])):
+        got |= {(piece.lo + row, item): edits for row, item, _, _, edits in index.search(piece)}
+    want = {(t, i): e for t, text in enumerate(texts) for i, x in enumerate(items) if (e := brute_edits(x, text)) <= int(max_edits * len(x))}
+    assert got == want and want
+
+
+def test_stretches_take_all_edits():
+    """Whatever the edits, some stretch of an item has no more than it may have."""
+    for n in range(1, 25):
+        for edits in range(n):
+            parts = decontaminate.stretches(n, edits)
+            assert sum(own + 1 for _, _, own in parts) > edits
+            assert all(a[0] + a[1] <= b[0] for a, b in zip(parts, parts[1:], strict=False)) and parts[-1][0] + parts[-1][1] <= n
+
+
+def test_short_items_with_a_common_word():
+    """A common word alone makes no candidate: no item's places are tried where only that word agrees."""
+    items = [(i, f"a{i} the b{i} c{i}") for i in range(2000)]
+    index = decontaminate.Index(items, 0.95, 0.9, 0.3)
+    (piece,) = tv.pieces(pa.array([" ".join(["the", "of"] * 5000 + ["a7 the x c7"])]))
+    w = tv.words(piece)
+    h = tv.span_hashes(piece.data, w.starts, w.ends, tv.LOWER_VALUES)
+    (table,) = index.tables
+    assert len(table.hits(h, len(h) - np.arange(len(h)))[0]) < 10
+    assert [(item, edits) for _, item, _, _, edits in index.search(piece)] == [(7, 1)]
+
+
 def test_benchmark_query_finds_all_exact_passages(spark, sf_dir, documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     want = {(d["doc_id"], i["item_id"]) for d in documents.collect() for i in items if i["text"] in d["text"]}
