@@ -100,3 +100,11 @@ def grid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     upper = corner.select((2 * v).alias("f"), v.alias("a"), (v + 1).alias("b"), (v + WIDTH).alias("c"))
     return upper.union(corner.select((2 * v + 1).alias("f"), v + 1, v + WIDTH + 1, v + WIDTH))
+
+
+def edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v, op, ts, id: events as changes of edges between users and the number in their properties; errors remove, all others add."""
+    events = table(spark, sf_dir, "events")
+    other = F.get_json_object("props", "$.k").cast("long") + 10**9
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("add")
+    return events.select(F.col("user_id").alias("u"), other.alias("v"), op.alias("op"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))

@@ -11,6 +11,7 @@ from ..operators import coarsen as C
 from ..operators import decompose as D
 from ..operators import elimination as N
 from ..operators import factor as E
+from ..operators import growth as B
 from ..operators import incremental as I
 from ..operators import matrix as X
 from ..operators import mesh as M
@@ -22,7 +23,7 @@ from ..operators.incremental import Settings
 from ..operators.solve import conjugate_gradient
 from ..sources import matrix_market as MM
 from ..sources import tables as S
-from ..streaming import maintain
+from ..streaming import maintain, settle
 from . import fixtures as G
 from .lineage import Scratch, cut, new_path
 
@@ -679,6 +680,20 @@ def event_activity(spark, sf_dir):
     return maintain.activity(G.table(spark, sf_dir, "events")).withColumn("value", F.round("value", 4))
 
 
+@query("""with c as (select user_id u, 1000000000 + regexp_extract(props, '"k": ?([0-9]+)', 1)::bigint v, event_type, ts, event_id id from events),
+l as (select *, row_number() over (partition by u, v order by ts desc, id desc) k from c) select u, v, id from l where k = 1 and event_type <> 'error'""")
+def streamed_edges(spark, sf_dir):
+    """Edges that stand after a stream of all changes in no order of time, from the state that it keeps."""
+    with Scratch(spark) as scratch:
+        folder = scratch.path
+        # by hash of the id, so that each batch has changes of all times
+        G.edge_changes(spark, sf_dir).repartition(4, "id").write.parquet(f"{folder}/in")
+        stream = spark.readStream.schema(settle.SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        writer = settle.settled(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True)
+        settle.start(spark, writer).awaitTermination()
+        return cut(settle.edges_now(spark, f"{folder}/at").select("u", "v", "id"))
+
+
 @query("select p_partkey::int v, (p_partkey - p_partkey % 50)::int supernode from part")
 def grid_row_supernodes(spark, sf_dir):
     """Supernodes of a block-diagonal matrix whose blocks are the grid's rows."""
@@ -720,6 +735,20 @@ def kway_partition(spark, sf_dir):
     return got.agg(F.count("*").alias("vertices"), F.min((F.col("part") >= 0) & (F.col("part") < 8)).alias("all_placed"), F.count_distinct("part").alias("parts"))
 
 
+@query("select k::int part, true connected, true near_mean from range(8) t(k)")
+def growth_parts(spark, sf_dir):
+    """Eight parts of the grid that grow from seeds: each is one component, and within a tenth of their mean size, or half their number of it."""
+    nodes, edges = G.grid_nodes(spark, sf_dir).select("v"), cut(G.grid_edges(spark, sf_dir))
+    at = cut(B.growth_partition(nodes, edges, 8))
+    ends = at.select(F.col("v").alias("u"), F.col("part").alias("a")), at.select("v", F.col("part").alias("b"))
+    inside = edges.join(ends[0], "u").join(ends[1], "v").where("a = b").select("u", "v")
+    pieces = E.components(nodes, inside).join(at, "v").groupBy("part").agg(F.count_distinct("comp").alias("pieces"), F.count("*").alias("size"))
+    mean = F.broadcast(pieces.agg(F.avg("size").alias("mean")))  # one row
+    # a chain of eight small parts may differ by one from each to the next
+    off = F.abs(F.col("size") - F.col("mean"))
+    return pieces.crossJoin(mean).select("part", (F.col("pieces") == 1).alias("connected"), (off <= F.greatest(F.lit(4.0), 0.1 * F.col("mean"))).alias("near_mean"))
+
+
 @query(f"with {_GRID}, e as (select count(*) k from edges) select count(*) n, any_value(k) nnz, 'nested' reordering, 2::bigint frame_num, 1.0::double reuse from nodes, e union all select count(*), any_value(k), 'nested', 1, 0.0 from nodes, e")
 def run_log(spark, sf_dir):
     """The log rows of a cold run and of one that follows without a change, written and read back."""

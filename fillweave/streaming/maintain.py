@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import mesh as M
 from ..operators import ordering as O
 from ..operators.incremental import Settings
+from . import settle
 
 TABLES = ("dof", "nodes", "vertices", "edges", "permutation")
 
@@ -51,8 +52,16 @@ def on_batch(folder: str, settings: Settings = Settings()):
 
 
 def maintain(changes: DataFrame, folder: str, checkpoint: str, settings: Settings = Settings()):
-    """Start the stream of changes(u, v, op); available data is worked through and it ends."""
-    return changes.writeStream.foreachBatch(on_batch(folder, settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start the stream of changes(u, v, op); available data is worked through and it ends.
+
+    With columns ts and id, changes settle by their time, whatever batch they come in; without
+    them a batch is taken as a whole, after all before it.
+    """
+    if {"ts", "id"} <= set(changes.columns):
+        types = dict(changes.dtypes)
+        changes = settle.settled(changes).select(*(F.col(c).cast(types[c]).alias(c) for c in ("u", "v")), "op")
+    writer = changes.writeStream.foreachBatch(on_batch(folder, settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return settle.start(changes.sparkSession, writer)
 
 
 def activity(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
