@@ -320,20 +320,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, held_out, row
     """text and label of a bounded sample: about rows_per_label labelled documents of each label.
 
     The sample is drawn by a hash of the ids; rows for which held_out(doc_id) holds are no part
-    of it. Texts are taken whole, whatever their length.
+    of it. Texts are taken whole, whatever their length. An id counts with one document, that of
+    the smallest hash of its text, however many rows have it; an id with both labels is left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for value, n in sorted(counts.items()):
         share = F.when(F.col("label") == value, F.lit(int(min(1.0, rows_per_label / n) * (1 << 30)))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).distinct()
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     spark = docs.sparkSession
     # at most about 2 * rows_per_label pairs of numbers
     few = spark.createDataFrame([(r["doc_id"], r["label"]) for r in drawn.collect()], "doc_id long, label int")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return narrow.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
+    one = narrow.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    return one.select("doc_id", "first.text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", holdout_parts: int = 5, holdout_part: int = 0, rows_per_label: int = 1500) -> Network:

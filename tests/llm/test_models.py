@@ -198,3 +198,14 @@ def test_language_model_has_all_languages(spark):
     assert len(model.languages) == 140
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, model).collect()}
     assert sum(got[d] == lang for d, lang, _ in rows) >= 0.98 * len(rows)
+
+
+def test_sample_of_repeated_ids(spark):
+    """An id of very many rows counts with one of its texts, one with both labels not at all."""
+    docs = spark.range(20_000).selectExpr("0L doc_id", "concat('text ', id) text").union(spark.range(1, 7).selectExpr("id", "concat('own ', id)"))
+    rows = [(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, 1), (4, None), (5, 7), (None, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, "toxic", lambda c: c == 3, 100).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(0, 1), (1, 0)]
+    again = toxicity.training_rows(docs.repartition(5), labels, "toxic", lambda c: c == 3, 100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
