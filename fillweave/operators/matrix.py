@@ -171,8 +171,15 @@ def poisson3d(n: int, spark) -> DataFrame:
 
 
 def checked_product(a, b):
-    """Overflow-checked product: null instead of a wrapped value."""
-    return F.try_multiply(a, b)
+    """Overflow-checked product of two longs: null instead of a wrapped value.
+
+    The first factor is compared with the bounds that the second one leaves. try_multiply() throws
+    and catches an exception for each product that doesn't fit.
+    """
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    over = lambda bound: F.call_function("div", bound, b)
+    fits = F.when(b == 0, True).when(b == -1, a != low).when(b > 0, a.between(over(low), over(high))).otherwise(a.between(over(high), over(low)))
+    return F.when(fits, a * b)
 
 
 def checked_sum(a, b):
