@@ -53,12 +53,13 @@ def separators(regions: DataFrame, inside: DataFrame, task_edges: int = TASK_EDG
     sizes = inside.groupBy("hmd_id").agg(F.count("*").alias("n"))
     small = sizes.where(F.col("n") <= task_edges).select("hmd_id")
     large = sizes.where(F.col("n") > task_edges).select("hmd_id")
-    own = regions.join(small, "hmd_id", "left_semi").select("hmd_id", "v")
-    near = inside.join(small, "hmd_id", "left_semi")
+    few = F.broadcast(small)  # tree nodes, here and below
+    own = regions.join(few, "hmd_id", "left_semi").select("hmd_id", "v")
+    near = inside.join(few, "hmd_id", "left_semi")
     cuts = _per_region(own, near, _split_small, "hmd_id int, v int, side byte")
     if large.isEmpty():
         return cuts
-    few = F.broadcast(large)  # tree nodes
+    few = F.broadcast(large)
     split = coarse_separators(regions.join(few, "hmd_id", "left_semi"), inside.join(few, "hmd_id", "left_semi"), min(task_edges, COARSE_EDGES))
     return cuts.union(split.select("hmd_id", F.col("v").cast("int").alias("v"), "side"))
 
@@ -130,7 +131,7 @@ def _deeper_orders(own: DataFrame, inside: DataFrame, depth: int, extra: int, ta
     sizes = parts.groupBy("hmd_id").agg(F.count("*").alias("size")).withColumn("leaf", leaf)
     order = Window.partitionBy("leaf").orderBy(T.postorder("hmd_id", depth + extra)).rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("leaf", "hmd_id", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
-    return labels.join(base, "hmd_id").select(F.col("leaf").alias("hmd_id"), "v", (F.col("base") + F.col("label")).cast("int").alias("label"))
+    return labels.join(F.broadcast(base), "hmd_id").select(F.col("leaf").alias("hmd_id"), "v", (F.col("base") + F.col("label")).cast("int").alias("label"))
 
 
 def tree_nodes(regions: DataFrame, levels: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.lineage import Scratch, cut
+from ..plans.lineage import Scratch, cut, large
 
 #: Positions of an order that one task eliminates.
 BLOCK = 1 << 14
@@ -62,7 +62,7 @@ def _numbered(permutation: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges by the positions of their ends in an order."""
     a = permutation.select(F.col("v").alias("u"), F.col("new_pos").alias("nu"))
     b = permutation.select("v", F.col("new_pos").alias("nv"))
-    return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    return edges.join(large(a), "u").join(large(b), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
 
 
 def _block_components(positions: DataFrame, inside: DataFrame, block: int) -> DataFrame:

@@ -105,12 +105,12 @@ def lagged(marks: DataFrame, lag_level: int = 5, leaves: DataFrame | None = None
 
 
 def dirty_vertices(marks: DataFrame, regions: DataFrame) -> DataFrame:
-    """v, hmd_id, and for coarse ones the top of the subtree."""
-    fine = regions.join(marks.where("kind = 'fine'").select("hmd_id"), "hmd_id", "left_semi").select("v", "hmd_id", F.lit(None).cast("int").alias("top"))
+    """v, hmd_id, and for coarse ones the top of the subtree. Marks and tops are of tree nodes, so they are broadcast."""
+    fine = regions.join(F.broadcast(marks.where("kind = 'fine'").select("hmd_id")), "hmd_id", "left_semi").select("v", "hmd_id", F.lit(None).cast("int").alias("top"))
     up = regions.select("hmd_id").distinct().select("hmd_id", F.explode(F.sequence(F.lit(0), T.level("hmd_id"))).alias("d"))
     up = up.select("hmd_id", T.ancestor_at("hmd_id", F.col("d")).alias("top"))
     tops = up.join(marks.where("kind = 'coarse'").select(F.col("hmd_id").alias("top")), "top")
-    return fine.union(regions.join(tops, "hmd_id").select("v", "hmd_id", "top")).dropDuplicates(["v"])
+    return fine.union(regions.join(F.broadcast(tops), "hmd_id").select("v", "hmd_id", "top")).dropDuplicates(["v"])
 
 
 def reuse_ratio(marks: DataFrame, regions: DataFrame) -> DataFrame:

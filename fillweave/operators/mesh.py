@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..plans.lineage import cut, large
+
 
 def mesh_from_matrix(coo: DataFrame, dim: int = 1) -> DataFrame:
     """The graph of a sparse matrix whose rows stand in blocks of dim: block-compress, symmetrise."""
@@ -22,7 +24,7 @@ def check_blocks(coo: DataFrame, dim: int) -> DataFrame:
 
 def check_mesh(edges: DataFrame) -> DataFrame:
     """One row: loops, repeated edges and edges without their reverse."""
-    once = edges.groupBy("u", "v").agg(F.count("*").alias("n"))
+    once = large(edges).groupBy("u", "v").agg(F.count("*").alias("n"))
     back = once.select(F.col("v").alias("u"), F.col("u").alias("v"))
     facts = once.agg(F.sum(F.when(F.col("u") == F.col("v"), F.col("n")).otherwise(0)).alias("loops"), F.sum(F.col("n") - 1).alias("repeats"))
     return facts.crossJoin(once.join(back, ["u", "v"], "left_anti").agg(F.count("*").alias("one_way")))
@@ -59,7 +61,8 @@ def relabelled(chosen: DataFrame, by: str | None = None) -> DataFrame:
     counts = spans.groupBy("part").agg(F.count("*").alias("n"))
     base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     own = spans.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("v")) - 1)
-    return own.join(base, "part").select(*chosen.columns, (F.col("base") + F.col("own")).cast("long").alias("local_id"))
+    # a row for each range is broadcast
+    return own.join(F.broadcast(base), "part").select(*chosen.columns, (F.col("base") + F.col("own")).cast("long").alias("local_id"))
 
 
 def region_edges(edges: DataFrame, regions: DataFrame, chosen: list[int] | None = None) -> DataFrame:
@@ -113,7 +116,7 @@ def with_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 def without_vertices(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, dof_map) after removing vertices; survivors are numbered anew in order."""
     kept = relabelled(nodes.join(removed.select("v"), "v", "left_anti"))
-    dof_map = kept.select(F.col("local_id").cast("int").alias("new_v"), F.col("v").alias("old_v"))
+    dof_map = cut(kept.select(F.col("local_id").cast("int").alias("new_v"), F.col("v").alias("old_v")))
     new = mapped_edges(edges, dof_map)
     return dof_map.select(F.col("new_v").alias("v")), new, dof_map
 
@@ -122,4 +125,4 @@ def mapped_edges(edges: DataFrame, dof_map: DataFrame) -> DataFrame:
     """Edges of the old numbering in the new one; those at removed vertices fall away."""
     a = dof_map.where("old_v >= 0").select(F.col("old_v").alias("u"), F.col("new_v").alias("nu"))
     b = dof_map.where("old_v >= 0").select(F.col("old_v").alias("v"), F.col("new_v").alias("nv"))
-    return edges.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    return large(edges.join(large(a), "u").join(large(b), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v")))

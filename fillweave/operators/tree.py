@@ -108,4 +108,4 @@ def below(nodes: DataFrame, tops: DataFrame, proper: bool = True) -> DataFrame:
         up = up.where(F.col("depth") < level("hmd_id"))
     up = up.select("hmd_id", ancestor_at("hmd_id", F.col("depth")).alias("above"))
     hit = up.join(tops.select(F.col("hmd_id").alias("above")).distinct(), "above", "left_semi").select("hmd_id").distinct()
-    return nodes.join(hit, "hmd_id", "left_semi")
+    return nodes.join(F.broadcast(hit), "hmd_id", "left_semi")  # tree nodes

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..operators import mesh as M
+from .lineage import large
 
 WIDTH = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return large(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def grid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = nodes.where(F.col("x") < WIDTH - 1).select(F.col("v").alias("u"), (F.col("v") + 1).alias("v"))
     down = nodes.select(F.col("v").alias("u"), (F.col("v") + WIDTH).alias("v"))
     pairs = right.union(down).join(nodes.select("v"), "v", "left_semi").select("u", "v")
-    return pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return large(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
 
 
 def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def grid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.broadcast(nodes.agg(F.expr("cast((max(y) + 1) div 2 as int)").alias("m")))  # one row
     s = F.when(F.col("x") < 25, 1).otherwise(2)
     at = F.when(F.col("x") == 25, 0).when(F.col("y") == F.col("m"), s).when(F.col("y") < F.col("m"), 2 * s + 1).otherwise(2 * s + 2)
-    return nodes.crossJoin(middle).select("v", at.cast("int").alias("hmd_id"))
+    return large(nodes.crossJoin(middle).select("v", at.cast("int").alias("hmd_id")))
 
 
 def extra_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +44,11 @@ def extra_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.when(F.col("v") % WIDTH < WIDTH - 2, F.array(F.lit(2), F.lit(WIDTH + 1))).otherwise(F.array(F.lit(WIDTH + 1)))
     ends = part.where(F.col("v") % WIDTH < WIDTH - 1).select(F.col("v").alias("u"), "brand", F.explode(steps).alias("step"))
     pairs = ends.select("u", "brand", (F.col("u") + F.col("step")).alias("v"))
-    return pairs.join(part, ["v", "brand"], "left_semi").select("u", "v")
+    return large(pairs.join(part, ["v", "brand"], "left_semi").select("u", "v"))
 
 
 def snapshot_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.with_edges(grid_edges(spark, sf_dir), extra_pairs(spark, sf_dir))
+    return large(M.with_edges(grid_edges(spark, sf_dir), extra_pairs(spark, sf_dir)))
 
 
 def removed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,7 @@ def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, chosen: DataFr
     """(nodes, edges, dof_map) with a vertex appended for each of the chosen (v, by old numbers)
     that has a higher neighbour, attached to it and to the lowest of those."""
     n = nodes.count()
+    edges, nodes = large(edges), large(nodes)
     some = dof_map.join(chosen.select(F.col("v").alias("old_v")), "old_v", "left_semi").select(F.col("new_v").alias("u"))
     picks = edges.where("u < v").join(some, "u", "left_semi").groupBy("u").agg(F.min("v").alias("x"))
     new = M.relabelled(picks.withColumnRenamed("u", "v")).select((F.col("local_id") + n).cast("int").alias("w"), F.col("v").alias("u"), F.col("x").alias("v"))
@@ -82,7 +84,7 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths through each user's events in order of time, both directions."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = table(spark, sf_dir, "events").select(F.lag("event_id").over(w).cast("int").alias("u"), F.col("event_id").cast("int").alias("v")).where("u is not null")
-    return pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return large(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
 
 
 def weighted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def grid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = nodes.where(F.col("x") < WIDTH - 1).join(nodes.select((F.col("v") - WIDTH - 1).alias("v")), "v", "left_semi").select("v")
     v = F.col("v")
     upper = corner.select((2 * v).alias("f"), v.alias("a"), (v + 1).alias("b"), (v + WIDTH).alias("c"))
-    return upper.union(corner.select((2 * v + 1).alias("f"), v + 1, v + WIDTH + 1, v + WIDTH))
+    return large(upper.union(corner.select((2 * v + 1).alias("f"), v + 1, v + WIDTH + 1, v + WIDTH)))
 
 
 def edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def large(df: DataFrame) -> DataFrame:
+    """The same rows, for joins by shuffles alone.
+
+    Spark takes the size of a compressed file for that of its rows: a column of ids takes a tenth of its
+    share there, so that tables of millions of rows go to the driver to be broadcast. What is
+    surely small is broadcast by F.broadcast, which goes before this hint.
+    """
+    return df.hint("shuffle_merge")
+
+
 class Scratch:
     """Tables that one run of an operator needs, in a folder of their own in the shared one, which goes when the run ends.
 
@@ -45,7 +55,7 @@ class Scratch:
         self.tables += 1
         path = f"{self.path}/{self.tables}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return large(self.spark.read.schema(df.schema).parquet(path))
 
     def __enter__(self) -> Scratch:
         return self
@@ -58,4 +68,4 @@ class Scratch:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, checkpointed: in the cluster's spark.checkpoint.dir, or on one machine a new folder where none is set."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return large(df.checkpoint())
