@@ -21,7 +21,7 @@ from ..functions import kernels
 from ..plans.lineage import Scratch, cut
 
 #: Directed edges of a coarse graph that a task parts.
-COARSE_EDGES = 20_000
+COARSE_EDGES = 100_000
 #: The prime below which ids are scattered; ties between edges of equal weight are broken so.
 PRIME = 1_000_003
 

@@ -24,8 +24,10 @@ from .coarsen import COARSE_EDGES, coarse_separators
 from .elimination import minimum_degree_labels
 
 METHODS = ("nested", "mindegree")
-#: Edges up to which one task handles a region.
+#: Edges up to which one task orders a region, which takes Python work for each vertex.
 TASK_EDGES = 400_000
+#: How many times as many edges a task parts, by a few sweeps in numpy; more go by rounds of joins, which cost jobs.
+PARTED = 10
 
 
 def _local(vertices: pd.DataFrame, edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def _split_small(key, vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame({"hmd_id": key[0], "v": ids, "side": kernels.level_separator(len(ids), u, v)})
 
 
-def separators(regions: DataFrame, inside: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def separators(regions: DataFrame, inside: DataFrame, task_edges: int = PARTED * TASK_EDGES) -> DataFrame:
     """hmd_id, v, side (0 left, 1 right, 2 separator) of all regions that have edges.
 
     inside is region_edges(): hmd_id, u, v.
@@ -64,7 +66,7 @@ def separators(regions: DataFrame, inside: DataFrame, task_edges: int = TASK_EDG
     return cuts.union(split.select("hmd_id", F.col("v").cast("int").alias("v"), "side"))
 
 
-def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int = TASK_EDGES) -> DataFrame:
+def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int = PARTED * TASK_EDGES) -> DataFrame:
     """Split regions down to `levels` levels below the root; returns the final (v, hmd_id).
 
     regions starts as all vertices at node 0, or as those of some subtrees at their tops. A
@@ -88,9 +90,9 @@ def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int
 def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", task_edges: int = TASK_EDGES, depth: int | None = None) -> DataFrame:
     """hmd_id, v, label: each region's own elimination order as labels from 0.
 
-    A region without edges keeps the order of its ids. One of too many edges for a task is ordered
-    by minimum degree by joins; with the method nested it is decomposed further first, if it is at
-    `depth`, the level of the tree's leaves.
+    A region without edges keeps the order of its ids. One of too many edges for a task is
+    decomposed further first, if it is at `depth`, the level of the tree's leaves, and its parts are
+    ordered by the method; else it is ordered by minimum degree by joins.
     """
     if method not in METHODS:
         raise ValueError(f"no such ordering method: {method}")
@@ -106,7 +108,7 @@ def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", t
     few = F.broadcast(large.select("hmd_id"))  # tree nodes
     own = regions.select("hmd_id", "v")
     out = _per_region(own.join(few, "hmd_id", "left_anti"), inside.join(few, "hmd_id", "left_anti"), order, "hmd_id int, v int, label int")
-    deeper = (T.level("hmd_id") == depth) if method == "nested" and depth is not None else F.lit(False)
+    deeper = (T.level("hmd_id") == depth) if depth is not None else F.lit(False)
     rest = large.where(~deeper).select("hmd_id")
     if not rest.isEmpty():
         some = F.broadcast(rest)
@@ -115,18 +117,18 @@ def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", t
     most = large.where(deeper).agg(F.max("n")).first()[0]
     if most is not None:
         some = F.broadcast(large.where(deeper).select("hmd_id"))
-        out = out.union(_deeper_orders(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), depth, math.ceil(math.log2(most / task_edges)) + 1, task_edges))
+        out = out.union(_deeper_orders(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), depth, math.ceil(math.log2(most / task_edges)) + 1, method, task_edges))
     return out
 
 
-def _deeper_orders(own: DataFrame, inside: DataFrame, depth: int, extra: int, task_edges: int) -> DataFrame:
+def _deeper_orders(own: DataFrame, inside: DataFrame, depth: int, extra: int, method: str, task_edges: int) -> DataFrame:
     """hmd_id, v, label of leaves at `depth`, by `extra` levels of separators below each of them.
 
     The parts below a leaf have node numbers of their own, as nothing else is there; a leaf's
     labels are those of its parts one after another, in post-order.
     """
-    parts = cut(decompose(own, inside.select("u", "v"), depth + extra, task_edges))
-    labels = local_orders(parts, inside.select("u", "v"), "nested", task_edges)
+    parts = cut(decompose(own, inside.select("u", "v"), depth + extra, PARTED * task_edges))
+    labels = local_orders(parts, inside.select("u", "v"), method, task_edges)
     leaf = T.ancestor_at("hmd_id", F.lit(depth))
     sizes = parts.groupBy("hmd_id").agg(F.count("*").alias("size")).withColumn("leaf", leaf)
     order = Window.partitionBy("leaf").orderBy(T.postorder("hmd_id", depth + extra)).rowsBetween(Window.unboundedPreceding, -1)

@@ -16,9 +16,9 @@ from ..functions import kernels
 from ..plans.lineage import Scratch, cut, large
 
 #: Positions of an order that one task eliminates.
-BLOCK = 1 << 14
+BLOCK = 1 << 16
 #: Directed edges whose components one task names.
-TASK_EDGES = 400_000
+TASK_EDGES = 4_000_000
 
 
 def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:

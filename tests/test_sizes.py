@@ -1,7 +1,9 @@
 """Plans that don't depend on the size of compressed files, and products that throw nothing."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from fillweave.operators import decompose as D
 from fillweave.operators import matrix as X
 from fillweave.operators import mesh as M
 from fillweave.plans import fixtures as G
@@ -36,3 +38,20 @@ def test_checked_product(spark):
     got = pairs.select("a", "b", product.alias("x"))
     for a, b, x in got.collect():
         assert x == (None if a is None or b is None or not low <= a * b <= high else a * b)
+
+
+@pytest.mark.parametrize("method", ["nested", "mindegree"])
+def test_large_leaf_without_rounds(spark, monkeypatch, method):
+    """A leaf of three times the edges that a task orders is parted in tasks: no coarsening and no elimination by joins."""
+
+    def rounds(*_):
+        raise AssertionError("rounds of joins")
+
+    for name in ("coarse_separators", "minimum_degree_labels"):
+        monkeypatch.setattr(D, name, rounds)
+    at = [(x, y) for x in range(18) for y in range(18)]
+    pairs = [(18 * x + y, 18 * (x + a) + y + b) for x, y in at for a, b in ((1, 0), (0, 1)) if x + a < 18 and y + b < 18]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u int, v int")
+    regions = spark.range(324).select(F.col("id").cast("int").alias("v"), F.lit(0).alias("hmd_id"))
+    got = D.local_orders(regions, edges, method, 400, depth=0).collect()
+    assert sorted(r["label"] for r in got) == list(range(324)) and sorted(r["v"] for r in got) == list(range(324))
