@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+#: Entries that one task adds up.
+TASK_ROWS = 500_000
+
 
 def transpose(coo: DataFrame) -> DataFrame:
     return coo.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
@@ -21,20 +24,30 @@ def full(coo: DataFrame) -> DataFrame:
     return coo.union(transpose(coo.where("row <> col")))
 
 
-def summed(coo: DataFrame) -> DataFrame:
-    """Entries of the same place added up."""
-    return coo.groupBy("row", "col").agg(F.sum("val").alias("val"))
+def task_parts(rows: int) -> int | None:
+    """Partitions in which no task adds up more than about TASK_ROWS of so many entries; None where the session's own number will do."""
+    return -(-rows // TASK_ROWS) if rows > 8 * TASK_ROWS else None
+
+
+def dealt(coo: DataFrame, parts: int | None) -> DataFrame:
+    """Entries by place in so many partitions; None leaves them as they are."""
+    return coo.repartition(parts, "row", "col") if parts else coo
+
+
+def summed(coo: DataFrame, parts: int | None = None) -> DataFrame:
+    """Entries of the same place added up, in so many partitions (see task_parts)."""
+    return dealt(coo, parts).groupBy("row", "col").agg(F.sum("val").alias("val"))
 
 
-def add(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+def add(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1.0, parts: int | None = None) -> DataFrame:
     """alpha * a + beta * b; zeros that arise are kept."""
     scaled = lambda x, s: x.select("row", "col", (F.col("val") * F.lit(float(s))).alias("val"))
-    return summed(scaled(a, alpha).union(scaled(b, beta)))
+    return summed(scaled(a, alpha).union(scaled(b, beta)), parts)
 
 
-def symmetric(coo: DataFrame, lower: bool = True) -> DataFrame:
+def symmetric(coo: DataFrame, lower: bool = True, parts: int | None = None) -> DataFrame:
     """One triangle of (A + A') / 2."""
-    return half(add(coo, transpose(coo), 0.5, 0.5), lower)
+    return half(add(coo, transpose(coo), 0.5, 0.5, parts), lower)
 
 
 def permuted(coo: DataFrame, perm: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators import matrix as X
 from ..operators import mesh as M
 from .lineage import large
 
@@ -77,7 +78,8 @@ def grown(nodes: DataFrame, edges: DataFrame, dof_map: DataFrame, chosen: DataFr
 def lineitem_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities by part and supplier as a sparse matrix."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_partkey").cast("int").alias("row"), F.col("l_suppkey").cast("int").alias("col")).agg(F.sum("l_quantity").alias("val"))
+    entries = lines.select(F.col("l_partkey").cast("int").alias("row"), F.col("l_suppkey").cast("int").alias("col"), F.col("l_quantity").alias("val"))
+    return X.summed(entries, X.task_parts(lines.count()))
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

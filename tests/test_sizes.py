@@ -55,3 +55,13 @@ def test_large_leaf_without_rounds(spark, monkeypatch, method):
     regions = spark.range(324).select(F.col("id").cast("int").alias("v"), F.lit(0).alias("hmd_id"))
     got = D.local_orders(regions, edges, method, 400, depth=0).collect()
     assert sorted(r["label"] for r in got) == list(range(324)) and sorted(r["v"] for r in got) == list(range(324))
+
+
+def test_sums_in_parts(spark, monkeypatch):
+    """As many partitions as entries call for, whatever the session's number, and the same sums."""
+    monkeypatch.setattr(X, "TASK_ROWS", 10)
+    assert X.task_parts(80) is None and X.task_parts(301) == 31
+    rows = spark.range(300).select((F.col("id") % 20).cast("int").alias("row"), (F.col("id") % 7).cast("int").alias("col"), F.lit(1.0).alias("val"))
+    for got, want in ((X.summed(rows, 31), X.summed(rows)), (X.symmetric(rows, parts=31), X.symmetric(rows)), (X.add(rows, X.transpose(rows), 2.0, -1.0, 31), X.add(rows, X.transpose(rows), 2.0, -1.0))):
+        assert "hashpartitioning(row#" in plan(got) and ", 31)" in plan(got)
+        assert sorted(got.collect()) == sorted(want.collect())
