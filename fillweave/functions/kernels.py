@@ -87,6 +87,34 @@ def bisect(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight
     return best
 
 
+def merged(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
+    """For each vertex the smallest one of its group; groups grow along heavy edges between light ones and weigh at most `most`.
+
+    In each round the groups merge that want each other; ties go by a hash of the pair.
+    """
+    name, size, wanted = np.arange(n), weight.copy(), np.full(n, -1)
+    turn = 0
+    while True:
+        turn += 1
+        some = (u != v) & (size[u] + size[v] <= most)
+        u, v, edge_weight = u[some], v[some], edge_weight[some]
+        if not len(u):
+            return name
+        tie = (np.minimum(u, v) * 7919 + np.maximum(u, v) * 104_729 + 15_485_863 * turn) % 1_000_003
+        order = np.lexsort((v, tie * (tie + 31) % 1_000_003, edge_weight**2 / (size[u] * size[v]), u))
+        x = order[np.append(u[order][1:] != u[order][:-1], True)]
+        wanted[u[x]] = v[x]
+        a = u[x][(wanted[v[x]] == u[x]) & (u[x] < v[x])]
+        if not len(a):
+            return name
+        up = np.arange(n)
+        up[wanted[a]] = a
+        size[a] += size[wanted[a]]
+        name = up[name]
+        pair, at = np.unique(up[u] * n + up[v], return_inverse=True)
+        edge_weight, u, v = np.bincount(at, weights=edge_weight), pair // n, pair % n
+
+
 def _improved(ptr: np.ndarray, adj: np.ndarray, ew: np.ndarray, weight: np.ndarray, side: np.ndarray, least: float, passes: int = 8) -> np.ndarray:
     """Sides after moves of the vertex of highest gain, each vertex once a pass; a pass ends at its best state."""
     n = len(weight)

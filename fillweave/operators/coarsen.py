@@ -1,10 +1,11 @@
 """Bisection of graphs that no task can hold: multilevel coarsening by joins.
 
 Vertices are merged along heavy edges, round by round, until each region's coarse graph fits into
-a task, where a kernel parts it in two. On the way back each finer graph takes its sides from the
+a task, where a kernel parts it in two. Where most edges lead to near ids, a round merges groups of about
+sixteen vertices within ranges of ids, a task for each; else it merges about two by joins. On the way back each finer graph takes its sides from the
 coarser one and moves vertices of its border whose edges mostly lead across. The smaller border of
 the finest graph is the separator. All regions are worked on at once; every round works on a
-graph of little more than half the vertices of the last.
+graph of little more than half the vertices of the last, or less.
 
 Tables: nodes(hmd_id, v, w) and edges(hmd_id, u, v, w), w the number of vertices or edges that a
 coarse one stands for.
@@ -18,12 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..plans.lineage import Scratch, cut
+from ..plans.lineage import Scratch, cut, large
 
 #: Directed edges of a coarse graph that a task parts.
 COARSE_EDGES = 100_000
 #: The prime below which ids are scattered; ties between edges of equal weight are broken so.
 PRIME = 1_000_003
+#: Ids of a range whose vertices one task merges, and how many times as many the next round takes.
+RANGE, MERGED = 1 << 16, 16
+#: Directed edges within a range up to which a task merges it.
+RANGE_EDGES = 4_000_000
 
 
 def scattered(a: Column, b: Column, seed: int) -> Column:
@@ -51,11 +56,12 @@ def matching(edges: DataFrame, seed: int, scratch: Scratch, rounds: int = 2) ->
     What is then left merges with others that want the same neighbour, in groups of about two
     told by a hash: so a hub's many leaves merge with each other.
     """
+    edges = large(edges)
     found, free = None, edges
     for k in range(rounds):
         pairs = mutual(proposals(free, rounds * seed + k))
         both = scratch.table(pairs.select(F.col("a").alias("v"), F.col("a").alias("to")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("to"))))
-        found = both if found is None else found.union(both)
+        found = large(both if found is None else found.union(both))
         if k < rounds - 1:
             taken = both.select("v")
             free = scratch.table(free.join(taken.withColumnRenamed("v", "u"), "u", "left_anti").join(taken, "v", "left_anti"))
@@ -66,6 +72,28 @@ def matching(edges: DataFrame, seed: int, scratch: Scratch, rounds: int = 2) ->
     return found.union(rest.join(heads, ["to", "g"]).select("v", F.col("head").alias("to")))
 
 
+def range_edges(edges: DataFrame, width: int) -> DataFrame:
+    """hmd_id, at, u, v, w of the edges within a range of ids; ranges of more than RANGE_EDGES are left out."""
+    inside = edges.withColumn("at", F.expr(f"u div {width}")).where(f"at = v div {width}")
+    few = inside.groupBy("hmd_id", "at").agg(F.count("*").alias("n")).where(F.col("n") <= RANGE_EDGES).drop("n")
+    return large(inside).join(few, ["hmd_id", "at"], "left_semi").select("hmd_id", "at", "u", "v", "w")
+
+
+def range_groups(nodes: DataFrame, inside: DataFrame, width: int) -> DataFrame:
+    """v, to: the smallest vertex of the group that each one belongs to, groups of about MERGED in a range, a task for each range."""
+
+    def run(key, vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        vertices = vertices.sort_values("v")
+        ids = vertices["v"].to_numpy()
+        u, v = np.searchsorted(ids, near["u"].to_numpy()), np.searchsorted(ids, near["v"].to_numpy())
+        weight = vertices["w"].to_numpy().astype(float)
+        return pd.DataFrame({"v": ids, "to": ids[kernels.merged(len(ids), u, v, near["w"].to_numpy().astype(float), weight, MERGED * weight.mean())]})
+
+    left = nodes.select(F.col("hmd_id").alias("region"), F.expr(f"v div {width}").alias("of"), "v", "w").groupBy("region", "of")
+    right = inside.select(F.col("hmd_id").alias("near"), "at", "u", "v", "w").groupBy("near", "at")
+    return large(left.cogroup(right).applyInPandas(run, "v long, to long"))
+
+
 def contracted(nodes: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(map(v, to) of all nodes, coarse nodes, coarse edges) once the groups are merged."""
     to = scratch.table(nodes.join(groups, "v", "left").select("hmd_id", "v", F.coalesce("to", "v").alias("to"), "w"))
@@ -127,17 +155,29 @@ def refined(nodes: DataFrame, edges: DataFrame, sides: DataFrame, scratch: Scrat
 
 def bisected(nodes: DataFrame, edges: DataFrame, scratch: Scratch, coarse_edges: int = COARSE_EDGES) -> DataFrame:
     """hmd_id, v, side (0 or 1) of all nodes, by coarsening, a kernel, and refinement on the way back."""
-    levels, seed = [], 0
+    levels, seed, width = [], 0, RANGE
     while True:
         sizes = edges.groupBy("hmd_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse_edges)
-        large = F.broadcast(scratch.table(sizes.select("hmd_id")))  # tree nodes
-        if large.isEmpty():
+        open_regions = scratch.table(sizes)
+        total = open_regions.agg(F.sum("n")).first()[0]
+        if total is None:
             break
-        before = nodes.count()
-        up, coarse, between = contracted(nodes, edges, matching(edges.join(large, "hmd_id", "left_semi"), seed, scratch), scratch)
+        some = F.broadcast(open_regions.select("hmd_id"))  # tree nodes
+        before, mine = nodes.count(), edges.join(some, "hmd_id", "left_semi")
+        groups = None
+        if width:
+            inside = scratch.table(range_edges(mine, width))
+            if 2 * inside.count() >= total:
+                groups = range_groups(nodes.join(some, "hmd_id", "left_semi"), inside, width)
+            width = width * MERGED if groups is not None else 0
+        by_range = groups is not None
+        up, coarse, between = contracted(nodes, edges, groups if by_range else matching(mine, seed, scratch), scratch)
         levels.append((nodes, edges, up))
         nodes, edges, seed = coarse, between, seed + 1
-        if nodes.count() > 0.98 * before:
+        left = nodes.count()
+        if by_range and left > 0.6 * before:
+            width = 0  # a hub's leaves, for one, have nothing to merge with in a range
+        elif left > 0.98 * before:
             break  # so dense that merging doesn't help: the kernel takes it as it is
     sides = scratch.table(_unlinked(nodes, scratch.table(_parted(nodes, edges))))
     for fine, near, up in reversed(levels):

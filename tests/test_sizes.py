@@ -1,8 +1,11 @@
 """Plans that don't depend on the size of compressed files, and products that throw nothing."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fillweave.functions import kernels
+from fillweave.operators import coarsen
 from fillweave.operators import decompose as D
 from fillweave.operators import matrix as X
 from fillweave.operators import mesh as M
@@ -65,3 +68,63 @@ def test_sums_in_parts(spark, monkeypatch):
     for got, want in ((X.summed(rows, 31), X.summed(rows)), (X.symmetric(rows, parts=31), X.symmetric(rows)), (X.add(rows, X.transpose(rows), 2.0, -1.0, 31), X.add(rows, X.transpose(rows), 2.0, -1.0))):
         assert "hashpartitioning(row#" in plan(got) and ", 31)" in plan(got)
         assert sorted(got.collect()) == sorted(want.collect())
+
+
+def _path_of_rows(spark, n, m):
+    """A grid whose ids go row by row: regions(hmd_id, v), inside(hmd_id, u, v)."""
+    at = [(x, y) for x in range(n) for y in range(m)]
+    pairs = [(m * x + y, m * (x + a) + y + b) for x, y in at for a, b in ((1, 0), (0, 1)) if x + a < n and y + b < m]
+    rows = [(0, a, b) for a, b in pairs] + [(0, b, a) for a, b in pairs]
+    return spark.range(n * m).select(F.lit(0).alias("hmd_id"), F.col("id").alias("v")), spark.createDataFrame(rows, "hmd_id int, u long, v long")
+
+
+def test_groups_are_not_broadcast(spark):
+    """What a matching has found, a table that grows with the graph, is joined by shuffles, also where regions were chosen before."""
+    regions, inside = _path_of_rows(spark, 20, 10)
+    some = F.broadcast(regions.select("hmd_id").distinct())
+    with Scratch(spark) as scratch:
+        edges = scratch.table(inside.withColumn("w", F.lit(1))).join(some, "hmd_id", "left_semi")
+        seen = []
+        write = scratch.table
+        scratch.table = lambda df: seen.append(plan(df)) or write(df)
+        last = coarsen.matching(edges, 0, scratch)
+    assert len(seen) == 4
+    # the one broadcast is that of the regions; plans end with the tables that are named before
+    assert max(p.count("BroadcastHashJoin") for p in [*seen, plan(last)]) <= 1
+
+
+def test_ranges_of_ids_merge_in_tasks(spark, monkeypatch):
+    """A graph whose edges lead to near ids is coarsened by ranges, without a matching by joins, and parted well."""
+
+    def rounds(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(coarsen, "matching", rounds)
+    monkeypatch.setattr(coarsen, "RANGE", 256)
+    regions, inside = _path_of_rows(spark, 80, 12)
+    got = coarsen.coarse_separators(regions, inside, 300).toPandas()
+    side = got.set_index("v")["side"]
+    pairs = inside.toPandas()
+    assert len(side) == 960 and not (side[pairs["u"]].to_numpy() + side[pairs["v"]].to_numpy() == 1).any()
+    assert (side == 2).sum() <= 24 and min((side == 0).sum(), (side == 1).sum()) >= 320
+
+
+def test_dense_ranges_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(coarsen, "RANGE_EDGES", 10)
+    _, inside = _path_of_rows(spark, 4, 2)
+    edges = inside.withColumn("w", F.lit(1))
+    assert {r["at"] for r in coarsen.range_edges(edges.where("u < 4 and v < 4 or u >= 4 and v >= 4"), 4).collect()} == {0, 1}
+    assert coarsen.range_edges(edges, 8).isEmpty()
+
+
+def test_merged_groups():
+    """Groups are connected, weigh no more than they may, and most vertices have one."""
+    n, m = 40, 10
+    ids = np.arange(n * m).reshape(n, m)
+    pairs = np.concatenate([np.stack([ids[1:].ravel(), ids[:-1].ravel()]), np.stack([ids[:, 1:].ravel(), ids[:, :-1].ravel()])], axis=1)
+    u, v = np.concatenate([pairs, pairs[::-1]], axis=1)
+    name = kernels.merged(n * m, u, v, np.ones(len(u)), np.ones(n * m), 16.0)
+    assert (name <= np.arange(n * m)).all() and (name[name] == name).all()
+    assert np.bincount(name).max() <= 16 and len(np.unique(name)) <= n * m / 8
+    same = name[u] == name[v]
+    assert (kernels.components(n * m, u[same], v[same]) == name).all()
