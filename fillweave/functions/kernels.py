@@ -7,11 +7,18 @@ import heapq
 import numpy as np
 
 
-def _csr(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def csr(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each vertex's neighbours begin, and all neighbours."""
     order = np.lexsort((v, u))
     return np.searchsorted(u[order], np.arange(n + 1)), v[order]
 
 
+def gathered(ptr: np.ndarray, adj: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """The neighbours of all vertices of a front, one after another."""
+    n = ptr[front + 1] - ptr[front]
+    return adj[np.repeat(ptr[front] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
 def _levels(ptr: np.ndarray, adj: np.ndarray, root: int, depth: np.ndarray) -> list[np.ndarray]:
     """Breadth-first levels from root over vertices whose depth is -1; fills in their depth."""
     depth[root] = 0
@@ -32,7 +39,7 @@ def level_separator(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     found by two sweeps from its smallest vertex; other components go whole to the lighter side,
     larger ones first.
     """
-    ptr, adj = _csr(n, u, v)
+    ptr, adj = csr(n, u, v)
     depth = np.full(n, -1)
     parts = []
     for s in range(n):
@@ -160,7 +167,7 @@ def minimum_degree(n: int, u: np.ndarray, v: np.ndarray, groups: list[np.ndarray
 
     Each of the groups is a clique that earlier eliminations left behind.
     """
-    ptr, adj = _csr(n, u, v)
+    ptr, adj = csr(n, u, v)
     plain = [set(adj[ptr[i] : ptr[i + 1]].tolist()) for i in range(n)]
     cliques: list[set[int]] = [set() for _ in range(n)]
     members: dict[int, set[int]] = {n + k: set(g.tolist()) for k, g in enumerate(groups)}
@@ -266,7 +273,7 @@ def factor_columns(n: int, u: np.ndarray, v: np.ndarray, own: int) -> tuple[np.n
     of one and the next takes back what both add, and a row's own path ends at it. So columns are
     sums over subtrees, and no entry of the factor is visited.
     """
-    ptr, adj = _csr(n, u, v)
+    ptr, adj = csr(n, u, v)
     near = [adj[ptr[k] : ptr[k + 1]].tolist() for k in range(n)]
     parent, jump = [-1] * n, [-1] * n
     for k in range(n):

@@ -41,3 +41,26 @@ def test_chain(spark):
     assert {r["new_v"]: r["old_v"] for r in got.collect()} == want
     with pytest.raises(ValueError, match="no map"):
         patches.composed_chain([])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.6, 1.0])
+def test_patch_across_ranges(spark, share):
+    """Rings that go back and forth between ranges of ids, as shuffled ids make them, are those of a search face by face."""
+    rng = random.Random(7)
+    ids = rng.sample(range(-60, 200), 120)
+    faces = {f: (i, i + 1, i + 2) for i, f in enumerate(ids[:70])} | {f: tuple(rng.sample(range(72, 110), 3)) for f in ids[70:]}
+    table = spark.createDataFrame([(f, *vs) for f, vs in faces.items()], "f int, a int, b int, c int")
+    got = patches.patch(table, spark.createDataFrame([(ids[4],), (ids[80],)], "f int"), share, 40)
+    assert {r["f"]: r["ring"] for r in got.collect()} == rings(faces, [ids[4], ids[80]], share)
+
+
+def test_rounds_of_long_strips(spark, monkeypatch):
+    """A strip of 600 rings in three ranges of ids takes a few tables, not some for each ring."""
+    made = []
+    table = patches.Scratch.table
+    monkeypatch.setattr(patches.Scratch, "table", lambda self, df: made.append(1) or table(self, df))
+    faces = {i: (i, i + 1, i + 1) for i in range(600)}
+    strip = spark.createDataFrame([(f, *vs) for f, vs in faces.items()], "f int, a int, b int, c int")
+    got = patches.patch(strip, spark.createDataFrame([(0,)], "f int"), 1.0, 200)
+    assert {r["f"]: r["ring"] for r in got.collect()} == {i: i for i in range(600)}
+    assert len(made) <= 25
