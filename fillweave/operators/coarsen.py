@@ -67,7 +67,7 @@ def matching(edges: DataFrame, seed: int, scratch: Scratch, rounds: int = 2) ->
             free = scratch.table(free.join(taken.withColumnRenamed("v", "u"), "u", "left_anti").join(taken, "v", "left_anti"))
     rest = scratch.table(proposals(edges, seed).join(found.select(F.col("v").alias("u")), "u", "left_anti"))
     wanted = rest.groupBy("to").agg(F.ceil(F.count("*") / 2).alias("groups"))
-    rest = rest.join(wanted, "to").select(F.col("u").alias("v"), "to", F.pmod(F.xxhash64("u"), F.col("groups")).alias("g"))
+    rest = large(rest.join(wanted, "to").select(F.col("u").alias("v"), "to", F.pmod(F.xxhash64("u"), F.col("groups")).alias("g")))
     heads = rest.groupBy("to", "g").agg(F.min("v").alias("head"))
     return found.union(rest.join(heads, ["to", "g"]).select("v", F.col("head").alias("to")))
 

@@ -19,16 +19,36 @@ from ..plans.lineage import Scratch, cut, large
 BLOCK = 1 << 16
 #: Directed edges whose components one task names.
 TASK_EDGES = 4_000_000
+#: Directed edges above which ranges of ids are contracted before all others; one task is as soon done with less.
+RANGED = 1_000_000
 
 
-def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def _range_names(edges: DataFrame, width: int) -> DataFrame:
+    """u, name: the smallest vertex of the part that each end of an edge is in, by the edges within its range of ids, a task for each range.
+
+    Vertices in no such edge have no row; nor have those of ranges of more than TASK_EDGES edges.
+    """
+
+    def run(near: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(near[["u", "v"]].to_numpy(), return_inverse=True)
+        u, v = at.reshape(-1, 2).T
+        return pd.DataFrame({"u": ids, "name": ids[kernels.components(len(ids), u, v)]})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    inside = edges.withColumn("at", F.expr(f"u div {width}")).where(f"at = v div {width} and u < v")
+    few = inside.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") <= TASK_EDGES).drop("n")
+    return large(inside).join(few, "at", "left_semi").groupBy("at").applyInPandas(run, f"u {kind}, name {kind}")
+
+
+def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES, width: int | None = None) -> DataFrame:
     """v, comp: the smallest vertex of its connected component.
 
     In each round vertices stand in a random order and every one takes the name of its first
     neighbour, if that comes before itself; such chains are short, and names are followed four
     steps. The edges are contracted to the names: what is settled is gone, and about a third of the
     vertices are left, of a path as of any other graph. At most task_edges edges are left to one
-    task. Names are put together on the way back.
+    task. Names are put together on the way back. With a `width` edges within ranges of so many ids are
+    contracted first, a task for each range, which helps where most edges lead to near ids.
     """
 
     def rest(near: pd.DataFrame) -> pd.DataFrame:
@@ -39,6 +59,13 @@ def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDG
     with Scratch(vertices.sparkSession) as scratch:
         left, rounds = scratch.table(edges.select("u", "v").where("u <> v").distinct()), []
         kind = left.schema["u"].dataType.simpleString()
+        if width and left.count() > min(task_edges, RANGED):
+            near = _range_names(left, width)
+            ends = left.select("u").distinct()
+            hook = scratch.table(ends.join(near, "u", "left").select("u", F.coalesce("name", "u").alias("name")))
+            rounds.append(hook)
+            a, b = hook.select("u", F.col("name").alias("a")), hook.select(F.col("u").alias("v"), F.col("name").alias("b"))
+            left = scratch.table(left.join(a, "u").join(b, "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         while left.count() > task_edges:
             place = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("x"))
             first = left.groupBy("u").agg(F.min(place("v")).alias("first"))
@@ -119,7 +146,7 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
             lower = pairs.where(f"(u div {width}) % 2 = 0")
             inside = lower.where(f"u div {width} = v div {width}")
             below = positions.where(f"(v div {width}) % 2 = 0")
-            named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v")) if width > block else _block_components(below, inside, block)
+            named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v"), width=block) if width > block else _block_components(below, inside, block)
             across = lower.where(f"u div {width} <> v div {width}")
             reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
             # a part whose first neighbour is beyond the upper half has been told of in an earlier round

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fillweave.functions import kernels
-from fillweave.operators import coarsen
+from fillweave.operators import coarsen, factor
 from fillweave.operators import decompose as D
 from fillweave.operators import matrix as X
 from fillweave.operators import mesh as M
@@ -90,7 +90,8 @@ def test_groups_are_not_broadcast(spark):
         last = coarsen.matching(edges, 0, scratch)
     assert len(seen) == 4
     # the one broadcast is that of the regions; plans end with the tables that are named before
-    assert max(p.count("BroadcastHashJoin") for p in [*seen, plan(last)]) <= 1
+    assert max(p.count("BroadcastHashJoin") for p in seen) <= 1
+    assert "BroadcastHashJoin" not in plan(last)
 
 
 def test_ranges_of_ids_merge_in_tasks(spark, monkeypatch):
@@ -128,3 +129,18 @@ def test_merged_groups():
     assert np.bincount(name).max() <= 16 and len(np.unique(name)) <= n * m / 8
     same = name[u] == name[v]
     assert (kernels.components(n * m, u[same], v[same]) == name).all()
+
+
+def test_components_by_ranges(spark, monkeypatch):
+    """With ranges contracted first few edges are left to name, and names are the same; ranges of too many edges go with the rest."""
+    _, inside = _path_of_rows(spark, 40, 5)
+    edges = inside.where("u <> 60 and v <> 60 and not (u div 5 = 20 or v div 5 = 20)").select("u", "v")
+    vertices = spark.range(200).withColumnRenamed("id", "v")
+    want = sorted(factor.components(vertices, edges).collect())
+    monkeypatch.setattr(factor, "RANGED", 0)
+    named = factor._range_names(edges, 50).collect()
+    assert len({r["name"] for r in named}) == 5 and len(named) > 180
+    assert sorted(factor.components(vertices, edges, 1 << 20, 50).collect()) == want
+    monkeypatch.setattr(factor, "TASK_EDGES", 10)
+    assert factor._range_names(edges, 50).isEmpty()
+    assert sorted(factor.components(vertices, edges, 1 << 20, 50).collect()) == want
