@@ -79,15 +79,18 @@ def range_edges(edges: DataFrame, width: int) -> DataFrame:
     return large(inside).join(few, ["hmd_id", "at"], "left_semi").select("hmd_id", "at", "u", "v", "w")
 
 
-def range_groups(nodes: DataFrame, inside: DataFrame, width: int) -> DataFrame:
-    """v, to: the smallest vertex of the group that each one belongs to, groups of about MERGED in a range, a task for each range."""
+def range_groups(nodes: DataFrame, inside: DataFrame, width: int, most: float = float("inf")) -> DataFrame:
+    """v, to: the smallest vertex of the group that each one belongs to, groups of about MERGED in a range, a task for each range.
+
+    Groups are connected, and those of several vertices weigh at most `most`.
+    """
 
     def run(key, vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         vertices = vertices.sort_values("v")
         ids = vertices["v"].to_numpy()
         u, v = np.searchsorted(ids, near["u"].to_numpy()), np.searchsorted(ids, near["v"].to_numpy())
         weight = vertices["w"].to_numpy().astype(float)
-        return pd.DataFrame({"v": ids, "to": ids[kernels.merged(len(ids), u, v, near["w"].to_numpy().astype(float), weight, MERGED * weight.mean())]})
+        return pd.DataFrame({"v": ids, "to": ids[kernels.merged(len(ids), u, v, near["w"].to_numpy().astype(float), weight, min(most, MERGED * weight.mean()))]})
 
     left = nodes.select(F.col("hmd_id").alias("region"), F.expr(f"v div {width}").alias("of"), "v", "w").groupBy("region", "of")
     right = inside.select(F.col("hmd_id").alias("near"), "at", "u", "v", "w").groupBy("near", "at")

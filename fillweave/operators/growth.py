@@ -2,7 +2,8 @@
 
 Every part keeps a spanning tree: a vertex joins under a neighbour that is in the part, and only
 leaves of a tree move to another part. So each part stays connected whatever moves. Graphs that a
-task can hold are parted in one, larger ones by joins, a round for each ring of vertices.
+task can hold are parted in one. Larger ones are coarsened to that size by connected groups, whose
+parts are connected as well; where that fails they are parted by joins, a round for each ring of vertices.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch, cut
+from .coarsen import MERGED, RANGE, contracted, mutual, proposals, range_edges, range_groups
 from .decompose import TASK_EDGES
 
 
@@ -119,10 +121,65 @@ def balanced(scratch: Scratch, at: DataFrame, edges: DataFrame, tolerance: float
     return at
 
 
-def grown_in_task(near: pd.DataFrame, seeds: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+def coarsened(scratch: Scratch, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: float, task_edges: int) -> tuple[list[DataFrame], DataFrame, DataFrame] | None:
+    """(maps(v, to) from finer to coarser vertices, coarse nodes, coarse edges) of at most task_edges edges; None where merging stalls.
+
+    nodes(hmd_id, v, w), edges(hmd_id, u, v, w). Groups are connected and weigh at most `most`; seeds stay
+    alone, so that each part has its own.
+    """
+    maps, width, turn = [], RANGE, 0
+    alone = seeds.select("v")
+    while (total := edges.count()) > task_edges:
+        before = nodes.count()
+        free = edges.join(alone.withColumnRenamed("v", "u"), "u", "left_anti").join(alone, "v", "left_anti").select("hmd_id", "u", "v", "w")
+        groups = None
+        if width:
+            inside = scratch.table(range_edges(free, width))
+            if 2 * inside.count() >= total:
+                groups = range_groups(nodes, inside, width, most)
+            width = width * MERGED if groups is not None else 0
+        by_range = groups is not None
+        if not by_range:
+            a, b = nodes.select(F.col("v").alias("a"), F.col("w").alias("wa")), nodes.select(F.col("v").alias("b"), F.col("w").alias("wb"))
+            groups = mutual(proposals(free, turn)).join(a, "a").join(b, "b").where(F.col("wa") + F.col("wb") <= most).select(F.col("b").alias("v"), F.col("a").alias("to"))
+        up, nodes, edges = contracted(nodes, edges, groups, scratch)
+        maps.append(up)
+        turn += 1
+        left = nodes.count()
+        if by_range and left > 0.6 * before:
+            width = 0
+        elif left > 0.95 * before:
+            return None
+    return maps, nodes, edges
+
+
+def _by_groups(scratch: Scratch, all_v: DataFrame, near: DataFrame, seeds: DataFrame, parts: int, tolerance: float, task_edges: int) -> DataFrame | None:
+    """v, part by way of a coarse graph that one task parts; None if there is none."""
+    nodes = scratch.table(all_v.select(F.lit(0).alias("hmd_id"), "v", F.lit(1).cast("long").alias("w")))
+    edges = scratch.table(near.select(F.lit(0).alias("hmd_id"), "u", "v", F.lit(1).cast("long").alias("w")))
+    # a group is but a small share of what sizes may be off by
+    found = coarsened(scratch, nodes, edges, seeds, tolerance * nodes.count() / parts / 4, task_edges)
+    if found is None:
+        return None
+    maps, nodes, edges = found
+    ends = edges.select(F.col("u").alias("v")).union(seeds.select("v")).distinct()
+    rows = nodes.join(ends, "v", "left_semi").join(seeds, "v", "left").select("v", "w", "part").withColumn("one", F.lit(0))
+
+    def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        first = s[s["part"].notna()].astype({"part": int}).sort_values(["part", "v"])
+        return grown_in_task(e, first, tolerance, s.set_index("v")["w"])
+
+    both = edges.select("u", "v").withColumn("one", F.lit(0)).groupBy("one").cogroup(rows.groupBy("one"))
+    at = scratch.table(both.applyInPandas(run, "v long, part int"))
+    for up in reversed(maps):
+        at = scratch.table(up.join(at.withColumnRenamed("v", "to"), "to").select("v", "part"))
+    return at
+
+
+def grown_in_task(near: pd.DataFrame, seeds: pd.DataFrame, tolerance: float, weights: pd.Series | None = None) -> pd.DataFrame:
     """v, part of what the seeds reach, by the same rules vertex by vertex: the smallest part that can takes the next one.
 
-    Where no leaf can move, trees are hung anew.
+    Where no leaf can move, trees are hung anew. Sizes are sums of weights by vertex, 1 each if none are given.
     """
     ids, ends = np.unique(np.concatenate([near["u"], near["v"], seeds["v"]]).astype(np.int64), return_inverse=True)
     u, v, first = ends[: len(near)], ends[len(near) : 2 * len(near)], ends[2 * len(near) :]
@@ -130,11 +187,12 @@ def grown_in_task(near: pd.DataFrame, seeds: pd.DataFrame, tolerance: float) ->
     bounds = np.searchsorted(u[order], np.arange(len(ids) + 1))
     around = [x.tolist() for x in np.split(v[order], bounds[1:-1])]
     part, parent, below = [-1] * len(ids), [-1] * len(ids), [0] * len(ids)
-    size, waiting = {}, {}
+    size, members, waiting = {}, {}, {}
+    heft = [1] * len(ids) if weights is None else weights.reindex(ids).tolist()
 
     def take(x: int, p: int, under: int) -> None:
         part[x], parent[x] = p, under
-        size[p] = size.get(p, 0) + 1
+        size[p], members[p] = size.get(p, 0) + heft[x], members.get(p, 0) + 1
         waiting.setdefault(p, deque()).extend((y, x) for y in around[x] if part[y] < 0)
 
     for x, p in zip(first.tolist(), seeds["part"].tolist(), strict=True):
@@ -165,10 +223,10 @@ def grown_in_task(near: pd.DataFrame, seeds: pd.DataFrame, tolerance: float) ->
     def rehung() -> bool:
         """Hang a part's tree anew so that a vertex beside a smaller part is a leaf, that of the largest difference that can be one."""
         steps = ((size[part[x]] - min(size[part[y]] for y in around[x] if part[y] >= 0), x) for x in range(len(ids)) if part[x] >= 0 and around[x])
-        for _, x in sorted((k for k in steps if k[0] > 1), reverse=True):
+        for _, x in sorted((k for k in steps if k[0] > heft[k[1]]), reverse=True):
             # from the far end, so that more leaves are on this side
             tree = reached(next(reversed(reached(x))), x)
-            if len(tree) == size[part[x]] - 1:
+            if len(tree) == members[part[x]] - 1:
                 tree[x] = next(y for y in around[x] if y in tree)
                 for y in tree:
                     below[y] = 0
@@ -186,11 +244,12 @@ def grown_in_task(near: pd.DataFrame, seeds: pd.DataFrame, tolerance: float) ->
             if a < 0 or below[x] or parent[x] == x:
                 continue
             n, b, under = min(((size[part[y]], part[y], y) for y in around[x] if part[y] != a), default=(size[a], a, x))
-            if size[a] > n + 1:
+            if size[a] > n + heft[x]:
                 below[parent[x]] -= 1
                 below[under] += 1
                 part[x], parent[x], moved = b, under, True
-                size[a], size[b] = size[a] - 1, n + 1
+                size[a], size[b] = size[a] - heft[x], n + heft[x]
+                members[a], members[b] = members[a] - 1, members[b] + 1
         moved = moved or rehung()
     done = np.array(part)
     return pd.DataFrame({"v": ids[done >= 0], "part": done[done >= 0]})
@@ -217,6 +276,6 @@ def growth_partition(vertices: DataFrame, edges: DataFrame, parts: int, seeds: D
         if near.count() <= task_edges:
             both = near.withColumn("one", F.lit(0)).groupBy("one").cogroup(first.withColumn("one", F.lit(0)).groupBy("one"))
             at = both.applyInPandas(lambda e, s: grown_in_task(e, s, tolerance), "v long, part int")
-        else:
+        elif (at := _by_groups(scratch, all_v, near, first, parts, tolerance, task_edges)) is None:
             at = balanced(scratch, grown(scratch, near, first, -(-all_v.count() // parts)), near, tolerance, rounds)
         return cut(all_v.join(at, "v", "left").select("v", F.coalesce("part", F.lit(-1)).alias("part")))

@@ -93,3 +93,28 @@ def test_random_graphs(spark):
 def test_wrong_number(spark):
     with pytest.raises(ValueError, match="parts"):
         growth.growth_partition(spark.range(3).selectExpr("id v"), spark.createDataFrame([], "u long, v long"), 0)
+
+
+def test_parts_of_a_coarse_graph(spark, monkeypatch):
+    """A graph too large for a task is parted by way of connected groups, without a round for each ring: each part is connected, near the mean, and has begun at its seed."""
+    import numpy as np
+
+    from fillweave.functions import kernels
+
+    def rounds(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(growth, "grown", rounds)
+    n, m = 80, 10
+    ids = np.arange(n * m).reshape(n, m)
+    pairs = np.concatenate([np.stack([ids[1:].ravel(), ids[:-1].ravel()]), np.stack([ids[:, 1:].ravel(), ids[:, :-1].ravel()])], axis=1)
+    u, v = np.concatenate([pairs, pairs[::-1]], axis=1)
+    edges = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u long, v long")
+    vertices = spark.range(n * m + 3).withColumnRenamed("id", "v")
+    seeds = spark.createDataFrame([(0, 0), (1, 1), (799, 2), (400, 3)], "v long, part int")
+    got = growth.growth_partition(vertices, edges, 4, seeds, 0.2, task_edges=1000).toPandas().sort_values("v")["part"].to_numpy()
+    assert (got[n * m :] == -1).all()
+    got = got[: n * m]
+    same = got[u] == got[v]
+    assert len(np.unique(kernels.components(n * m, u[same], v[same]))) == 4 and set(got) == {0, 1, 2, 3}
+    assert np.abs(np.bincount(got) - 200).max() <= 40

@@ -139,7 +139,7 @@ def test_components_by_ranges(spark, monkeypatch):
     want = sorted(factor.components(vertices, edges).collect())
     monkeypatch.setattr(factor, "RANGED", 0)
     named = factor._range_names(edges, 50).collect()
-    assert len({r["name"] for r in named}) == 5 and len(named) > 180
+    assert len({r["name"] for r in named}) == 4 and len(named) > 180
     assert sorted(factor.components(vertices, edges, 1 << 20, 50).collect()) == want
     monkeypatch.setattr(factor, "TASK_EDGES", 10)
     assert factor._range_names(edges, 50).isEmpty()
