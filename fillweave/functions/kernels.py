@@ -65,6 +65,27 @@ def level_separator(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return side
 
 
+def dissected(n: int, u: np.ndarray, v: np.ndarray, node: int, levels: int) -> np.ndarray:
+    """The tree node of each vertex once the region at `node` is split by level separators down to `levels`; regions without edges stay."""
+    at = np.full(n, node)
+    regions = [(node, np.arange(n), u, v)]
+    for _ in range((node + 1).bit_length() - 1, levels):
+        lower = []
+        for top, own, a, b in regions:
+            if not len(a):
+                continue
+            side = level_separator(len(own), a, b)
+            local = np.empty(len(own), dtype=np.int64)
+            for s in (0, 1):
+                mine = np.flatnonzero(side == s)
+                local[mine] = np.arange(len(mine))
+                inside = (side[a] == s) & (side[b] == s)
+                lower.append((2 * top + 1 + s, own[mine], local[a[inside]], local[b[inside]]))
+                at[own[mine]] = 2 * top + 1 + s
+        regions = lower
+    return at
+
+
 def bisect(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight: np.ndarray, starts: int = 4, least_share: float = 0.42) -> np.ndarray:
     """A side (0 or 1) for each vertex, with few weighted edges between sides of about equal weight.
 

@@ -2,8 +2,8 @@
 
 State: `regions(v, hmd_id)` says which tree node each vertex is at. In each level all open
 regions are split at once: those of many edges by multilevel coarsening (coarsen.py), smaller ones
-by the level structure of a breadth-first search inside a grouped task. Either way no edge joins
-the two halves.
+by the level structure of a breadth-first search inside a grouped task, which goes down all levels
+that are left where the region is small enough. Either way no edge joins the two halves.
 """
 
 from __future__ import annotations
@@ -47,6 +47,16 @@ def _split_small(key, vertices: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame({"hmd_id": key[0], "v": ids, "side": kernels.level_separator(len(ids), u, v)})
 
 
+def _descended(vertices: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
+    """v, to: the node that each vertex of these regions ends at, all levels of a region in one task."""
+
+    def run(key, own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        ids, u, v = _local(own, near)
+        return pd.DataFrame({"v": ids, "to": kernels.dissected(len(ids), u, v, int(key[0]), levels)})
+
+    return _per_region(vertices, edges, run, "v int, to int")
+
+
 def separators(regions: DataFrame, inside: DataFrame, task_edges: int = PARTED * TASK_EDGES) -> DataFrame:
     """hmd_id, v, side (0 left, 1 right, 2 separator) of all regions that have edges.
 
@@ -73,17 +83,26 @@ def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int
     region without edges, or at the last level, stays as it is.
     """
     state = cut(regions.select(F.col("v").cast("int").alias("v"), F.col("hmd_id").cast("int").alias("hmd_id"), F.lit(False).alias("closed")))
+    near = edges
     for depth in range(levels):
         here = state.where(~F.col("closed") & (T.level("hmd_id") == depth))
-        inside = M.region_edges(edges, here)
-        if inside.isEmpty():
+        if here.isEmpty():
+            continue
+        # edges that no open region has now are in none below it, so the next level needs only these
+        near = cut(M.region_edges(near, state.where(~F.col("closed"))))
+        inside = near.where(T.level("hmd_id") == depth)
+        near = near.select("u", "v")
+        sizes = cut(inside.groupBy("hmd_id").agg(F.count("*").alias("n")))  # tree nodes
+        if sizes.isEmpty():
             continue
-        inside = cut(inside)
-        sides = separators(here, inside, task_edges).select("v", "side")
-        moved = state.join(sides, "v", "left")
-        at = F.when(F.col("side") == 0, 2 * F.col("hmd_id") + 1).when(F.col("side") == 1, 2 * F.col("hmd_id") + 2).otherwise(F.col("hmd_id"))
-        closed = F.col("closed") | (F.col("side") == 2) | (F.col("side").isNull() & (T.level("hmd_id") == depth))
-        state = cut(moved.select("v", at.cast("int").alias("hmd_id"), closed.alias("closed")))
+        whole, rest = (F.broadcast(sizes.where(x).select("hmd_id")) for x in (F.col("n") <= task_edges // PARTED, F.col("n") > task_edges // PARTED))
+        to = _descended(here.join(whole, "hmd_id", "left_semi"), inside.join(whole, "hmd_id", "left_semi"), levels).withColumn("end", F.lit(True))
+        if not rest.isEmpty():
+            sides = separators(here.join(rest, "hmd_id", "left_semi"), inside.join(rest, "hmd_id", "left_semi"), task_edges)
+            at = F.when(F.col("side") == 0, 2 * F.col("hmd_id") + 1).when(F.col("side") == 1, 2 * F.col("hmd_id") + 2).otherwise(F.col("hmd_id"))
+            to = to.union(sides.select("v", at.cast("int"), F.col("side") == 2))
+        closed = F.col("closed") | F.coalesce("end", T.level("hmd_id") == depth)
+        state = cut(state.join(to, "v", "left").select("v", F.coalesce("to", "hmd_id").alias("hmd_id"), closed.alias("closed")))
     return state.select("v", "hmd_id")
 
 
@@ -96,7 +115,7 @@ def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", t
     """
     if method not in METHODS:
         raise ValueError(f"no such ordering method: {method}")
-    inside = M.region_edges(edges, regions)
+    inside = cut(M.region_edges(edges, regions))
     sizes = inside.groupBy("hmd_id").agg(F.count("*").alias("n"))
     large = cut(sizes.where(F.col("n") > task_edges))
 

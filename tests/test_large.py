@@ -197,3 +197,23 @@ def test_factor_of_large_random_graphs(spark):
     order = spark.createDataFrame([(p, c) for c, p in enumerate(place)], "new_pos int, v int")
     got = sorted(tuple(r) for r in factor.column_elimination_tree(spark.createDataFrame(rows, "row int, col int"), order, 16).select("v", "parent", "entries").collect())
     assert got == [(k, parent[k], counts[k]) for k in range(50)]
+
+
+def test_small_regions_go_down_all_levels_at_once(spark):
+    """The regions are those of separators taken level by level, and five levels cost no more jobs than a few joins."""
+    n, depth = 18, 5
+    vertices, edges, u, v = grid(spark, n, n)
+    sc = spark.sparkContext
+    sc.setJobGroup("levels", "levels")
+    got = D.decompose(vertices.select("v", F.lit(0).alias("hmd_id")), edges, depth).toPandas().sort_values("v")["hmd_id"].to_numpy()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("levels"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    want = np.zeros(n * n, dtype=np.int64)
+    for node in range(2**depth - 1):
+        own = np.flatnonzero(want == node)
+        inside = (want[u] == node) & (want[v] == node)
+        if inside.any():
+            side = kernels.level_separator(len(own), np.searchsorted(own, u[inside]), np.searchsorted(own, v[inside]))
+            want[own] = np.where(side == 2, node, 2 * node + 1 + side)
+    assert (got == want).all() and len(set(want)) > 40
+    assert jobs <= 40
