@@ -134,10 +134,15 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
     There are as many rounds as halvings down to blocks, each with one search for components; in
     the last one a half is a block, whose components one task names.
     """
+    return _factored(permutation, _numbered(permutation, edges).where("u < v"), block)
+
+
+def _factored(permutation: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """factor_columns() of edges(u, v) given by positions, u < v."""
     with Scratch(permutation.sparkSession) as scratch:
         positions = scratch.table(permutation.select(F.col("new_pos").cast("int").alias("v")))
         top = positions.agg(F.max("v")).first()[0]
-        pairs = scratch.table(_numbered(permutation, edges).where("u < v").distinct())
+        pairs = scratch.table(pairs.distinct())
         width = block
         while width <= (top or 0):
             width *= 2
@@ -156,22 +161,23 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
         return cut(_block_columns(positions, pairs, block))
 
 
-def column_stars(entries: DataFrame, permutation: DataFrame) -> DataFrame:
-    """Edges (u, v), both ways, of a graph of columns whose factor is that of A'A; entries(row, col) are A's.
+def column_stars(entries: DataFrame, permutation: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (u, v), u < v, by positions of a graph of columns whose factor is that of A'A; entries(row, col) are A's.
 
     A row makes a clique of its columns in A'A. Here it gives a star only, on the one of its columns
     that comes first in the order: its elimination makes the clique. So A'A is never formed, and
     there are less edges than entries.
     """
-    at = entries.select("row", "col").distinct().join(permutation.select(F.col("v").alias("col"), "new_pos"), "col")
-    first = at.groupBy("row").agg(F.min(F.struct("new_pos", "col"))["col"].alias("first"))
-    star = at.join(first, "row").where("col <> first").select(F.col("first").alias("u"), F.col("col").alias("v")).distinct()
-    return star.union(star.select("v", "u"))
+    order = large(permutation.select(F.col("v").alias("col"), F.col("new_pos").cast("int").alias("v")))
+    at = scratch.table(entries.select("row", "col").distinct().join(order, "col").select("row", "v"))
+    first = at.groupBy("row").agg(F.min("v").alias("u"))
+    return at.join(first, "row").where("u < v").select("u", "v").distinct()
 
 
 def column_elimination_tree(entries: DataFrame, permutation: DataFrame, block: int = BLOCK) -> DataFrame:
     """v, parent, entries of the factor of A'A by positions of the columns, as factor_columns() gives them."""
-    return factor_columns(permutation, column_stars(entries, permutation), block)
+    with Scratch(permutation.sparkSession) as scratch:
+        return _factored(permutation, column_stars(entries, permutation, scratch), block)
 
 
 def fundamental_supernodes(columns: DataFrame) -> DataFrame:

@@ -199,6 +199,17 @@ def test_factor_of_large_random_graphs(spark):
     assert got == [(k, parent[k], counts[k]) for k in range(50)]
 
 
+def test_column_stars_have_each_edge_once(spark):
+    """By positions, from the first column of a row to its others: no reverse, and no join to number them again."""
+    from fillweave.operators import factor
+
+    rows, place = [(0, 3), (0, 1), (0, 2), (1, 2), (1, 3), (2, 0), (3, 1), (3, 3)], [2, 3, 1, 0]
+    order = spark.createDataFrame([(p, c) for c, p in enumerate(place)], "new_pos int, v int")
+    with Scratch(spark) as scratch:
+        got = sorted(tuple(r) for r in factor.column_stars(spark.createDataFrame(rows, "row int, col int"), order, scratch).collect())
+    assert got == [(0, 1), (0, 3)]
+
+
 def test_small_regions_go_down_all_levels_at_once(spark):
     """The regions are those of separators taken level by level, and five levels cost no more jobs than a few joins."""
     n, depth = 18, 5
