@@ -80,6 +80,7 @@ def components(vertices: DataFrame, edges: DataFrame, task_edges: int = TASK_EDG
         for hook in reversed(rounds):
             higher = hook.join(above.select(F.col("u").alias("name"), F.col("name").alias("top")), "name", "left")
             above = higher.select("u", F.coalesce("top", "name").alias("name"))
+        above = large(above)
         least = above.groupBy("name").agg(F.min("u").alias("comp"))
         named = above.join(least, "name").select(F.col("u").alias("v"), "comp")
         return cut(vertices.join(named, "v", "left").select("v", F.coalesce("comp", "v").alias("comp")))
@@ -153,7 +154,7 @@ def _factored(permutation: DataFrame, pairs: DataFrame, block: int) -> DataFrame
             below = positions.where(f"(v div {width}) % 2 = 0")
             named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v"), width=block) if width > block else _block_components(below, inside, block)
             across = lower.where(f"u div {width} <> v div {width}")
-            reached = across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct()
+            reached = large(across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct())
             # a part whose first neighbour is beyond the upper half has been told of in an earlier round
             head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
             star = reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v")

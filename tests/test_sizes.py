@@ -144,3 +144,35 @@ def test_components_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(factor, "TASK_EDGES", 10)
     assert factor._range_names(edges, 50).isEmpty()
     assert sorted(factor.components(vertices, edges, 1 << 20, 50).collect()) == want
+
+
+def broadcast_nodes(spark, run):
+    """How many broadcasts the final plans have of all that `run` executes."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty()
+        found = store.executionsList()
+        return [found.apply(k) for k in range(found.size())]
+
+    last = max((x.executionId() for x in executions()), default=-1)
+    run()
+    plans = [x.physicalPlanDescription().split("+- == Initial Plan ==")[0] for x in executions() if x.executionId() > last]
+    assert plans
+    return sum(p.count("BroadcastExchange") for p in plans)
+
+
+def square(spark, n):
+    """(vertices(v), edges(u, v)) of a grid of n x n cells, ids row by row."""
+    pairs = [(k, k + s) for k in range(n * n) for s in (1, n) if k + s < n * n and (s == n or k % n < n - 1)]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "u int, v int")
+    return spark.range(n * n).select(F.col("id").cast("int").alias("v")), edges
+
+
+def test_factor_without_broadcasts(spark):
+    """Components and their heads are joined by shuffles in each halving, however few rows they have."""
+    vertices, edges = square(spark, 12)
+    order = cut(vertices.select(F.col("v").alias("new_pos"), "v"))
+    got = []
+    assert broadcast_nodes(spark, lambda: got.extend(factor.factor_columns(order, cut(edges), 16).collect())) == 0
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in factor.factor_columns(order, edges, 1 << 16).collect())
