@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..plans.lineage import Scratch, cut, large
+from . import tree as T
 
 #: Directed edges of a coarse graph that a task parts.
 COARSE_EDGES = 100_000
@@ -161,17 +162,17 @@ def bisected(nodes: DataFrame, edges: DataFrame, scratch: Scratch, coarse_edges:
     levels, seed, width = [], 0, RANGE
     while True:
         sizes = edges.groupBy("hmd_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse_edges)
-        open_regions = scratch.table(sizes)
-        total = open_regions.agg(F.sum("n")).first()[0]
-        if total is None:
+        open_regions = {r["hmd_id"]: r["n"] for r in sizes.collect()}  # tree nodes
+        total = sum(open_regions.values())
+        if not total:
             break
-        some = F.broadcast(open_regions.select("hmd_id"))  # tree nodes
-        before, mine = nodes.count(), edges.join(some, "hmd_id", "left_semi")
+        some = T.among("hmd_id", open_regions)
+        before, mine = nodes.count(), edges.where(some)
         groups = None
         if width:
             inside = scratch.table(range_edges(mine, width))
             if 2 * inside.count() >= total:
-                groups = range_groups(nodes.join(some, "hmd_id", "left_semi"), inside, width)
+                groups = range_groups(nodes.where(some), inside, width)
             width = width * MERGED if groups is not None else 0
         by_range = groups is not None
         up, coarse, between = contracted(nodes, edges, groups if by_range else matching(mine, seed, scratch), scratch)

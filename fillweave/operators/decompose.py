@@ -57,23 +57,26 @@ def _descended(vertices: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return _per_region(vertices, edges, run, "v int, to int")
 
 
-def separators(regions: DataFrame, inside: DataFrame, task_edges: int = PARTED * TASK_EDGES) -> DataFrame:
+def edge_counts(inside: DataFrame) -> dict[int, int]:
+    """The number of edges of each tree node that has any; inside is region_edges()."""
+    return {r["hmd_id"]: r["n"] for r in inside.groupBy("hmd_id").agg(F.count("*").alias("n")).collect()}
+
+
+def separators(regions: DataFrame, inside: DataFrame, task_edges: int = PARTED * TASK_EDGES, counts: dict[int, int] | None = None) -> DataFrame:
     """hmd_id, v, side (0 left, 1 right, 2 separator) of all regions that have edges.
 
-    inside is region_edges(): hmd_id, u, v.
+    inside is region_edges(): hmd_id, u, v; counts are its edge_counts(), if known.
     """
-    sizes = inside.groupBy("hmd_id").agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= task_edges).select("hmd_id")
-    large = sizes.where(F.col("n") > task_edges).select("hmd_id")
-    few = F.broadcast(small)  # tree nodes, here and below
-    own = regions.join(few, "hmd_id", "left_semi").select("hmd_id", "v")
-    near = inside.join(few, "hmd_id", "left_semi")
-    cuts = _per_region(own, near, _split_small, "hmd_id int, v int, side byte")
-    if large.isEmpty():
+    counts = edge_counts(inside) if counts is None else counts
+    small, large = [k for k, n in counts.items() if n <= task_edges], [k for k, n in counts.items() if n > task_edges]
+    few = T.among("hmd_id", small)
+    cuts = _per_region(regions.where(few).select("hmd_id", "v"), inside.where(few), _split_small, "hmd_id int, v int, side byte")
+    if not large:
         return cuts
-    few = F.broadcast(large)
-    split = coarse_separators(regions.join(few, "hmd_id", "left_semi"), inside.join(few, "hmd_id", "left_semi"), min(task_edges, COARSE_EDGES))
-    return cuts.union(split.select("hmd_id", F.col("v").cast("int").alias("v"), "side"))
+    few = T.among("hmd_id", large)
+    split = coarse_separators(regions.where(few), inside.where(few), min(task_edges, COARSE_EDGES))
+    split = split.select("hmd_id", F.col("v").cast("int").alias("v"), "side")
+    return cuts.union(split) if small else split
 
 
 def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int = PARTED * TASK_EDGES) -> DataFrame:
@@ -92,15 +95,19 @@ def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int
         near = cut(M.region_edges(near, state.where(~F.col("closed"))))
         inside = near.where(T.level("hmd_id") == depth)
         near = near.select("u", "v")
-        sizes = cut(inside.groupBy("hmd_id").agg(F.count("*").alias("n")))  # tree nodes
-        if sizes.isEmpty():
+        counts = edge_counts(inside)
+        if not counts:
             continue
-        whole, rest = (F.broadcast(sizes.where(x).select("hmd_id")) for x in (F.col("n") <= task_edges // PARTED, F.col("n") > task_edges // PARTED))
-        to = _descended(here.join(whole, "hmd_id", "left_semi"), inside.join(whole, "hmd_id", "left_semi"), levels).withColumn("end", F.lit(True))
-        if not rest.isEmpty():
-            sides = separators(here.join(rest, "hmd_id", "left_semi"), inside.join(rest, "hmd_id", "left_semi"), task_edges)
+        rest = {k: n for k, n in counts.items() if n > task_edges // PARTED}
+        whole, to = T.among("hmd_id", counts.keys() - rest.keys()), None
+        if len(rest) < len(counts):
+            to = _descended(here.where(whole), inside.where(whole), levels).withColumn("end", F.lit(True))
+        if rest:
+            few = T.among("hmd_id", rest)
+            sides = separators(here.where(few), inside.where(few), task_edges, rest)
             at = F.when(F.col("side") == 0, 2 * F.col("hmd_id") + 1).when(F.col("side") == 1, 2 * F.col("hmd_id") + 2).otherwise(F.col("hmd_id"))
-            to = to.union(sides.select("v", at.cast("int"), F.col("side") == 2))
+            parted = sides.select("v", at.cast("int").alias("to"), (F.col("side") == 2).alias("end"))
+            to = parted if to is None else to.union(parted)
         closed = F.col("closed") | F.coalesce("end", T.level("hmd_id") == depth)
         state = cut(state.join(to, "v", "left").select("v", F.coalesce("to", "hmd_id").alias("hmd_id"), closed.alias("closed")))
     return state.select("v", "hmd_id")
@@ -116,27 +123,25 @@ def local_orders(regions: DataFrame, edges: DataFrame, method: str = "nested", t
     if method not in METHODS:
         raise ValueError(f"no such ordering method: {method}")
     inside = cut(M.region_edges(edges, regions))
-    sizes = inside.groupBy("hmd_id").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > task_edges))
+    large = {k: n for k, n in edge_counts(inside).items() if n > task_edges}
+    at_depth = [k for k in large if (k + 1).bit_length() - 1 == depth]
+    rest = large.keys() - at_depth
 
     def order(key, vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         ids, u, v = _local(vertices, near)
         kernel = kernels.nested_dissection if method == "nested" else kernels.minimum_degree
         return pd.DataFrame({"hmd_id": key[0], "v": ids[kernel(len(ids), u, v)], "label": np.arange(len(ids))})
 
-    few = F.broadcast(large.select("hmd_id"))  # tree nodes
+    few = T.among("hmd_id", large)
     own = regions.select("hmd_id", "v")
-    out = _per_region(own.join(few, "hmd_id", "left_anti"), inside.join(few, "hmd_id", "left_anti"), order, "hmd_id int, v int, label int")
-    deeper = (T.level("hmd_id") == depth) if depth is not None else F.lit(False)
-    rest = large.where(~deeper).select("hmd_id")
-    if not rest.isEmpty():
-        some = F.broadcast(rest)
-        labels = minimum_degree_labels(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), task_edges)
+    out = _per_region(own.where(~few), inside.where(~few), order, "hmd_id int, v int, label int")
+    if rest:
+        some = T.among("hmd_id", rest)
+        labels = minimum_degree_labels(own.where(some), inside.where(some), task_edges)
         out = out.union(labels.select("hmd_id", F.col("v").cast("int").alias("v"), F.col("label").cast("int").alias("label")))
-    most = large.where(deeper).agg(F.max("n")).first()[0]
-    if most is not None:
-        some = F.broadcast(large.where(deeper).select("hmd_id"))
-        out = out.union(_deeper_orders(own.join(some, "hmd_id", "left_semi"), inside.join(some, "hmd_id", "left_semi"), depth, math.ceil(math.log2(most / task_edges)) + 1, method, task_edges))
+    if at_depth:
+        some, most = T.among("hmd_id", at_depth), max(large[k] for k in at_depth)
+        out = out.union(_deeper_orders(own.where(some), inside.where(some), depth, math.ceil(math.log2(most / task_edges)) + 1, method, task_edges))
     return out
 
 

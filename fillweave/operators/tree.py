@@ -7,6 +7,8 @@ operations on the numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -23,6 +25,12 @@ def level(node: Column | str | int) -> Column:
     return (F.length(F.bin((_int(node) + 1).cast("long"))) - 1).cast("int")
 
 
+def among(node: str, nodes: Iterable[int]) -> Column:
+    """Whether a node is one of a few that are known, so that no join with a table of them is needed."""
+    some = ", ".join(str(k) for k in nodes)
+    return F.expr(f"{node} in ({some})") if some else F.lit(False)
+
+
 def parent(node: Column | str) -> Column:
     return F.when(_int(node) > 0, F.shiftright(_int(node) - 1, 1)).otherwise(F.lit(-1)).cast("int")
 

@@ -176,3 +176,17 @@ def test_factor_without_broadcasts(spark):
     got = []
     assert broadcast_nodes(spark, lambda: got.extend(factor.factor_columns(order, cut(edges), 16).collect())) == 0
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in factor.factor_columns(order, edges, 1 << 16).collect())
+
+
+def test_open_regions_without_broadcasts(spark):
+    """Levels choose the regions that tasks split or order by their numbers, not by joins with tables of them."""
+    vertices, edges = (cut(x) for x in square(spark, 18))
+    found = []
+
+    def run():
+        regions = D.decompose(vertices.select("v", F.lit(0).alias("hmd_id")), edges, 3, 5000)
+        found.append(regions)
+        found.append(D.local_orders(regions, edges, depth=3).collect())
+
+    assert broadcast_nodes(spark, run) == 0
+    assert D.violations(found[0], edges).isEmpty() and len(found[1]) == 324
