@@ -228,6 +228,67 @@ def minimum_degree(n: int, u: np.ndarray, v: np.ndarray, groups: list[np.ndarray
     return np.array(order, dtype=np.int64)
 
 
+def eliminated_inside(n: int, u: np.ndarray, v: np.ndarray, groups: list[np.ndarray], free: np.ndarray) -> tuple[list[int], list[set[int]], dict[int, set[int]]]:
+    """(order, plain, members): the free vertices of a quotient graph eliminated by minimum degree, and what is left of the graph.
+
+    A degree counts what two elements share outside the newest one twice, so that no union of elements
+    is formed. Elements that a new one covers go, as do at once free vertices that are in it alone. plain
+    are the neighbours of each vertex, members those of each element: n + k is the k-th of the groups, else it
+    is the eliminated vertex.
+    """
+    ptr, adj = csr(n, u, v)
+    plain = [set(adj[ptr[i] : ptr[i + 1]].tolist()) for i in range(n)]
+    members = {n + k: set(g.tolist()) for k, g in enumerate(groups)}
+    cliques: list[set[int]] = [set() for _ in range(n)]
+    for k, group in members.items():
+        for y in group:
+            cliques[y].add(k)
+    free = free.tolist()
+    degree = [len(plain[i]) + sum(len(members[c]) - 1 for c in cliques[i]) for i in range(n)]
+    heap = [(degree[i], i) for i in range(n) if free[i]]
+    heapq.heapify(heap)
+    order = []
+    while heap:
+        d, x = heapq.heappop(heap)
+        if not free[x] or d != degree[x]:
+            continue
+        free[x] = False
+        order.append(x)
+        absorbed, reach = cliques[x], plain[x]
+        for c in absorbed:
+            reach |= members.pop(c)
+        reach.discard(x)
+        plain[x], cliques[x] = set(), set()
+        outside: dict[int, int] = {}
+        for y in reach:
+            cliques[y] -= absorbed
+            for c in cliques[y]:
+                outside[c] = outside.get(c, len(members[c])) - 1
+        covered = {c for c, k in outside.items() if not k}
+        for c in covered:
+            del members[c]
+        also = []
+        for y in reach:
+            if plain[y]:
+                plain[y].discard(x)
+                plain[y] = plain[y] - reach
+            if covered:
+                cliques[y] -= covered
+            if free[y]:
+                if plain[y] or cliques[y]:
+                    degree[y] = len(plain[y]) + len(reach) - 1 + sum(outside[c] for c in cliques[y])
+                    heapq.heappush(heap, (degree[y], y))
+                else:
+                    also.append(y)
+            cliques[y].add(x)
+        for y in sorted(also):
+            free[y] = False
+            order.append(y)
+            cliques[y] = set()
+        members[x] = reach.difference(also)
+    return order, plain, members
+
+
 def nested_dissection(n: int, u: np.ndarray, v: np.ndarray, small: int = 64) -> np.ndarray:
     """An order by recursive separators; pieces of at most `small` vertices by minimum degree."""
     if n <= small or not len(u):
