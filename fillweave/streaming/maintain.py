@@ -57,10 +57,11 @@ def maintain(changes: DataFrame, folder: str, checkpoint: str, settings: Setting
     With columns ts and id, changes settle by their time, whatever batch they come in; without
     them a batch is taken as a whole, after all before it.
     """
+    mode = "append"
     if {"ts", "id"} <= set(changes.columns):
-        types = dict(changes.dtypes)
-        changes = settle.settled(changes).select(*(F.col(c).cast(types[c]).alias(c) for c in ("u", "v")), "op")
-    writer = changes.writeStream.foreachBatch(on_batch(folder, settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        types, mode = dict(changes.dtypes), "update"
+        changes = settle.latest(changes).select(*(F.col(c).cast(types[c]).alias(c) for c in ("u", "v")), "op")
+    writer = changes.writeStream.outputMode(mode).foreachBatch(on_batch(folder, settings)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return settle.start(changes.sparkSession, writer)
 
 

@@ -3,13 +3,17 @@
 changes(u, v, op, ts, id): op is `add` or `remove`, ts the time of the change, and id tells apart
 changes of one time. A change counts if no later one of its edge, by (ts, id), has been seen, in
 whatever batch or order they come.
+
+`latest` keeps them by a streaming aggregate, for sinks that take updates; it is the way for many edges.
+`settled` is for sinks that only append: it passes on but what makes an edge come or go, which takes
+a Python call and three messages to the state store for each edge of a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,7 +34,7 @@ class LastChange(StatefulProcessor):
         self.last = handle.getValueState(STATE, "op string, micros long, id long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.last.get() if self.last.exists() else None
+        held = self.last.get()
         best = tuple(held) if held is not None else None
         was = best[0] if best else None
         for row in rows:
@@ -52,6 +56,14 @@ def timed(changes: DataFrame) -> DataFrame:
     return ends.select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), "op", micros.alias("micros"), F.coalesce(F.col("id").cast("long"), F.lit(NONE)).alias("id"))
 
 
+def _ts(micros: Column) -> Column:
+    return F.when(micros > NONE, F.timestamp_micros(micros))
+
+
+def _id(number: Column) -> Column:
+    return F.when(number > NONE, number)
+
+
 def settled(changes: DataFrame) -> DataFrame:
     """The stream of changes(u, v, op, ts, id) that make an edge come or go; at most one for each edge and batch.
 
@@ -62,7 +74,24 @@ def settled(changes: DataFrame) -> DataFrame:
     """
     out = "u long, v long, op string, micros long, id long"
     kept = timed(changes).groupBy("u", "v").transformWithState(LastChange(), out, "Append", "None")
-    return kept.select("u", "v", "op", F.when(F.col("micros") > NONE, F.timestamp_micros("micros")).alias("ts"), F.when(F.col("id") > NONE, F.col("id")).alias("id"))
+    return kept.select("u", "v", "op", _ts(F.col("micros")).alias("ts"), _id(F.col("id")).alias("id"))
+
+
+def latest(changes: DataFrame) -> DataFrame:
+    """The stream of the last change so far of each edge that has one in a batch, for output mode `update`; at most one for each edge and batch.
+
+    An edge may come again with the change that it had. Of changes of one time and id a removal counts. The state
+    is that of an aggregate by edge, a row for each edge that ever changed; `start` starts its queries, too.
+    """
+    last = timed(changes).groupBy("u", "v").agg(F.max(F.struct("micros", "id", "op")).alias("last"))
+    return last.select("u", "v", "last.op", _ts(F.col("last.micros")).alias("ts"), _id(F.col("last.id")).alias("id"))
+
+
+def latest_edges(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """u, v, ts, id of the edges whose last change added them, from the state that a stream of `latest` left in its checkpoint folder."""
+    rows = spark.read.format("statestore").option("path", checkpoint).load()
+    last = rows.select("key.u", "key.v", F.col(f"value.{rows.schema['value'].dataType.names[0]}").alias("last"))
+    return last.where("last.op = 'add'").select("u", "v", _ts(F.col("last.micros")).alias("ts"), _id(F.col("last.id")).alias("id"))
 
 
 def start(spark: SparkSession, writer):
@@ -83,4 +112,4 @@ def edges_now(spark: SparkSession, checkpoint: str) -> DataFrame:
     """u, v, ts, id of the edges whose last change added them, read from the state that a stream of `settled` left in its checkpoint folder."""
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", STATE).load()
     alive = rows.where("value.op = 'add'").select("key.u", "key.v", "value.micros", "value.id")
-    return alive.select("u", "v", F.when(F.col("micros") > NONE, F.timestamp_micros("micros")).alias("ts"), F.when(F.col("id") > NONE, F.col("id")).alias("id"))
+    return alive.select("u", "v", _ts(F.col("micros")).alias("ts"), _id(F.col("id")).alias("id"))

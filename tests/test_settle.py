@@ -74,3 +74,33 @@ def test_order_kept_by_time(spark, tmp_path):
     now = {(r["u"], r["v"]) for r in state.edges.where("u < v").collect()}
     assert now == set(pairs) - {(3, 4)} | {(0, 5)}
     assert sorted(r["v"] for r in order.collect()) == list(range(12))
+
+
+def test_latest_by_aggregate(spark, tmp_path, monkeypatch):
+    """Late, repeated and untimed changes in two batches settle in an aggregate's state, without a Python call for an edge."""
+
+    def called(*_):
+        raise AssertionError("Python for an edge")
+
+    monkeypatch.setattr(settle, "LastChange", called)
+    rng = random.Random(6)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(*rng.sample(range(8), 2), rng.choice(["add", "remove"]), None if i % 19 == 0 else day + datetime.timedelta(hours=rng.randrange(60)), i) for i in range(300)]
+    rows += rows[:30] + [(None, 1, "add", day, 1), (3, 3, "add", day, 2), (1, 2, "drop", day + datetime.timedelta(days=99), 10**6), (20, 21, "add", None, None)]
+    rng.shuffle(rows)
+    last = {}
+    for u, v, op, ts, i in rows:
+        if u is not None and u != v and op in ("add", "remove"):
+            e, at = (min(u, v), max(u, v)), (ts or datetime.datetime.min, -1 if i is None else i)
+            if e not in last or at > last[e][0]:
+                last[e] = (at, op, ts, i)
+    want = {(*e, ts, i) for e, (_, op, ts, i) in last.items() if op == "add"}
+    folder, seen = str(tmp_path), []
+    for part in (rows[:150], rows[150:]):
+        changes = settle.latest(stream(spark, folder, [part]))
+        writer = changes.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.append([tuple(r) for r in df.collect()])).option("checkpointLocation", f"{folder}/at").trigger(availableNow=True)
+        settle.start(spark, writer).awaitTermination(300)
+    assert {tuple(r) for r in settle.latest_edges(spark, f"{folder}/at").collect()} == want
+    assert len(seen) == 2 and all(len({r[:2] for r in batch}) == len(batch) for batch in seen)
+    lasting = {r[:2]: r[2] for batch in seen for r in batch}
+    assert {e for e, op in lasting.items() if op == "add"} == {w[:2] for w in want}
