@@ -24,8 +24,8 @@ def _levels(ptr: np.ndarray, adj: np.ndarray, root: int, depth: np.ndarray) -> l
     depth[root] = 0
     found, front = [np.array([root])], np.array([root])
     while True:
-        near = np.unique(np.concatenate([adj[ptr[x] : ptr[x + 1]] for x in front]))
-        front = near[depth[near] < 0]
+        near = gathered(ptr, adj, front)
+        front = np.unique(near[depth[near] < 0])
         if not len(front):
             return found
         depth[front] = len(found)
@@ -41,17 +41,28 @@ def level_separator(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """
     ptr, adj = csr(n, u, v)
     depth = np.full(n, -1)
-    parts = []
-    for s in range(n):
+    parts, ends = [], {}
+    single = np.diff(ptr) == 0
+    depth[single] = 0
+    s = 0
+    while s < n:
         if depth[s] < 0:
-            parts.append(np.concatenate(_levels(ptr, adj, s, depth)))
-    parts.sort(key=lambda p: (-len(p), p.min()))
+            found = _levels(ptr, adj, s, depth)
+            parts.append(np.concatenate(found))
+            ends[s] = int(found[-1].min())
+            s += 1
+        else:
+            # the next vertex that no search has reached
+            ahead = depth[s : s + 4096] < 0
+            s += int(ahead.argmax()) if ahead.any() else len(ahead)
+    parts = [(int(p.min()), p) for p in parts] + [(int(x), np.array([x])) for x in np.flatnonzero(single)]
+    parts.sort(key=lambda p: (-len(p[1]), p[0]))
+    parts, first = [p for _, p in parts], parts[0][0]
     side = np.zeros(n, dtype=np.int8)
     main = parts[0]
-    start = int(main.min())
-    for _ in range(2):
-        fresh = np.full(n, -1)
-        start = int(_levels(ptr, adj, start, fresh)[-1].min())
+    # the search from the smallest vertex is the first sweep
+    fresh = np.full(n, -1)
+    start = int(_levels(ptr, adj, ends.get(first, first), fresh)[-1].min())
     fresh = np.full(n, -1)
     _levels(ptr, adj, start, fresh)
     d = fresh[main]
@@ -115,6 +126,23 @@ def bisect(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight
     return best
 
 
+def bisected(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight: np.ndarray, splits: int) -> np.ndarray:
+    """A part below 2**splits for each vertex: sides of bisect(), each of which is parted in two again."""
+    side = bisect(n, u, v, edge_weight, weight).astype(np.int64)
+    if splits == 1:
+        return side
+    part = side << (splits - 1)
+    for s in (0, 1):
+        own = np.flatnonzero(side == s)
+        if not len(own):
+            continue
+        local = np.full(n, -1)
+        local[own] = np.arange(len(own))
+        inside = (side[u] == s) & (side[v] == s)
+        part[own] += bisected(len(own), local[u[inside]], local[v[inside]], edge_weight[inside], weight[own], splits - 1)
+    return part
+
+
 def merged(n: int, u: np.ndarray, v: np.ndarray, edge_weight: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
     """For each vertex the smallest one of its group; groups grow along heavy edges between light ones and weigh at most `most`.
 
@@ -289,20 +317,25 @@ def eliminated_inside(n: int, u: np.ndarray, v: np.ndarray, groups: list[np.ndar
     return order, plain, members
 
 
-def nested_dissection(n: int, u: np.ndarray, v: np.ndarray, small: int = 64) -> np.ndarray:
+def _quick_degree(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """An order by minimum degree with degrees that count double, which takes a third of the time."""
+    return np.array(eliminated_inside(n, u, v, [], np.ones(n, dtype=bool))[0], dtype=np.int64)
+
+
+def nested_dissection(n: int, u: np.ndarray, v: np.ndarray, small: int = 512) -> np.ndarray:
     """An order by recursive separators; pieces of at most `small` vertices by minimum degree."""
     if n <= small or not len(u):
-        return minimum_degree(n, u, v)
+        return _quick_degree(n, u, v)
     side = level_separator(n, u, v)
     if not (side == 0).any() or not (side == 1).any():
-        return minimum_degree(n, u, v)
+        return _quick_degree(n, u, v)
     out = []
     for s in (0, 1, 2):
         ids = np.flatnonzero(side == s)
         local = np.full(n, -1)
         local[ids] = np.arange(len(ids))
         inside = (side[u] == s) & (side[v] == s)
-        piece = nested_dissection if s < 2 else minimum_degree
+        piece = nested_dissection if s < 2 else _quick_degree
         out.append(ids[piece(len(ids), local[u[inside]], local[v[inside]])])
     return np.concatenate(out)
 

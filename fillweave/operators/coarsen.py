@@ -5,7 +5,8 @@ a task, where a kernel parts it in two. Where most edges lead to near ids, a rou
 sixteen vertices within ranges of ids, a task for each; else it merges about two by joins. On the way back each finer graph takes its sides from the
 coarser one and moves vertices of its border whose edges mostly lead across. The smaller border of
 the finest graph is the separator. All regions are worked on at once; every round works on a
-graph of little more than half the vertices of the last, or less.
+graph of little more than half the vertices of the last, or less. A region that takes several levels of
+separators to fit a task is coarsened once: its coarse graph is parted in two again and again in the task.
 
 Tables: nodes(hmd_id, v, w) and edges(hmd_id, u, v, w), w the number of vertices or edges that a
 coarse one stands for.
@@ -107,14 +108,14 @@ def contracted(nodes: DataFrame, edges: DataFrame, groups: DataFrame, scratch: S
     return up, scratch.table(to.groupBy("hmd_id", F.col("to").alias("v")).agg(F.sum("w").alias("w"))), scratch.table(coarse)
 
 
-def _parted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """hmd_id, v, side of the vertices that have edges, a task for each region."""
+def _parted(nodes: DataFrame, edges: DataFrame, splits: int) -> DataFrame:
+    """hmd_id, v, side of the vertices that have edges, a task for each region; sides are numbers of parts, below 2**splits."""
 
     def run(key, vertices: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         vertices = vertices.sort_values("v")
         ids = vertices["v"].to_numpy()
         u, v = np.searchsorted(ids, near["u"].to_numpy()), np.searchsorted(ids, near["v"].to_numpy())
-        side = kernels.bisect(len(ids), u, v, near["w"].to_numpy().astype(float), vertices["w"].to_numpy().astype(float))
+        side = kernels.bisected(len(ids), u, v, near["w"].to_numpy().astype(float), vertices["w"].to_numpy().astype(float), splits)
         return pd.DataFrame({"hmd_id": key[0], "v": ids, "side": side})
 
     joined = nodes.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
@@ -157,8 +158,36 @@ def refined(nodes: DataFrame, edges: DataFrame, sides: DataFrame, scratch: Scrat
     return sides
 
 
-def bisected(nodes: DataFrame, edges: DataFrame, scratch: Scratch, coarse_edges: int = COARSE_EDGES) -> DataFrame:
-    """hmd_id, v, side (0 or 1) of all nodes, by coarsening, a kernel, and refinement on the way back."""
+def _spread(nodes: DataFrame, sides: DataFrame, splits: int) -> DataFrame:
+    """hmd_id, v, side: sides with those of the nodes that have none, which go to parts by a hash."""
+    dealt = F.pmod(F.xxhash64("v"), F.lit(1 << splits))
+    return nodes.join(sides.select("v", "side"), "v", "left").select("hmd_id", "v", F.coalesce("side", dealt).cast("byte").alias("side"))
+
+
+def refined_parts(nodes: DataFrame, edges: DataFrame, sides: DataFrame, splits: int, scratch: Scratch, turns: int = 2, least_share: float = 0.84) -> DataFrame:
+    """sides(hmd_id, v, side) of 2**splits parts after `turns` rounds of moves, to parts of higher numbers and of lower ones in turn.
+
+    A vertex moves to the part that most of its edges' weight leads to, if that is more than leads to its
+    own. No part gets lighter than least_share of the mean: if its movers weigh too much, those stay that a hash says.
+    """
+    for turn in range(turns):
+        far = edges.select("u", "v", "w").join(sides.select("v", F.col("side").alias("to")), "v").groupBy(F.col("u").alias("v"), "to").agg(F.sum("w").alias("w"))
+        known = far.join(sides.select("v", F.col("side").alias("own")), "v")
+        ahead = (F.col("to") > F.col("own")) if turn % 2 == 0 else (F.col("to") < F.col("own"))
+        best = known.groupBy("v").agg(F.max(F.when(ahead, F.struct("w", "to"))).alias("best"), F.max(F.when(F.col("to") == F.col("own"), F.col("w")).otherwise(0)).alias("held"))
+        moves = best.where("best.w > held").select("v", F.col("best.to").alias("to"))
+        state = scratch.table(sides.join(nodes.select("v", "w"), "v").join(moves, "v", "left"))
+        total = state.groupBy("hmd_id", "side").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("to").isNotNull(), F.col("w")).otherwise(0)).alias("movers"))
+        mean = total.groupBy("hmd_id").agg((F.sum("all") / (1 << splits)).alias("mean"))
+        spare = F.greatest(F.lit(0.0), F.col("all") - least_share * F.col("mean"))
+        share = total.join(F.broadcast(mean), "hmd_id").select("hmd_id", "side", F.coalesce(F.try_divide(spare, F.col("movers")), F.lit(1.0)).alias("share"))  # a row for each part
+        goes = F.col("to").isNotNull() & (F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+        sides = scratch.table(state.join(F.broadcast(share), ["hmd_id", "side"]).select("hmd_id", "v", F.when(goes, F.col("to")).otherwise(F.col("side")).cast("byte").alias("side")))
+    return sides
+
+
+def bisected(nodes: DataFrame, edges: DataFrame, scratch: Scratch, coarse_edges: int = COARSE_EDGES, splits: int = 1) -> DataFrame:
+    """hmd_id, v, side (0 or 1, or with more splits a part below 2**splits) of all nodes, by coarsening, a kernel, and refinement on the way back."""
     levels, seed, width = [], 0, RANGE
     while True:
         sizes = edges.groupBy("hmd_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse_edges)
@@ -183,10 +212,12 @@ def bisected(nodes: DataFrame, edges: DataFrame, scratch: Scratch, coarse_edges:
             width = 0  # a hub's leaves, for one, have nothing to merge with in a range
         elif left > 0.98 * before:
             break  # so dense that merging doesn't help: the kernel takes it as it is
-    sides = scratch.table(_unlinked(nodes, scratch.table(_parted(nodes, edges))))
+    parted = scratch.table(_parted(nodes, edges, splits))
+    sides = scratch.table(_unlinked(nodes, parted) if splits == 1 else _spread(nodes, parted, splits))
     for fine, near, up in reversed(levels):
         own = up.join(sides.select(F.col("v").alias("to"), "hmd_id", "side"), "to").select("hmd_id", "v", "side")
-        sides = refined(fine, near, scratch.table(own), scratch)
+        own = scratch.table(own)
+        sides = refined(fine, near, own, scratch) if splits == 1 else refined_parts(fine, near, own, splits, scratch)
     return sides
 
 
@@ -205,3 +236,23 @@ def coarse_separators(regions: DataFrame, inside: DataFrame, coarse_edges: int =
         nodes = scratch.table(regions.select("hmd_id", F.col("v").cast("long").alias("v"), F.lit(1).cast("long").alias("w")))
         edges = scratch.table(inside.select("hmd_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.lit(1).cast("long").alias("w")))
         return cut(separated(bisected(nodes, edges, scratch, coarse_edges), edges, scratch))
+
+
+def coarse_parts(regions: DataFrame, inside: DataFrame, splits: int, coarse_edges: int = COARSE_EDGES) -> DataFrame:
+    """v, to, end: the tree node of each vertex of regions(hmd_id, v) after `splits` levels of separators, and whether it is one of a separator.
+
+    Of the two borders that the parts left and right of a node have with each other that of fewer vertices is
+    the node's separator; a vertex in several separators is in the highest. So every edge between parts has an
+    end in the separator of their common ancestor, or of one above it.
+    """
+    with Scratch(regions.sparkSession) as scratch:
+        nodes = scratch.table(regions.select("hmd_id", F.col("v").cast("long").alias("v"), F.lit(1).cast("long").alias("w")))
+        edges = scratch.table(inside.select("hmd_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.lit(1).cast("long").alias("w")))
+        leaf = ((F.col("hmd_id") + 1) * (1 << splits) - 1 + F.col("side")).cast("int")
+        sides = scratch.table(bisected(nodes, edges, scratch, coarse_edges, splits).select("v", leaf.alias("to")))
+        a, b = sides.select(F.col("v").alias("u"), F.col("to").alias("a")), sides.select("v", F.col("to").alias("b"))
+        across = edges.select("u", "v").join(a, "u").join(b, "v").where("a <> b")
+        border = scratch.table(across.select(T.common_ancestor("a", "b").alias("node"), F.col("u").alias("v"), (F.col("a") < F.col("b")).alias("left")).distinct())
+        less = border.groupBy("node").agg(F.sum(F.when(F.col("left"), 1).otherwise(-1)).alias("more"))
+        chosen = border.join(F.broadcast(less), "node").where("left = (more <= 0)").groupBy("v").agg(F.min("node").alias("node"))  # tree nodes
+        return cut(sides.join(chosen, "v", "left").select(F.col("v").cast("int").alias("v"), F.coalesce("node", "to").cast("int").alias("to"), F.col("node").isNotNull().alias("end")))

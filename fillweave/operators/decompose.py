@@ -3,7 +3,7 @@
 State: `regions(v, hmd_id)` says which tree node each vertex is at. In each level all open
 regions are split at once: those of many edges by multilevel coarsening (coarsen.py), smaller ones
 by the level structure of a breadth-first search inside a grouped task, which goes down all levels
-that are left where the region is small enough. Either way no edge joins the two halves.
+that are left. Coarsening goes down as many levels at once as it takes until a task holds a part. Either way no edge joins the two halves.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..functions import kernels
 from ..plans.lineage import cut
 from . import mesh as M
 from . import tree as T
-from .coarsen import COARSE_EDGES, coarse_separators
+from .coarsen import COARSE_EDGES, coarse_parts, coarse_separators
 from .elimination import minimum_degree_labels
 
 METHODS = ("nested", "mindegree")
@@ -28,6 +28,8 @@ METHODS = ("nested", "mindegree")
 TASK_EDGES = 400_000
 #: How many times as many edges a task parts, by a few sweeps in numpy; more go by rounds of joins, which cost jobs.
 PARTED = 10
+#: Levels of separators that one coarsening gives, at most.
+MOST_SPLITS = 5
 
 
 def _local(vertices: pd.DataFrame, edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,15 +100,19 @@ def decompose(regions: DataFrame, edges: DataFrame, levels: int, task_edges: int
         counts = edge_counts(inside)
         if not counts:
             continue
-        rest = {k: n for k, n in counts.items() if n > task_edges // PARTED}
+        rest = {k: n for k, n in counts.items() if n > task_edges}
         whole, to = T.among("hmd_id", counts.keys() - rest.keys()), None
         if len(rest) < len(counts):
             to = _descended(here.where(whole), inside.where(whole), levels).withColumn("end", F.lit(True))
         if rest:
             few = T.among("hmd_id", rest)
-            sides = separators(here.where(few), inside.where(few), task_edges, rest)
-            at = F.when(F.col("side") == 0, 2 * F.col("hmd_id") + 1).when(F.col("side") == 1, 2 * F.col("hmd_id") + 2).otherwise(F.col("hmd_id"))
-            parted = sides.select("v", at.cast("int").alias("to"), (F.col("side") == 2).alias("end"))
+            splits = min(levels - depth, MOST_SPLITS, math.ceil(math.log2(max(rest.values()) / task_edges)))
+            if splits > 1:
+                parted = coarse_parts(here.where(few), inside.where(few), splits, min(task_edges, COARSE_EDGES))
+            else:
+                sides = separators(here.where(few), inside.where(few), task_edges, rest)
+                at = F.when(F.col("side") == 0, 2 * F.col("hmd_id") + 1).when(F.col("side") == 1, 2 * F.col("hmd_id") + 2).otherwise(F.col("hmd_id"))
+                parted = sides.select("v", at.cast("int").alias("to"), (F.col("side") == 2).alias("end"))
             to = parted if to is None else to.union(parted)
         closed = F.col("closed") | F.coalesce("end", T.level("hmd_id") == depth)
         state = cut(state.join(to, "v", "left").select("v", F.coalesce("to", "hmd_id").alias("hmd_id"), closed.alias("closed")))

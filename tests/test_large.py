@@ -228,3 +228,20 @@ def test_small_regions_go_down_all_levels_at_once(spark):
             want[own] = np.where(side == 2, node, 2 * node + 1 + side)
     assert (got == want).all() and len(set(want)) > 40
     assert jobs <= 40
+
+
+def test_several_levels_from_one_coarsening(spark, monkeypatch):
+    """A grid that takes two levels to fit tasks is coarsened once; no edge leads across, separators are small and parts even."""
+    called = []
+    whole = D.coarse_parts
+    monkeypatch.setattr(D, "coarse_parts", lambda *a: called.append(a[2]) or whole(*a))
+    monkeypatch.setattr(D, "coarse_separators", lambda *a: called.append(1) or coarsen.coarse_separators(*a))
+    vertices, edges, u, v = grid(spark, 40, 40)
+    got = D.decompose(vertices.select("v", F.lit(0).alias("hmd_id")), edges, 3, 2500)
+    assert D.violations(got, edges).isEmpty()
+    at = got.toPandas().sort_values("v")["hmd_id"].to_numpy()
+    assert len(at) == 1600 and called == [2]
+    assert (at < 3).sum() <= 3 * 80 and set(at) == set(range(15))
+    parts = [sum((at == k) | ((at - 1) // 2 == k) for k in [top]).sum() for top in range(3, 7)]
+    assert min(parts) >= 200
+    assert not scratch_folders(spark)
