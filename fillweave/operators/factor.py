@@ -110,6 +110,41 @@ def _block_components(positions: DataFrame, inside: DataFrame, block: int) -> Da
     return left.cogroup(right).applyInPandas(run, "v int, comp int")
 
 
+def _half_stars(lower: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) from the first neighbour above of each connected part of a half to its others there, a task for each half.
+
+    lower(u, v) are the edges whose lower end u is in a half, of any higher end v.
+    """
+
+    def run(key, near: pd.DataFrame) -> pd.DataFrame:
+        u, v = near["u"].to_numpy(dtype=np.int64), near["v"].to_numpy(dtype=np.int64)
+        inside = v // width == key[0]
+        ids, at = np.unique(np.concatenate([u, v[inside]]), return_inverse=True)
+        part = kernels.components(len(ids), at[: len(u)][inside], at[len(u) :])[at[: len(u)][~inside]]
+        order = np.lexsort((v[~inside], part))
+        part, far = part[order], v[~inside][order]
+        # the first row of each part has its head; one beyond the upper half has been told of in an earlier round
+        begins = np.flatnonzero(np.diff(part, prepend=-1))
+        head = np.repeat(far[begins], np.diff(np.append(begins, len(part))))
+        some = (head != far) & (head // width == key[0] + 1)
+        return pd.DataFrame({"u": head[some], "v": far[some]}).drop_duplicates()
+
+    kind = lower.schema["v"].dataType.simpleString()
+    return lower.withColumn("half", F.expr(f"u div {width}")).groupBy("half").applyInPandas(run, f"u {kind}, v {kind}").select("u", "v")
+
+
+def _joined_stars(positions: DataFrame, lower: DataFrame, width: int, block: int) -> DataFrame:
+    """_half_stars() for halves of too many edges for a task, by joins."""
+    inside = lower.where(f"u div {width} = v div {width}")
+    below = positions.where(f"(v div {width}) % 2 = 0")
+    named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v"), width=block) if width > block else _block_components(below, inside, block)
+    across = lower.where(f"u div {width} <> v div {width}")
+    reached = large(across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct())
+    # a part whose first neighbour is beyond the upper half has been told of in an earlier round
+    head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
+    return reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v").distinct()
+
+
 def _block_columns(positions: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
     """v, parent, entries of all columns, a task for each block; pairs(u, v) belong to the block of u, the lower end."""
 
@@ -132,8 +167,8 @@ def factor_columns(permutation: DataFrame, edges: DataFrame, block: int = BLOCK)
     connected part of a lower half is eliminated, its neighbours above are a clique. Edges from
     the first of them to the others give the same factor, as the first one's elimination makes
     the clique. With these edges the columns of the upper half no longer need the lower half.
-    There are as many rounds as halvings down to blocks, each with one search for components; in
-    the last one a half is a block, whose components one task names.
+    There are as many rounds as halvings down to blocks, each with one search for components, in
+    a task for each half where none has more than TASK_EDGES edges.
     """
     return _factored(permutation, _numbered(permutation, edges).where("u < v"), block)
 
@@ -150,15 +185,9 @@ def _factored(permutation: DataFrame, pairs: DataFrame, block: int) -> DataFrame
         while width > block:
             width //= 2
             lower = pairs.where(f"(u div {width}) % 2 = 0")
-            inside = lower.where(f"u div {width} = v div {width}")
-            below = positions.where(f"(v div {width}) % 2 = 0")
-            named = components(below, inside.union(inside.select("v", "u")).toDF("u", "v"), width=block) if width > block else _block_components(below, inside, block)
-            across = lower.where(f"u div {width} <> v div {width}")
-            reached = large(across.join(named.withColumnRenamed("v", "u"), "u").select("comp", "v").distinct())
-            # a part whose first neighbour is beyond the upper half has been told of in an earlier round
-            head = reached.groupBy("comp").agg(F.min("v").alias("head")).where(f"head div {width} = comp div {width} + 1")
-            star = reached.join(head, "comp").where("v <> head").select(F.col("head").alias("u"), "v")
-            pairs = scratch.table(pairs.union(star).distinct())
+            most = lower.groupBy(F.expr(f"u div {width}")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+            star = _half_stars(lower, width) if (most or 0) <= TASK_EDGES else _joined_stars(positions, lower, width, block)
+            pairs = pairs.union(scratch.table(star))  # what comes twice does no harm
         return cut(_block_columns(positions, pairs, block))
 
 
@@ -170,9 +199,10 @@ def column_stars(entries: DataFrame, permutation: DataFrame, scratch: Scratch) -
     there are less edges than entries.
     """
     order = large(permutation.select(F.col("v").alias("col"), F.col("new_pos").cast("int").alias("v")))
-    at = scratch.table(entries.select("row", "col").distinct().join(order, "col").select("row", "v"))
-    first = at.groupBy("row").agg(F.min("v").alias("u"))
-    return at.join(first, "row").where("u < v").select("u", "v").distinct()
+    at = large(entries.select("row", "col")).join(order, "col").select("row", "v")
+    # both sides of a join by rows would be shuffled, a window shuffles once and holds no row of A whole
+    first = at.select("v", F.min("v").over(Window.partitionBy("row")).alias("u"))
+    return first.where("u < v").select("u", "v").distinct()
 
 
 def column_elimination_tree(entries: DataFrame, permutation: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -245,3 +245,33 @@ def test_several_levels_from_one_coarsening(spark, monkeypatch):
     parts = [sum((at == k) | ((at - 1) // 2 == k) for k in [top]).sum() for top in range(3, 7)]
     assert min(parts) >= 200
     assert not scratch_folders(spark)
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 22])
+def test_halves_in_tasks(spark, monkeypatch, bound):
+    """Halves that fit tasks take no search for components by joins; those that don't give the same factor by joins."""
+    from fillweave.operators import factor
+    from tests.test_kernels import brute_fill, random_graph
+
+    searched = []
+    whole = factor.components
+    monkeypatch.setattr(factor, "components", lambda *a, **k: searched.append(1) or whole(*a, **k))
+    monkeypatch.setattr(factor, "TASK_EDGES", bound)
+    n = 200
+    u, v = random_graph(n, 330, 5)
+    counts, parent = brute_fill(n, u, v)
+    order = spark.range(n).select(F.col("id").cast("int").alias("new_pos"), F.col("id").cast("int").alias("v"))
+    edges = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u int, v int")
+    got = sorted(tuple(r) for r in factor.factor_columns(order, edges, 64).select("v", "parent", "entries").collect())
+    assert got == [(k, parent[k], counts[k]) for k in range(n)]
+    assert bool(searched) == (bound == 0)
+
+
+def test_stars_from_repeated_entries(spark):
+    """Entries of a matrix that come more than once give each edge once."""
+    from fillweave.operators import factor
+
+    order = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "new_pos int, v int")
+    with Scratch(spark) as scratch:
+        got = sorted(tuple(r) for r in factor.column_stars(spark.createDataFrame([(0, 1), (0, 2), (0, 1), (1, 0), (1, 0), (1, 1)], "row int, col int"), order, scratch).collect())
+    assert got == [(0, 2), (1, 2)]
